@@ -5,24 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from bindings import tables as tb
-from bindings.ctes import norm, sql, words
+from bindings.ctes import words
+from bindings.registry import Group
 from proofloom.functions import text as tx
 from proofloom.functions.spread import first_rows
 from proofloom.operators import fusion, lexical, semantic
 from proofloom.plans import retrieve
 
 K = tb.K
-QUERIES, ORACLES = {}, {}
-
-
-def query(name: str, oracle: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if oracle is not None:
-            ORACLES[name] = sql(oracle)
-        return fn
-
-    return add
+GROUP = Group()
+query = GROUP.query
+QUERIES, ORACLES = GROUP.queries, GROUP.oracles
 
 
 def _index(spark, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proofloom.functions import text as tx
 from proofloom.operators import chunking as ch
 from proofloom.session import stored
 from proofloom.sources import documents as src
@@ -71,3 +72,97 @@ def stored_vector_chunks(spark, sf_dir) -> DataFrame:
 def vector_queries(spark, sf_dir) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
     return queries(spark, sf_dir).join(vectors, "query_id")
+
+
+def parts(spark, sf_dir) -> DataFrame:
+    """Chunks with their first and last sentence, free of quotes and backslashes."""
+    safe = F.replace(F.replace("text", F.lit("\\"), F.lit("")), F.lit('"'), F.lit(""))
+    split = chunks(spark, sf_dir).withColumn("_s", tx.sentence_array(safe))
+    first = F.element_at("_s", 1)
+    return split.select(
+        "doc_id",
+        "chunk_index",
+        request_id(),
+        "page_num",
+        "text",
+        first.alias("first"),
+        F.element_at("_s", -1).alias("last"),
+        F.array_join(F.reverse(F.split(first, " ")), " ").alias("turned"),
+    )
+
+
+def request_id() -> Column:
+    """One request per chunk."""
+    return F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("request_id")
+
+
+def sub_prompts(spark, sf_dir) -> DataFrame:
+    pair = F.array(
+        F.struct(F.lit(1).alias("number"), F.lit("Main point").alias("title"), F.lit("What is said").alias("sub_prompt")),
+        F.struct(F.lit(2).alias("number"), F.lit("Evidence check").alias("title"), F.lit("What proves it").alias("sub_prompt")),
+    )
+    return chunks(spark, sf_dir).select(request_id(), F.explode(pair).alias("s")).select("request_id", "s.*")
+
+
+def responses(spark, sf_dir) -> DataFrame:
+    """Model answers built from chunks: bare, fenced, wrapped in prose, cut off, or loosely shaped."""
+    rows = parts(spark, sf_dir).withColumn("kind", ((F.col("doc_id") + F.col("chunk_index")) % 5).cast("long"))
+    head = F.concat(
+        F.lit('{"analyses":[{"sub_prompt_index":1,"sub_prompt_title":"Main point","sub_prompt_analyzed":"What is said","analysis_summary":"'),
+        "first", F.lit('","supporting_quotes":["'), "first", F.lit('","'), "turned",
+        F.lit('"],"analysis_context":"chunk '), F.col("chunk_index").cast("string"), F.lit('"}'),
+    )
+    second = F.concat(
+        F.lit(',{"sub_prompt_index":2,"analysis_summary":"'), "last", F.lit('","supporting_quotes":["**'), "last",
+        F.lit('**","zzqx vvkw jjpf"],"analysis_context":""}'),
+    )
+    loose = F.concat(
+        F.lit(',{"analysis_summary":"'), "last", F.lit('","supporting_quotes":"'), "last",
+        F.lit('"},{"sub_prompt_index":7,"sub_prompt_title":"Extra","analysis_summary":"more"}'),
+    )
+    end = F.lit("]}")
+    kind = F.col("kind")
+    response = (
+        F.when(kind == 0, F.concat(head, second, end))
+        .when(kind == 1, F.concat(F.lit("```json\n"), head, second, end, F.lit("\n```")))
+        .when(kind == 2, F.concat(F.lit("Here is the result: "), head, end, F.lit(" I hope it helps.")))
+        .when(kind == 3, F.left(head, F.length(head) - 20))
+        .otherwise(F.concat(head, loose, end))
+    )
+    return rows.select("request_id", "doc_id", "chunk_index", "kind", response.alias("response"))
+
+
+def split_request(rows: DataFrame) -> DataFrame:
+    """Document and chunk number back from the request id."""
+    ids = F.split("request_id", "-")
+    return rows.withColumn("doc_id", F.get(ids, F.lit(0)).cast("long")).withColumn("chunk_index", F.get(ids, F.lit(1)).cast("int"))
+
+
+def fact_responses(spark, sf_dir) -> DataFrame:
+    """Three fact attempts per chunk: clean, missing, cut off, with a weak fact, with an unknown type."""
+    rows = parts(spark, sf_dir).withColumn("attempt", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    k = (F.col("doc_id") + 3 * F.col("chunk_index") + F.col("attempt") * F.col("attempt")) % 5
+    good = F.concat(
+        F.lit('{"fact_name":"Length","fact_value":"'), F.length("text").cast("string"),
+        F.lit(' characters","fact_type":"amount","confidence":0.9,"metadata":{"page":"'), F.col("page_num").cast("string"),
+        F.lit('"}},{"fact_name":" Opening ","fact_value":"'), "first",
+        F.lit('","confidence":0.8,"source_text":"chunk '), F.col("chunk_index").cast("string"), F.lit('"}'),
+    )
+    begin = F.lit('{"extracted_facts":[')
+    odd = F.lit(',{"fact_name":"Oddity","fact_value":"odd","fact_type":"mystery","confidence":0.4}],"fact_types_found":["amount"]}')
+    weak = F.lit(',{"fact_name":"Rate","fact_value":"unknown","fact_type":"percentage","confidence":0.7}],"fact_types_found":["percentage"]}')
+    response = (
+        F.when(k == 0, F.concat(F.lit("```json\n"), begin, good, odd, F.lit("\n```")))
+        .when(k == 1, F.lit(None).cast("string"))
+        .when(k == 2, F.concat(begin, good))
+        .when(k == 3, F.concat(begin, good, weak))
+        .otherwise(F.concat(begin, good, F.lit('],"fact_types_found":["mystery"]}')))
+    )
+    return rows.select("request_id", "attempt", response.alias("response"))
+
+
+def crossing_phrases(spark, sf_dir) -> DataFrame:
+    """Phrases that run over a page break: the end of one chunk and the start of the next."""
+    pairs = ch.next_page_pairs(chunks(spark, sf_dir))
+    phrase = F.trim(F.concat_ws(" ", F.right("text_a", F.lit(60)), F.left("text_b", F.lit(60))))
+    return pairs.select("doc_id", F.lit("section_9_crossing").alias("section_key"), phrase.alias("phrase"))

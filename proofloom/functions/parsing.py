@@ -53,7 +53,7 @@ def json_envelope(response) -> Column:
 
 
 def clamp01(value: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
+    return F.when(value.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)))
 
 
 def pair_score(response) -> Column:

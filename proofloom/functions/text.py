@@ -131,6 +131,13 @@ def preview(text, size: int = 200, always: bool = False) -> Column:
     return cut if always else F.when(F.length(text) > size, cut).otherwise(text)
 
 
+def fixed(value, digits: int) -> Column:
+    """Fixed-point text: ties go to the even digit, a negative number keeps its sign at zero."""
+    value = _col(value).cast("double")
+    body = F.format_string(f"%.{digits}f", F.bround(F.abs(value), digits))
+    return F.concat(F.when(value < 0, F.lit("-")).otherwise(F.lit("")), body)
+
+
 def page_label(page) -> Column:
     return F.coalesce(F.concat(F.lit("Page "), (_col(page) + 1).cast("string")), F.lit("Page unknown"))
 
@@ -139,17 +146,17 @@ def score_label(score, percent: bool = False) -> Column:
     """One decimal, or N/A for a missing or zero score."""
     score = _col(score).cast("double")
     return F.when(score.isNull() | (score == 0), F.lit("N/A")).otherwise(
-        F.format_string("%.1f%%" if percent else "%.1f", score)
+        F.concat(fixed(score, 1), F.lit("%" if percent else ""))
     )
 
 
 def size_label(size) -> Column:
     """Bytes as text in steps of 1024 with two decimals."""
     size = _col(size).cast("double")
-    out = F.format_string("%.2f PB", size / float(1024**5))
+    out = F.concat(fixed(size / float(1024**5), 2), F.lit(" PB"))
     for power, unit in reversed(list(enumerate(["B", "KB", "MB", "GB", "TB"]))):
         scaled = size / float(1024**power)
-        out = F.when(scaled < 1024, F.format_string("%.2f " + unit, scaled)).otherwise(out)
+        out = F.when(scaled < 1024, F.concat(fixed(scaled, 2), F.lit(" " + unit))).otherwise(out)
     return out
 
 
@@ -176,20 +183,20 @@ def file_suffix(path) -> Column:
 
 def analysis_line(chunk_id, page, score, text) -> Column:
     return F.format_string(
-        "Chunk ID: %s, Page: %d, Score: %.3f\nTEXT: %s",
+        "Chunk ID: %s, Page: %d, Score: %s\nTEXT: %s",
         F.coalesce(_col(chunk_id), F.lit("unknown")),
         (F.coalesce(_col(page), F.lit(-1)) + 1).cast("long"),
-        F.coalesce(_col(score), F.lit(0.0)),
+        fixed(F.coalesce(_col(score), F.lit(0.0)), 3),
         F.coalesce(_col(text), F.lit("")),
     )
 
 
 def chat_line(name, page, score, text) -> Column:
     return F.format_string(
-        "Source: %s, Page: %d\nScore: %.3f\nContent: %s",
+        "Source: %s, Page: %d\nScore: %s\nContent: %s",
         F.coalesce(_col(name), F.lit("Unknown")),
         (F.coalesce(_col(page), F.lit(-1)) + 1).cast("long"),
-        F.coalesce(_col(score), F.lit(0.0)),
+        fixed(F.coalesce(_col(score), F.lit(0.0)), 3),
         F.coalesce(_col(text), F.lit("")),
     )
 
