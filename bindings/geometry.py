@@ -19,7 +19,7 @@ SELECT c.doc_id, c.chunk_index, 'chunk_' || c.chunk_index AS chunk_id, c.page_nu
        CAST(coalesce(b.n_boxes, 0) AS INTEGER) AS n_boxes, b.x0, b.y0, b.x1, b.y1
 FROM t_chunks c LEFT JOIN t_boxes b ON b.doc_id = c.doc_id AND b.chunk_index = c.chunk_index""")
 def p01(spark, d):
-    rows = tb.chunks(spark, d).withColumn("n_boxes", F.size("bboxes")).withColumn("box", ch.union_box(F.col("bboxes")))
+    rows = tb.fresh_chunks(spark, d).withColumn("n_boxes", F.size("bboxes")).withColumn("box", ch.union_box(F.col("bboxes")))
     return rows.select("doc_id", "chunk_index", "chunk_id", "page_num", "text", "char_start", "char_end", "n_boxes", "box.*")
 
 

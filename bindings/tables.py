@@ -37,7 +37,18 @@ def blocks(spark, sf_dir) -> DataFrame:
     return src.document_blocks(documents(spark, sf_dir))
 
 
+_STORED: dict[tuple[str, str], DataFrame] = {}
+
+
 def chunks(spark, sf_dir) -> DataFrame:
+    """The chunk table, ingested once per session and read by every query that needs chunks."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        _STORED[key] = stored(fresh_chunks(spark, sf_dir), "chunks")
+    return _STORED[key]
+
+
+def fresh_chunks(spark, sf_dir) -> DataFrame:
     return ch.chunks_from_documents(documents(spark, sf_dir))
 
 

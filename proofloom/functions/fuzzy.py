@@ -36,53 +36,52 @@ def ratio(a: str, b: str) -> float:
     return 100.0 if total == 0 else 200.0 * _lcs(_masks(a), len(a), b) / total
 
 
-def _window_bounds(short: str, long: str) -> np.ndarray:
-    """For each start in ``long``: most characters a window of len(short) can share with ``short``."""
-    codes = np.frombuffer(long.encode("utf-32-le"), dtype=np.uint32)
-    m, n = len(short), len(long)
-    total = np.zeros(n - m + 1, dtype=np.int64)
-    for char in set(short):
-        running = np.concatenate(([0], np.cumsum(codes == ord(char))))
-        total += np.minimum(running[m:] - running[:-m], short.count(char))
-    return total
+def _window_scores(masks: dict[str, int], m: int, long: str) -> int:
+    """Best common length of the pattern with any window of its own length.
 
+    All windows advance together: each owns a lane of a long integer, and because window i+1
+    reads at step j what window i reads at step j+1, one table of lanes serves every step.
+    """
+    lane_bytes = m // 8 + 1
+    lane_bits = 8 * lane_bytes
+    windows = len(long) - m + 1
+    lanes = {c: masks.get(c, 0).to_bytes(lane_bytes, "little") for c in set(long)}
+    table = int.from_bytes(b"".join([lanes[c] for c in long]), "little")
+    full = int.from_bytes(((1 << m) - 1).to_bytes(lane_bytes, "little") * windows, "little")
+    state = full
+    for _ in range(m):
+        hit = state & table
+        state = ((state + hit) | (state - hit)) & full
+        table >>= lane_bits
+    left = np.frombuffer(state.to_bytes(lane_bytes * windows, "little"), dtype=np.uint8).reshape(windows, lane_bytes)
+    return m - int(np.bitwise_count(left).sum(axis=1).min())
 
-def partial_ratio(a: str, b: str, floor: float = 0.0) -> float:
-    """Best ratio of the shorter text against any stretch of the longer one, 0-100.
 
-    Windows that cannot reach ``floor`` (or the best so far) by their characters are skipped;
-    values below ``floor`` come back as 0.
-    """
+def _edge_score(pattern: str, text: str) -> float:
+    """Best ratio of the pattern against beginnings of ``text`` shorter than itself."""
+    m = len(pattern)
+    masks, full = _masks(pattern), (1 << m) - 1
+    state, best = full, 0.0
+    for size, char in enumerate(text[: m - 1], start=1):
+        hit = state & masks.get(char, 0)
+        state = ((state + hit) | (state - hit)) & full
+        best = max(best, 200.0 * (m - state.bit_count()) / (m + size))
+    return best
+
+
+def partial_ratio(a: str, b: str) -> float:
+    """Best ratio of the shorter text against any stretch of the longer one, 0-100."""
     short, long = (a, b) if len(a) <= len(b) else (b, a)
     m, n = len(short), len(long)
     if m == 0:
         return 100.0 if n == 0 else 0.0
     if short in long:
         return 100.0
-    masks, best = _masks(short), 0.0
-    shared = _window_bounds(short, long)
-    bounds = 100.0 * shared / m
-    for start in np.argsort(-bounds, kind="stable"):
-        if bounds[start] < floor or bounds[start] <= best:
-            break
-        best = max(best, 100.0 * _lcs(masks, m, long[start : start + m]) / m)
-    # Stretches at both ends may be shorter than the window.
-    need = max(floor, best)
-    for size in range(m - 1, 0, -1):
-        if 200.0 * size / (m + size) <= need:
-            break
-        for piece in (long[:size], long[n - size :]):
-            best = max(best, 200.0 * _lcs(masks, m, piece) / (m + size))
-        need = max(floor, best)
-    if m == n and best < 100.0:
-        other = _masks(long)
-        for size in range(m - 1, 0, -1):
-            if 200.0 * size / (m + size) <= need:
-                break
-            for piece in (short[:size], short[m - size :]):
-                best = max(best, 200.0 * _lcs(other, n, piece) / (n + size))
-            need = max(floor, best)
-    return best if best >= floor else 0.0
+    best = 100.0 * _window_scores(_masks(short), m, long) / m
+    best = max(best, _edge_score(short, long), _edge_score(short[::-1], long[::-1]))
+    if m == n:
+        best = max(best, _edge_score(long, short), _edge_score(long[::-1], short[::-1]))
+    return best
 
 
 def token_form(text: str) -> str:
@@ -129,7 +128,7 @@ def _score(phrase: str, phrase_set: frozenset, text: str, text_set: frozenset, t
     token = round(token_set_ratio(phrase_set, text_set, floor))
     if token >= 100:
         return 100
-    score = max(token, round(partial_ratio(phrase, text, max(floor, float(token)))))
+    score = max(token, round(partial_ratio(phrase, text)))
     return score if score >= threshold else 0
 
 

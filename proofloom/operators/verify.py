@@ -55,6 +55,13 @@ def with_forms(phrases: DataFrame) -> DataFrame:
     )
 
 
+def comparable(texts: DataFrame) -> DataFrame:
+    """Texts with the forms all comparisons use, made once per text and before any join."""
+    return texts.select("doc_id", "chunk_index", tx.normalize("text").alias("norm_text")).withColumn(
+        "own_words", token_set(F.col("norm_text"))
+    )
+
+
 def token_set(text: Column) -> Column:
     """Distinct tokens as the token-set score sees them."""
     kept = F.regexp_replace(F.lower(F.regexp_replace(text, "[\u0080-ÿ]", "")), r"(?U)[^\w]", " ")
@@ -83,10 +90,9 @@ def exact_matches(phrases: DataFrame, chunks: DataFrame) -> DataFrame:
     scoped = "doc_id" in phrases.columns
     on = ["key", "doc_id"] if scoped else ["key"]
     keep = [c for c in phrases.columns if c != "doc_id" or scoped]
-    texts = chunks.select("doc_id", "chunk_index", tx.normalize("text").alias("norm_text"))
-    wanted = phrases.where(F.length("norm_phrase") > 0)
-    tokens = token_set(F.col("norm_phrase"))
-    longest = F.array_sort(F.transform(tokens, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
+    texts = comparable(chunks)
+    wanted = phrases.where(F.length("norm_phrase") > 0).withColumn("_words", token_set(F.col("norm_phrase")))
+    longest = F.array_sort(F.transform("_words", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
     by_word = wanted.withColumn("key", _key_token(F.col("norm_phrase")))
     gram = F.substring("norm_phrase", 1, 3)
     by_gram = by_word.where(F.col("key").isNull()).withColumn("key", gram)
@@ -113,13 +119,13 @@ def exact_matches(phrases: DataFrame, chunks: DataFrame) -> DataFrame:
         )
     )
     words = F.array_distinct(F.split("norm_text", " "))
-    all_words = F.size(F.array_except(token_set(F.col("norm_phrase")), token_set(F.col("norm_text")))) == 0
+    all_words = F.size(F.array_except("_words", "own_words")) == 0
     by_text = meet(by_word.where(F.col("key").isNotNull()), words, contained)
     short = by_gram
     if not short.isEmpty():
         by_text = by_text.unionByName(meet(short, grams, contained))
     found = by_text.withColumn("match_tier", F.lit(1)).unionByName(
-        meet(by_set, token_set(F.col("norm_text")), all_words).withColumn("match_tier", F.lit(2))
+        meet(by_set, F.col("own_words"), all_words).withColumn("match_tier", F.lit(2))
     )
     keys = [c for c in found.columns if c != "match_tier"]
     return found.groupBy(*keys).agg(F.min("match_tier").alias("match_tier")).withColumn("match_score", F.lit(100))
@@ -129,12 +135,12 @@ def phrase_blocks(phrases: DataFrame, form: str, block: int = PHRASE_BLOCK) -> D
     """A document's phrases packed into rows of about ``block``, so one document is many rows."""
     counts = phrases.groupBy("doc_id").agg(F.ceil(F.count("*") / block).alias("_n"))
     placed = salted_join(phrases, counts, ["doc_id"], ["phrase"], salts=4).withColumn("_block", F.pmod(F.xxhash64("phrase"), F.col("_n")))
-    item = F.struct(F.col("phrase"), F.col(form).alias("form"))
+    item = F.struct(F.col("phrase"), F.col(form).alias("form"), token_set(F.col(form)).alias("words"))
     return placed.groupBy("doc_id", "_block").agg(F.array_sort(F.collect_list(item)).alias("items")).drop("_block")
 
 
 def fuzzy_matches(phrases: DataFrame, texts: DataFrame, form: str, threshold: int, fuzzy: bool = True) -> DataFrame:
-    """Phrases of a document against its texts (doc_id, chunk_index, norm_text): score at or above ``threshold``.
+    """Phrases of a document against its ``comparable`` texts: score at or above ``threshold``.
 
     Rows carry one text and a packed list of phrases; only matches come out. With
     ``fuzzy=False`` the two exact tiers alone are tested, in the JVM.
@@ -147,12 +153,10 @@ def fuzzy_matches(phrases: DataFrame, texts: DataFrame, form: str, threshold: in
             found, lambda m: F.struct(F.get("items", m["pos"])["phrase"].alias("phrase"), m["score"].alias("match_score"))
         )
     else:
-        own = token_set(F.col("norm_text"))
-        rows = rows.withColumn("_own", own)
         fits = F.filter(
             "items",
             lambda p: F.contains(F.col("norm_text"), p["form"])
-            | ((F.size(token_set(p["form"])) > 0) & (F.size(F.array_except(token_set(p["form"]), F.col("_own"))) == 0)),
+            | ((F.size(p["words"]) > 0) & (F.size(F.array_except(p["words"], F.col("own_words"))) == 0)),
         )
         hits = F.transform(fits, lambda p: F.struct(p["phrase"].alias("phrase"), F.lit(100).alias("match_score")))
     return rows.withColumn("_hits", hits).select("doc_id", "chunk_index", F.explode("_hits").alias("h")).select(
@@ -173,10 +177,10 @@ def match_passes(phrases: DataFrame, chunks: DataFrame, fuzzy: bool = True) -> t
 
     Each pass sees only phrases the earlier ones left. Later passes keep the first match only.
     """
-    texts = chunks.select("doc_id", "chunk_index", tx.normalize("text").alias("norm_text"))
+    texts = comparable(chunks)
     single = fuzzy_matches(phrases, texts, "norm_phrase", THRESHOLD, fuzzy)
     rest = unmatched(phrases, single)
-    pairs = next_page_pairs(chunks).select("doc_id", "chunk_index", tx.normalize("text").alias("norm_text"))
+    pairs = comparable(next_page_pairs(chunks))
     first = [F.asc("chunk_index")]
     crossed = first_rows(fuzzy_matches(rest, pairs, "norm_phrase", THRESHOLD, fuzzy), ["doc_id", "phrase"], first, 1)
     quoted = unmatched(rest, crossed).where(F.contains("phrase", F.lit('"')))
