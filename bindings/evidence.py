@@ -165,7 +165,7 @@ def s06(spark, d):
     path = f"{checkpoint_root(spark)}/export-{uuid.uuid4().hex}"
     ex.write_flat(ex.export_rows(_evidence(spark, d), _name()), path)
     schema = ", ".join(f"`{c}` string" for c in ex.EXPORT_COLUMNS)
-    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("emptyValue", "").schema(schema).csv(path)
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).option("nullValue", "\\N").schema(schema).csv(path)
 
 
 @query("a18_needs_review", "SELECT doc_id, section_key, bool_or(phrase IS NOT NULL AND NOT verified) AS needs_review FROM t_evidence GROUP BY doc_id, section_key")

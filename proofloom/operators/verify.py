@@ -148,6 +148,10 @@ def fuzzy_matches(phrases: DataFrame, texts: DataFrame, form: str, threshold: in
     packed = phrase_blocks(phrases.where(F.length(form) > 0), form)
     rows = salted_join(texts.where(F.length("norm_text") > 0), packed, ["doc_id"], ["chunk_index"], salts=4)
     if fuzzy:
+        # Scoring is far dearer than its bytes suggest: a fixed count keeps all cores busy.
+        session = texts.sparkSession
+        n = max(int(session.conf.get("spark.sql.shuffle.partitions")), 2 * session.sparkContext.defaultParallelism)
+        rows = rows.repartition(n, "doc_id", "chunk_index")
         found = phrase_matcher(threshold)(F.col("norm_text"), F.col("items.form"))
         hits = F.transform(
             found, lambda m: F.struct(F.get("items", m["pos"])["phrase"].alias("phrase"), m["score"].alias("match_score"))
