@@ -9,6 +9,8 @@ from proofloom.functions import text as tx
 from proofloom.functions.fuzzy import phrase_matcher
 from proofloom.functions.spread import first_rows, is_small, salted_join
 from proofloom.operators.chunking import box_is_filled, next_page_pairs, union_box
+from proofloom.session import stored
+from proofloom.sources.documents import explode_rows
 
 # Thresholds, location methods and their display priority.
 THRESHOLD = 85
@@ -163,8 +165,8 @@ def fuzzy_matches(phrases: DataFrame, texts: DataFrame, form: str, threshold: in
             | ((F.size(p["words"]) > 0) & (F.size(F.array_except(p["words"], F.col("own_words"))) == 0)),
         )
         hits = F.transform(fits, lambda p: F.struct(p["phrase"].alias("phrase"), F.lit(100).alias("match_score")))
-    return rows.withColumn("_hits", hits).select("doc_id", "chunk_index", F.explode("_hits").alias("h")).select(
-        "doc_id", "chunk_index", "h.phrase", "h.match_score"
+    return explode_rows(rows, hits, "doc_id", "chunk_index").select(
+        "doc_id", "chunk_index", "item.phrase", "item.match_score"
     )
 
 
@@ -180,15 +182,20 @@ def match_passes(phrases: DataFrame, chunks: DataFrame, fuzzy: bool = True) -> t
     """Three passes: single chunks, page-crossing pairs, then quote-free and more lenient.
 
     Each pass sees only phrases the earlier ones left. Later passes keep the first match only.
+    Every pass is written once, because the next ones and the locations read it again.
     """
     texts = comparable(chunks)
-    single = fuzzy_matches(phrases, texts, "norm_phrase", THRESHOLD, fuzzy)
+    single = stored(fuzzy_matches(phrases, texts, "norm_phrase", THRESHOLD, fuzzy), "single")
     rest = unmatched(phrases, single)
     pairs = comparable(next_page_pairs(chunks))
     first = [F.asc("chunk_index")]
-    crossed = first_rows(fuzzy_matches(rest, pairs, "norm_phrase", THRESHOLD, fuzzy), ["doc_id", "phrase"], first, 1)
+    crossed = stored(
+        first_rows(fuzzy_matches(rest, pairs, "norm_phrase", THRESHOLD, fuzzy), ["doc_id", "phrase"], first, 1), "crossed"
+    )
     quoted = unmatched(rest, crossed).where(F.contains("phrase", F.lit('"')))
-    lenient = first_rows(fuzzy_matches(quoted, texts, "quoteless", QUOTE_THRESHOLD, fuzzy), ["doc_id", "phrase"], first, 1)
+    lenient = stored(
+        first_rows(fuzzy_matches(quoted, texts, "quoteless", QUOTE_THRESHOLD, fuzzy), ["doc_id", "phrase"], first, 1), "lenient"
+    )
     return single, crossed.drop("rank"), lenient.drop("rank")
 
 

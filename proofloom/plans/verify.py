@@ -18,12 +18,11 @@ class Verified(NamedTuple):
 def verify_phrases(section_phrases: DataFrame, chunks: DataFrame, fuzzy: bool = True) -> Verified:
     """Verdict per (document, phrase) and every place found.
 
-    Chunks and first-pass matches are each written once: all passes and the locations read them.
+    Chunks and phrases are each written once: all passes and the locations read them.
     """
     chunks = stored(chunks, "chunks")
     phrases = stored(v.with_forms(v.phrases_to_verify(section_phrases)), "phrases")
     single, crossed, lenient = v.match_passes(phrases, chunks, fuzzy)
-    single, crossed, lenient = stored(single, "single"), stored(crossed, "crossed"), stored(lenient, "lenient")
     locations = (
         v.locate_single(single, phrases, chunks)
         .unionByName(v.locate_crossed(crossed, chunks))
