@@ -10,11 +10,13 @@ Appending bytes extends the table; an edit keeps the table up to the edit.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 from proofloom.llm.tables import joined, mapped
 
 UNKNOWN = "�".encode()
-CACHE_PIECES = 400_000
+NOT_CUT = re.compile(r" (?=\s|$|\Z)")
+CACHE_PIECES = 200_000
 CACHED_BYTES = 64
+SHIFT = 24
 
 
 class Vocabulary:
@@ -34,34 +38,41 @@ class Vocabulary:
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         if missing := [b for b in range(256) if bytes((b,)) not in ranks]:
             raise ValueError(f"bytes without a token: {missing[:5]}")
+        self.single = [ranks[bytes((b,))] for b in range(256)]
+        self.pairs: dict[int, int] = {}
         self.endings: dict[bytes, int] = {}
         for token, rank in ranks.items():
             for k in range(1, len(token)):
+                left, right = ranks.get(token[:k]), ranks.get(token[k:])
+                if left is not None and right is not None:
+                    self.pairs[left << SHIFT | right] = rank
                 self.endings.setdefault(token[k:], -1)
-            self.endings[token] = rank if len(token) == 1 or self.merged(token) == [token] else -1
-        self.apart: dict[tuple[int, int], bool] = {}
+        for token, rank in ranks.items():
+            self.endings[token] = rank if self.merged(token) == [rank] else -1
+        self.apart: dict[int, bool] = {}
 
-    def merged(self, data: bytes) -> list[bytes]:
+    def merged(self, data: bytes) -> list[int]:
         """Merges the neighbours of lowest rank, the leftmost first; for a pair of tokens, so short data only."""
-        parts = [data[k : k + 1] for k in range(len(data))]
-        ranks = self.ranks
-        while len(parts) > 1:
-            found = [ranks.get(a + b, 1 << 60) for a, b in zip(parts, islice(parts, 1, None), strict=False)]
-            least = min(found)
-            if least == 1 << 60:
-                break
+        parts = [self.single[b] for b in data]
+        get, none = self.pairs.get, 1 << 60
+        found = [get(a << SHIFT | b, none) for a, b in zip(parts, parts[1:], strict=False)]
+        while found and (least := min(found)) != none:
             at = found.index(least)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            parts[at : at + 2] = [least]
+            del found[at]
+            if at < len(found):
+                found[at] = get(least << SHIFT | parts[at + 1], none)
+            if at:
+                found[at - 1] = get(parts[at - 1] << SHIFT | least, none)
         return parts
 
     def stay_apart(self, left: int, right: int) -> bool:
-        known = self.apart.get((left, right))
+        known = self.apart.get(left << SHIFT | right)
         if known is None:
-            a, b = self.bytes_of[left], self.bytes_of[right]
-            known = a + b not in self.ranks and self.merged(a + b) == [a, b]
+            known = left << SHIFT | right not in self.pairs and self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
             if len(self.apart) > 4 * CACHE_PIECES:
                 self.apart.clear()
-            self.apart[left, right] = known
+            self.apart[left << SHIFT | right] = known
         return known
 
 
@@ -77,7 +88,7 @@ class PrefixTable:
     def append(self, more: bytes) -> None:
         begin = len(self.data)
         self.data += more
-        data, last, endings = self.data, self.last, self.vocabulary.endings
+        data, last, endings, apart = self.data, self.last, self.vocabulary.endings, self.vocabulary.stay_apart
         for end in range(begin + 1, len(data) + 1):
             fits = []
             start = end - 1
@@ -85,7 +96,11 @@ class PrefixTable:
                 if token >= 0:
                     fits.append((start, token))
                 start -= 1
-            last.append(next(t for s, t in reversed(fits) if s == 0 or self.vocabulary.stay_apart(last[s], t)))
+            while True:
+                start, token = fits.pop()
+                if start == 0 or apart(last[start], token):
+                    break
+            last.append(token)
 
     def replace(self, start: int, stop: int, new: bytes) -> None:
         """Puts ``new`` in place of the bytes from start to stop; what stands before keeps its table."""
@@ -105,29 +120,78 @@ class PrefixTable:
 
 class TextEncoder:
     """Encodes whole texts, each match of the pattern by itself. As in the public library, a match that is
-    a token as a whole takes its id; ranks without such odd tokens give the merged encoding either way."""
+    a token as a whole takes its id; ranks without such odd tokens give the merged encoding either way.
+
+    ``spaced`` says that the pattern always parts a text before a space that something else than white space
+    follows. Texts are then cut there first, and the pattern is applied to new words only."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, spaced: bool = False):
         self.vocabulary = Vocabulary(ranks)
         self.split: Callable[[str], Iterable[str]] = regex.compile(pattern).findall
+        self.spaced = spaced
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.prefixes: dict[bytes, int] = {}
 
     def piece(self, text: str) -> bytes:
         data = text.encode()
         whole = self.vocabulary.ranks.get(data)
-        ids = PrefixTable(self.vocabulary, data).ids() if whole is None else (whole,)
-        packed = np.array(ids, "<i4").tobytes()
-        if len(data) <= CACHED_BYTES:
-            if len(self.known) >= CACHE_PIECES:
-                self.known.clear()
-            self.known[text] = packed
+        if whole is not None:
+            packed = whole.to_bytes(4, "little")
+        elif len(data) > CACHED_BYTES:
+            return np.array(PrefixTable(self.vocabulary, data).ids(), "<i4").tobytes()
+        else:
+            packed = np.array(self.from_prefixes(data).ids(), "<i4").tobytes()
+        if len(self.known) >= CACHE_PIECES:
+            self.known.clear()
+        self.known[text] = packed
         return packed
 
-    def packed(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit numbers."""
+    def from_prefixes(self, data: bytes) -> PrefixTable:
+        """Starts from the longest prefix met before; a prefix has the same last token in every piece."""
+        prefixes, end = self.prefixes, len(data)
+        while end and data[:end] not in prefixes:
+            end -= 1
+        table = PrefixTable(self.vocabulary)
+        table.data = data[:end]
+        table.last += [prefixes[data[:k]] for k in range(1, end + 1)]
+        table.append(data[end:])
+        if len(prefixes) > CACHE_PIECES:
+            prefixes.clear()
+            end = 0
+        for k in range(end + 1, len(data) + 1):
+            prefixes[data[:k]] = table.last[k]
+        return table
+
+    def by_pattern(self, text: str) -> bytes:
         known, piece = self.known.get, self.piece
         return b"".join([known(p) or piece(p) for p in self.split(text)])
 
+    def word(self, text: str) -> bytes:
+        packed = self.by_pattern(" " + text)
+        if len(text) <= CACHED_BYTES:
+            if len(self.words) >= 2 * CACHE_PIECES:
+                self.words.clear()
+            self.words[text] = packed
+        return packed
+
+    def packed(self, text: str) -> bytes:
+        """Ids as little-endian 32-bit numbers."""
+        if not self.spaced:
+            return self.by_pattern(text)
+        first, *rest = text.split(" ")
+        words, word = self.words.get, self.word
+        if NOT_CUT.search(text):  # some of the spaces are no cuts
+            joined_up, rest = [first], rest[::-1]
+            while rest:
+                part = rest.pop()
+                if part and not part[0].isspace():
+                    joined_up.append(part)
+                else:
+                    joined_up[-1] += " " + part
+            first, *rest = joined_up
+        return self.by_pattern(first) + b"".join([words(w) or word(w) for w in rest])
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), "<i4").tolist()
 
@@ -145,26 +209,26 @@ class TextEncoder:
         return [*old_ids[:first], *np.frombuffer(middle, "<i4").tolist(), *old_ids[last:]]
 
 
-_ENCODERS: dict[tuple[int, str], TextEncoder] = {}
+_ENCODERS: dict[tuple[int, str, bool], TextEncoder] = {}
 
 
-def _shared_encoder(key: tuple[int, str], ranks: dict[bytes, int], pattern: str) -> TextEncoder:
+def _shared_encoder(key: tuple[int, str, bool], ranks: dict[bytes, int]) -> TextEncoder:
     """One encoder per Python worker, so that its pieces serve later tasks too."""
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = TextEncoder(ranks, pattern)
+        _ENCODERS[key] = TextEncoder(ranks, *key[1:])
     return _ENCODERS[key]
 
 
-def encoded(spark: SparkSession, text: Column, ranks: dict[bytes, int], pattern: str) -> Column:
+def encoded(spark: SparkSession, text: Column, ranks: dict[bytes, int], pattern: str, spaced: bool = False) -> Column:
     """Token ids of whole texts as an array column. Null and empty texts give an empty array.
 
     The ranks are broadcast; a vocabulary is a fixed file of a few MB, whatever the corpus."""
     sent = spark.sparkContext.broadcast(ranks)
-    key = (hash(tuple(islice(ranks.items(), 1000))) ^ len(ranks), pattern)
+    key = (hash(tuple(islice(ranks.items(), 1000))) ^ len(ranks), pattern, spaced)
 
     def make() -> Callable[[pa.Array], pa.Array]:
-        encoder = _shared_encoder(key, sent.value, pattern)
+        encoder = _shared_encoder(key, sent.value)
         return lambda batch: joined([encoder.packed(t) if t else b"" for t in batch.to_pylist()], pa.int32(), "<i4")
 
     return mapped(make, "array<int>")(text)
@@ -175,26 +239,31 @@ def decoded(spark: SparkSession, ids: Column, ranks: dict[bytes, int]) -> Column
     sent = spark.sparkContext.broadcast(ranks)
 
     def make() -> Callable[[pa.Array], pa.Array]:
-        bytes_of = {rank: token for token, rank in sent.value.items()}
+        size = max(sent.value.values()) + 1
+        bytes_of = np.full(size + 1, UNKNOWN, object)
+        for token, rank in sent.value.items():
+            bytes_of[rank] = token
 
         def one(batch: pa.Array) -> pa.Array:
-            flat, ends = batch.flatten(), np.cumsum([0, *(len(row) if row.is_valid else 0 for row in batch)])
+            flat, ends = batch.flatten(), np.cumsum([0, *pc.fill_null(pc.list_value_length(batch), 0).to_pylist()])
             if flat.null_count:
                 flat = flat.fill_null(-1)
             values = flat.to_numpy(zero_copy_only=False)
-            rows = (values[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True))
-            return pa.array([b"".join([bytes_of.get(k, UNKNOWN) for k in row]) for row in rows], pa.binary())
+            values = np.where((values < 0) | (values > size), size, values)
+            return pa.array([b"".join(bytes_of[values[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
 
         return one
 
     return mapped(make, "binary")(ids)
 
 
-def encode_texts(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", back: str = "decoded") -> DataFrame:
+def encode_texts(
+    df: DataFrame, ranks: dict[bytes, int], pattern: str, spaced: bool = False, text: str = "text", ids: str = "ids", back: str = "decoded"
+) -> DataFrame:
     """``df`` with the ids of each text and the bytes that these ids stand for.
 
     Columns of ``df`` that have the names ``ids`` or ``back`` are replaced; all others stay. Repeated rows
     are encoded alike, an empty table stays empty."""
     spark = df.sparkSession
-    with_ids = df.withColumn(ids, encoded(spark, F.col(text), ranks, pattern))
+    with_ids = df.withColumn(ids, encoded(spark, F.col(text), ranks, pattern, spaced))
     return with_ids.withColumn(back, decoded(spark, F.col(ids), ranks))

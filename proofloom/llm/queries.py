@@ -16,7 +16,7 @@ def bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bytepair.encode_texts(docs, ranks, public_tokenizers.PATTERN)
+    coded = bytepair.encode_texts(docs, ranks, public_tokenizers.PATTERN, spaced=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from proofloom.session import checkpoint_root, stored
 
-BATCH_BYTES = str(8 << 20)
+BATCH_BYTES = str(4 << 20)
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 __all__ = ["ASCII_UPPER", "bounded_batches", "checkpoint_root", "joined", "lower_ascii", "mapped", "read_ranks", "stored", "table", "text_key"]
@@ -24,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches end after 8 MB of input, so that long texts do not pile up in a Python worker."""
+    """Arrow batches end after 4 MB of input, so that long texts do not pile up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
