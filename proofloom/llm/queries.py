@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofloom.llm import bytepair, contamination, search, urls
+from proofloom.llm import bytepair, contamination, neardup, search, urls
 from proofloom.llm.tables import bounded_batches, read_ranks, table
 
 
@@ -86,10 +86,16 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
 
+def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_roundtrip": bpe_roundtrip,
     "op3_url_verdicts": url_verdicts,
     "op4_vector_top": vector_top,
     "op5_benchmark_hits": benchmark_hits,
+    "op8_near_copies": near_copies,
 }
 ORACLES: dict[str, str] = {"op4_vector_top": VECTOR_TOP, "op5_benchmark_hits": BENCHMARK_HITS}
