@@ -4,8 +4,8 @@ One hash of every shingle gives a whole signature: its high bits choose a bin, a
 hash. Empty bins borrow from a bin that a fixed random order of their own names first, so that equal sets
 borrow alike and unequal ones independently (optimal densification). Bands of bins make the buckets. Each
 bucket yields a star, its members against the smallest one, never all pairs. Candidates are confirmed on the
-full sets. Where a bucket still holds several components after that, further members become hubs, until
-every pair of the bucket that could join two components has been compared.
+full sets. Where a bucket still holds several components after that, its members are compared in tiles of bounded
+size, and only links that join components leave a tile.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofloom.llm.components import components
@@ -23,6 +24,7 @@ from proofloom.llm.tables import joined, mapped, stored
 
 BANDS, ROWS = 40, 5
 BROADCAST_IDS = 2_000_000
+TILE, COLUMNS = 512, 4096
 FEATURES = "struct<n:int,hi:bigint,lo:bigint,bands:array<bigint>>"
 
 
@@ -118,28 +120,79 @@ def _within(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, set) of the wanted documents; a counted and small number of ids is broadcast."""
+    wanted = stored(ids.select("id").distinct(), "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    return docs.join(few, "id", "left_semi").select("id", hash_sets(F.col("text"), words).alias("set")).distinct()
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of (id, text) rows whose full shingle sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    n = wanted.count()
-    sets = docs.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "id", "left_semi").select("id", hash_sets(F.col("text"), words).alias("set")).distinct()
-    sets = stored(sets, "sets")
+    sets = stored(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), words), "sets")
     left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
     shared = F.size(F.array_intersect("sa", "sb"))
     alike = shared * 100 >= (F.size("sa") + F.size("sb") - shared) * percent
     return pairs.join(left, "a").join(right, "b").where(alike).select("a", "b").distinct()
 
 
-def _next_pairs(members: DataFrame, comps: DataFrame, hubs: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of buckets with several components left: pairs of the first ``hubs`` members with later ones of other
-    components, and the members without these hubs."""
-    placed = members.join(comps, members["id"] == comps["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("c"))
-    several = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    ranked = placed.join(several, "key").withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id")))
-    ranked = stored(ranked, "buckets")
-    first = ranked.where(F.col("r") <= hubs).select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), F.col("r").alias("ra"))
-    pairs = first.join(ranked, "key").where((F.col("ra") < F.col("r")) & (F.col("ca") != F.col("c")) & _within(F.col("na"), F.col("n"), percent))
-    return pairs.select("a", F.col("id").alias("b")).distinct(), ranked.where(F.col("r") > hubs).select("key", "id", "n")
+def joining_links(ids: list[int], comps: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components, as many as it takes to join what is linked.
+
+    Sizes of intersections come from products of 0/1 matrices over the shingles that several members share."""
+    values, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    shared = seen > 1
+    place = np.cumsum(shared) - 1
+    owner, column = owner[shared[at]], place[at[shared[at]]]
+    size = np.array([len(x) for x in sets], np.float64)
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for start in range(0, int(shared.sum()), COLUMNS):
+        low, high = np.searchsorted(column, (start, start + COLUMNS))
+        block = np.zeros((len(sets), COLUMNS), np.float32)
+        block[owner[low:high], column[low:high] - start] = 1
+        common += block @ block.T
+    alike = common.astype(np.float64) * 100 >= (size[:, None] + size[None, :] - common) * percent
+    comp = np.array(comps)
+    left, right = np.nonzero(np.triu(alike & (comp[:, None] != comp[None, :]), 1))
+    root = {c: c for c in comps}
+    out = []
+    for x, y in zip(left.tolist(), right.tolist(), strict=True):
+        cx, cy = comps[x], comps[y]
+        while root[cx] != cx:
+            cx = root[cx]
+        while root[cy] != cy:
+            cy = root[cy]
+        if cx != cy:
+            root[max(cx, cy)] = min(cx, cy)
+            out.append((ids[x], ids[y]))
+    return out
+
+
+def _tile_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    found = joining_links(rows["id"].tolist(), rows["c"].tolist(), rows["set"].tolist(), percent) if rows["c"].nunique() > 1 else []
+    return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+
+def remaining_links(texts: DataFrame, members: DataFrame, comps: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links that the stars can't show: between components that still meet in a bucket.
+
+    Buckets that meet form a family; its members are compared in tiles of bounded size, whatever their
+    number, each pair of tiles by one task, and only the links that join components leave the task."""
+    placed = members.join(comps, members["id"] == comps["node"], "left").select("key", "id", "hub", F.coalesce("component", "id").alias("c"))
+    several = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("size")).where("low <> high AND size > 2").select("key")
+    open_ = stored(placed.join(several, "key").select("id", F.col("hub.id").alias("h"), "c").distinct(), "open")
+    family = components(open_.select(F.col("id").alias("a"), F.col("h").alias("b")))
+    rows = open_.select("id", "c").distinct().join(family, F.col("id") == F.col("node")).select("id", "c", F.col("component").alias("family"))
+    rows = stored(rows, "families")
+    tiles = rows.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    rows = rows.join(tiles, "family").withColumn("t", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
+    rows = rows.join(_sets(texts, rows.select("id"), words), "id")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.where((F.col("tiles") == 1) | (F.col("other") != F.col("t"))).withColumns({"i": F.least("t", "other"), "j": F.greatest("t", "other")})
+    return rows.groupBy("family", "i", "j").applyInPandas(lambda x: _tile_links(x, percent), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -162,17 +215,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     pairs = members.where((F.col("id") != F.col("hub.id")) & _within(F.col("n"), F.col("hub.n"), percent)).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct()
     links = stored(confirmed(texts, stored(pairs, "pairs"), words, percent), "confirmed")
     comps = stored(components(links), "components")
-    left, turn = members.where((F.col("members") > 2) & (F.col("id") != F.col("hub.id"))).select("key", "id", "n"), 4
-    while True:
-        pairs, left = _next_pairs(left, comps, turn, percent)
-        pairs = stored(pairs, "pairs")
-        if pairs.isEmpty() and left.isEmpty():
-            break
-        more = stored(confirmed(texts, pairs, words, percent), "confirmed")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            comps = stored(components(links), "components")
-        turn *= 4
+    more = stored(remaining_links(texts, members, comps, words, percent), "confirmed")
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        comps = stored(components(links), "components")
     own = reps.select("hi", "lo", F.col("n").alias("size"), "rep")
     found = base.join(own, (base["hi"] == own["hi"]) & (base["lo"] == own["lo"]) & (base["n"] == own["size"]) & base["id"].isNotNull(), "left").select("id", "n", "rep")
     ids = found.select("id", "rep").where("id <> rep").unionByName(links.toDF("id", "rep")) if _repeats(found) else None
