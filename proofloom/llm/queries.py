@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofloom.llm import bytepair, contamination, neardup, search, urls
+from proofloom.llm import bytepair, contamination, neardup, repeats, search, urls
 from proofloom.llm.tables import bounded_batches, read_ranks, table
 
 
@@ -91,11 +91,25 @@ def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return repeats.without_repeats(docs).select(
+        "doc_id",
+        n_bytes.alias("n_bytes"),
+        (n_bytes - F.octet_length("kept_bytes")).cast("long").alias("n_removed"),
+        F.coalesce(F.octet_length("runs") / 16, F.lit(0)).cast("long").alias("n_spans"),
+        F.sha2("kept_bytes", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_roundtrip": bpe_roundtrip,
     "op3_url_verdicts": url_verdicts,
     "op4_vector_top": vector_top,
     "op5_benchmark_hits": benchmark_hits,
+    "op7_repeated_passages": repeated_passages,
     "op8_near_copies": near_copies,
 }
 ORACLES: dict[str, str] = {"op4_vector_top": VECTOR_TOP, "op5_benchmark_hits": BENCHMARK_HITS}
