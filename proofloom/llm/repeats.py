@@ -25,51 +25,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofloom.llm.neardup import mixed
-from proofloom.llm.tables import stored, text_key
+from proofloom.llm.tables import text_key
 
-SIZE, PIECE = 50, 12
-SLICE = 1 << 19
-FLUSH = 16 << 20
-BUCKET_BYTES = 12 << 20
+SIZE, PIECE = 50, 20
+SLICE = 1 << 18
+FLUSH = 8 << 20
+BUCKET_BYTES = 6 << 20
 MOST_TABLE_BITS = 1 << 29
-WINDOWS = 60_000
-STARTS = np.dtype([("doc", "<i8"), ("version", "<i8"), ("start", "<i8")])
+LONGEST, WINDOWS = 64, 60_000
 SPANS = "doc bigint, version bigint, start bigint, stop bigint"
 
 
+class SuffixArray:
+    """The suffixes of some strings that hold at least ``least`` bytes, in order, with their common prefixes."""
+
+    def __init__(self, strings: list[bytes], least: int):
+        text = np.frombuffer(b"".join(strings), np.uint8)
+        sizes = np.array([len(s) for s in strings])
+        begins = np.cumsum(sizes) - sizes
+        counts = np.maximum(sizes - least + 1, 0)
+        owner = np.repeat(np.arange(len(strings)), counts)
+        offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        at, left_over = begins[owner] + offset, sizes[owner] - offset
+        width = int(sizes.max(initial=1))
+        grid = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(width, np.uint8)]), width)[at]
+        grid[np.arange(width)[None, :] >= left_over[:, None]] = 0
+        order = np.argsort(grid.view(f"S{width}").ravel(), kind="stable")
+        grid, self.owner, self.offset, left_over, at = grid[order], owner[order], offset[order], left_over[order], at[order]
+        differ = grid[1:] != grid[:-1]
+        prefix = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+        self.prefix = np.minimum(prefix, np.minimum(left_over[1:], left_over[:-1]))
+        self.before = np.where(self.offset > 0, text[np.maximum(at, 1) - 1].astype(np.int64), -1 - np.arange(len(at)))
+        self.deep = np.flatnonzero(self.prefix >= least)
+
+    def runs(self) -> Iterator[tuple[int, int]]:
+        """First and last of neighbours that share enough, where they differ to the left somewhere."""
+        if not len(self.deep):
+            return
+        cuts = np.flatnonzero(np.diff(self.deep) > 1) + 1
+        first, last = self.deep[np.r_[0, cuts]], self.deep[np.r_[cuts - 1, len(self.deep) - 1]] + 1
+        change = np.r_[0, np.cumsum(self.before[1:] != self.before[:-1])]
+        open_ = change[last] > change[first]
+        yield from zip(first[open_].tolist(), last[open_].tolist(), strict=True)
+
+
 def maximal_repeats(strings: list[bytes], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(length, string numbers, offsets) of every maximal repeat of at least ``least`` bytes, with all its occurrences."""
-    text = np.frombuffer(b"".join(strings), np.uint8)
-    sizes = np.array([len(s) for s in strings])
-    begins = np.cumsum(sizes) - sizes
-    counts = np.maximum(sizes - least + 1, 0)
-    if counts.sum() < 2:
-        return
-    owner = np.repeat(np.arange(len(strings)), counts)
-    offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at, left_over = begins[owner] + offset, sizes[owner] - offset
-    width = int(sizes.max())
-    grid = np.lib.stride_tricks.sliding_window_view(np.concatenate([text, np.zeros(width, np.uint8)]), width)[at]
-    grid[np.arange(width)[None, :] >= left_over[:, None]] = 0
-    order = np.argsort(grid.view(f"S{width}").ravel(), kind="stable")
-    grid, owner, offset, left_over, at = grid[order], owner[order], offset[order], left_over[order], at[order]
-    differ = grid[1:] != grid[:-1]
-    prefix = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
-    prefix = np.minimum(prefix, np.minimum(left_over[1:], left_over[:-1]))
-    before = np.where(offset > 0, text[np.maximum(at, 1) - 1].astype(np.int64), -1 - np.arange(len(at)))
-    deep = np.flatnonzero(prefix >= least)
-    if not len(deep):
-        return
-    cuts = np.flatnonzero(np.diff(deep) > 1) + 1
-    for low, high in zip(deep[np.r_[0, cuts]].tolist(), deep[np.r_[cuts - 1, len(deep) - 1]].tolist(), strict=True):
-        chars = before[low : high + 2]
-        if (chars == chars[0]).all():
-            continue
-        for length, first, last in _intervals(prefix[low : high + 1].tolist(), chars.tolist()):
-            yield length, owner[low + first : low + last + 1], offset[low + first : low + last + 1]
-
-
-def _intervals(prefix: list[int], before: list[int]) -> Iterator[tuple[int, int, int]]:
+    array = SuffixArray(strings, least)
+    for low, high in array.runs():
+        for length, first, last in intervals(array.prefix[low:high].tolist(), array.before[low : high + 1].tolist()):
+            yield length, array.owner[low + first : low + last + 1], array.offset[low + first : low + last + 1]
+
+
+def intervals(prefix: list[int], before: list[int]) -> Iterator[tuple[int, int, int]]:
     """(length, first, last) of the common-prefix intervals whose members differ to the left, in one scan.
 
     ``prefix[k]`` is shared by members k and k + 1. A stack entry is [length, first member, left byte], the
@@ -88,13 +96,58 @@ def _intervals(prefix: list[int], before: list[int]) -> Iterator[tuple[int, int,
             stack.append([shared, first, left])
 
 
+def covered(prefix: list[int], before: list[int], doc: list[int]) -> list[tuple[int, int]]:
+    """(member, length): for each member the longest maximal repeat that a smaller document has too.
+
+    The same scan; an entry also holds its members of the least document. All others are done with: their
+    interval, or the one that begins further left, covers them."""
+    out: list[tuple[int, int]] = []
+    stack: list[list] = []
+    for k, shared in enumerate([*prefix, 0]):
+        left, members = before[k], [k]
+        while stack and stack[-1][0] > shared:
+            length, held, first = stack.pop()
+            left = held if held == left else None
+            members = first + members
+            least = min([doc[m] for m in members])
+            if left is None:
+                out += [(m, length) for m in members if doc[m] > least]
+            members = [m for m in members if doc[m] == least]
+        if stack and stack[-1][0] == shared:
+            stack[-1][1] = stack[-1][1] if stack[-1][1] == left else None
+            stack[-1][2] += members
+        elif shared:
+            stack.append([shared, left, members])
+    return out
+
+
+def _later(texts: list[bytes], least: np.ndarray, size: int) -> np.ndarray:
+    """(string, from, to) of what strings share with strings of smaller documents, touching parts as one."""
+    array = SuffixArray(texts, size)
+    doc = least[array.owner]
+    found: list[tuple[int, int]] = []
+    for low, high in array.runs():
+        own = doc[low : high + 1]
+        if (own != own[0]).any():
+            found += [(low + m, n) for m, n in covered(array.prefix[low:high].tolist(), array.before[low : high + 1].tolist(), own.tolist())]
+    if not found:
+        return np.empty((0, 3), np.int64)
+    at, length = np.array(found, np.int64).T
+    start = array.owner[at] * (1 << 20) + array.offset[at]
+    order = np.argsort(start)
+    start, stop = start[order], np.maximum.accumulate((start + length)[order])
+    new = np.flatnonzero(np.r_[True, start[1:] > stop[:-1]])
+    start, stop = start[new], stop[np.r_[new[1:] - 1, len(stop) - 1]]
+    return np.column_stack([start >> 20, start & ((1 << 20) - 1), stop & ((1 << 20) - 1)])
+
+
 def _windows(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The minimizer of every window of the bytes, and every 8 bytes as a number."""
     x = data.astype(np.uint64)
     for k in (1, 2, 4):
         x = (x[:-k] << np.uint64(8 * k)) | x[k:]
     gap = PIECE - 8
-    least = mixed(x[:-gap] * np.uint64(0x9E3779B97F4A7C15) + (x[gap:] & np.uint64((1 << 8 * gap) - 1)))
+    least = mixed((x[:-gap] * np.uint64(0x9E3779B97F4A7C15) ^ x[gap // 2 : -(gap - gap // 2)]) * np.uint64(0xD6E8FEB86659FD93) + x[gap:])
     span, have = size - PIECE + 1, 1
     while have < span:
         step = min(have, span - have)
@@ -103,34 +156,47 @@ def _windows(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return least, x
 
 
-class Segments:
-    """Segments of some texts as arrays; equal ones are found by a 128-bit mark."""
-
-    def __init__(self, size: int):
-        self.size = size
-        self.parts: list[tuple[np.ndarray, ...]] = []
-
-    def add(self, data: bytes, row: int) -> None:
-        for begin in range(0, max(len(data) - self.size + 1, 0), SLICE):
-            self._slice(np.frombuffer(data, np.uint8, min(SLICE + self.size - 1, len(data) - begin), begin), begin, row)
-
-    def _slice(self, data: np.ndarray, begin: int, row: int) -> None:
-        least, x = _windows(data, self.size)
-        first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-        last = np.r_[first[1:], len(least)] - 1
-        length = last - first + self.size
-        one, two = np.zeros(len(first), np.uint64), np.zeros(len(first), np.uint64)
-        for k in range(0, int(length.max()) - 7, 8):
-            word = x[np.minimum(first + k, first + length - 8)]
-            fits = length >= k + 8
-            one = np.where(fits, mixed(one ^ word), one)
-            two = np.where(fits, (two + word) * np.uint64(0xD6E8FEB86659FD93) + (two >> np.uint64(29)), two)
-        word = x[first + length - 8]
-        one, two = mixed(one ^ word ^ length.astype(np.uint64)), mixed((two + word) * np.uint64(0xD6E8FEB86659FD93))
-        self.parts.append((least[first], one, two, first + begin, length, np.full(len(first), row)))
-
-    def columns(self) -> list[np.ndarray]:
-        return [np.concatenate(c) for c in zip(*self.parts, strict=True)]
+def segments(texts: list[bytes], size: int, marked: bool = True) -> list[np.ndarray]:
+    """Minimizer, two marks, start, length and text number of every segment, of LONGEST windows at most.
+
+    Equal segments are found by their 128-bit mark. The texts are taken as one row of bytes, in slices."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    sizes = np.array([len(t) for t in texts])
+    ends = np.cumsum(sizes)
+    parts = [_slice(data[begin : begin + SLICE + size - 1], begin, ends, size, marked) for begin in range(0, len(data) - size + 1, SLICE)]
+    least, one, two, at, length = (np.concatenate(c) for c in zip(*parts, strict=True))
+    row = np.searchsorted(ends, at, "right")
+    return [least, one, two, at - (ends - sizes)[row], length, row]
+
+
+def _slice(data: np.ndarray, begin: int, ends: np.ndarray, size: int, marked: bool) -> tuple[np.ndarray, ...]:
+    least, x = _windows(data, size)
+    inside = np.ones(len(least), bool)
+    low, high = np.searchsorted(ends, (begin, begin + len(least) + size))
+    for end in (ends[low:high] - begin).tolist():
+        inside[max(end - size + 1, 0) : max(end, 0)] = False
+    at = np.flatnonzero(inside)
+    value = least[at]
+    first = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (np.diff(at) > 1)][: len(at)])
+    run = np.r_[first[1:], len(at)] - first if len(at) else first
+    pieces = -(-run // LONGEST)
+    piece = LONGEST * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    length = np.minimum(np.repeat(run, pieces) - piece, LONGEST) + size - 1
+    first = at[np.repeat(first, pieces) + piece] if len(at) else at
+    none = np.zeros(0, np.uint64)
+    one, two = _marks(x, first, length) if marked and len(first) else (none, none)
+    return least[first], one, two, first + begin, length
+
+
+def _marks(x: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    one, two = np.zeros(len(first), np.uint64), np.zeros(len(first), np.uint64)
+    for k in range(0, int(length.max()) - 7, 8):
+        fits = np.flatnonzero(length >= k + 8) if k + 8 > length.min() else slice(None)
+        word = x[first[fits] + k]
+        one[fits] = mixed(one[fits] ^ word)
+        two[fits] = (two[fits] + word) * np.uint64(0xD6E8FEB86659FD93) + (two[fits] >> np.uint64(29))
+    word = x[first + length - 8]
+    return mixed(one ^ word ^ length.astype(np.uint64)), mixed((two + word) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def _texts(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
@@ -154,17 +220,10 @@ def _texts(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[list[
         yield texts, np.array(ids, np.int64), np.array(versions, np.int64)
 
 
-def _segments(texts: list[bytes], size: int) -> list[np.ndarray]:
-    made = Segments(size)
-    for row, data in enumerate(texts):
-        made.add(data, row)
-    return made.columns()
-
-
 def _minimizers(batches: Iterable[pa.RecordBatch], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
     """Per bucket the distinct minimizers of a group of texts, and whether several documents have them."""
     for texts, ids, _ in _texts(batches, size):
-        least, _, _, _, _, row = _segments(texts, size)
+        least, _, _, _, _, row = segments(texts, size, marked=False)
         doc = ids[row]
         order = np.argsort(least, kind="stable")
         least, doc = least[order], doc[order]
@@ -194,12 +253,23 @@ def _repeated(rows: pd.DataFrame, bits: int) -> pd.DataFrame:
     return pd.DataFrame({"places": [place.tobytes()]})
 
 
+def _known(row: np.ndarray, start: np.ndarray, stop: np.ndarray, ids: np.ndarray, versions: np.ndarray, buckets: int) -> list[tuple[int, bool, bytes]]:
+    """Runs of the spans that a task knows, dealt out by document."""
+    order = np.lexsort((start, row))
+    row, start, stop = row[order], start[order], stop[order]
+    reach = np.maximum.accumulate(stop + row * (1 << 40)) - row * (1 << 40) if len(row) else stop
+    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] > reach[:-1])][: len(row)])
+    runs = np.column_stack([ids[row[new]], versions[row[new]], start[new], np.maximum.reduceat(stop, new) if len(new) else stop])
+    bucket = runs[:, 0] % buckets
+    return [(int(k), True, runs[bucket == k].tobytes()) for k in np.unique(bucket)]
+
+
 def _ship(batches: Iterable[pa.RecordBatch], size: int, buckets: int, table: Callable[[], tuple[np.ndarray, int] | None]) -> Iterator[pa.RecordBatch]:
-    """Spans known here (bucket -1) and, per bucket, the first copies of the segments that may repeat."""
+    """Per bucket the spans known here, and the first copies of the segments that may repeat."""
     held = table()
     pack = zstandard.ZstdCompressor(3).compress
     for texts, ids, versions in _texts(batches, size):
-        least, one, two, start, length, row = _segments(texts, size)
+        least, one, two, start, length, row = segments(texts, size)
         value = mixed(least)
         if held is not None:
             place = value >> np.uint64(64 - held[1])
@@ -212,10 +282,7 @@ def _ship(batches: Iterable[pa.RecordBatch], size: int, buckets: int, table: Cal
         group = np.cumsum(new) - 1
         first = np.flatnonzero(new)
         later = doc > doc[first][group] if len(first) else np.zeros(0, bool)
-        known = np.empty(int(later.sum()), np.dtype([*STARTS.descr, ("stop", "<i8")]))
-        known["doc"], known["version"], known["start"] = doc[later], versions[row[later]], start[later]
-        known["stop"] = (start + length)[later]
-        out = [(-1, known.tobytes())] if len(known) else []
+        out = _known(row[later], start[later], (start + length)[later], ids, versions, buckets)
         mine = np.flatnonzero(~later)
         bucket = (value[mine] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
         mine = mine[np.lexsort((group[mine], value[mine], bucket))]
@@ -225,82 +292,84 @@ def _ship(batches: Iterable[pa.RecordBatch], size: int, buckets: int, table: Cal
             if b > a:
                 some = mine[a:b]
                 lead = np.r_[True, group[some][1:] != group[some][:-1]]
-                starts = np.empty(len(some), STARTS)
-                starts["doc"], starts["version"], starts["start"] = doc[some], versions[row[some]], start[some]
                 heads = some[lead]
                 count = np.diff(np.r_[np.flatnonzero(lead), len(some)]).astype(np.uint32)
                 body = b"".join([texts[r][s : s + n] for r, s, n in zip(row[heads].tolist(), start[heads].tolist(), length[heads].tolist(), strict=True)])
-                columns = (value[heads], length[heads].astype(np.uint32), count, starts["doc"].copy(), starts["version"].copy(), starts["start"].copy())
+                columns = (value[heads], length[heads].astype(np.uint32), count, doc[some], versions[row[some]].astype(np.int32), start[some])
                 head = np.array([len(heads), len(some)], np.int64)
-                out.append((k, pack(b"".join([head.tobytes(), *(c.tobytes() for c in columns), body]))))
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([v for _, v in out], pa.binary())], ["bucket", "packed"])
+                out.append((k, False, pack(b"".join([head.tobytes(), *(c.tobytes() for c in columns), body]))))
+        kinds = (pa.int32(), pa.bool_(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["bucket", "known", "packed"])
 
 
-def _unpacked(packed: bytes) -> tuple[np.ndarray, list[bytes], list[np.ndarray]]:
-    """Minimizers, strings and starts of the segments of one block."""
+def _unpacked(packed: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """Minimizers and strings of the segments of one block, how many starts each has, and all starts."""
     raw = zstandard.ZstdDecompressor().decompress(packed)
     heads, some = np.frombuffer(raw, np.int64, 2)
     at = 16
     columns = []
-    for kind, n in ((np.uint64, heads), (np.uint32, heads), (np.uint32, heads), (np.int64, some), (np.int64, some), (np.int64, some)):
+    for kind, n in ((np.uint64, heads), (np.uint32, heads), (np.uint32, heads), (np.int64, some), (np.int32, some), (np.int64, some)):
         columns.append(np.frombuffer(raw, kind, n, at))
         at += columns[-1].nbytes
     value, length, count, doc, version, start = columns
     ends = at + np.cumsum(length, dtype=np.int64)
     strings = [raw[a:b] for a, b in zip((ends - length).tolist(), ends.tolist(), strict=True)]
-    starts = np.empty(some, STARTS)
-    starts["doc"], starts["version"], starts["start"] = doc, version, start
-    return value, strings, np.split(starts, np.cumsum(count)[:-1])
+    return value, strings, count, np.stack([doc, version.astype(np.int64), start], axis=1)
 
 
-def _solve(rows: pd.DataFrame, size: int) -> pd.DataFrame:
+def _solve(packed: Iterable[bytes], size: int) -> np.ndarray:
     """Spans of a bucket: copies of segments outside the smallest document, and repeats between segments."""
-    groups: dict[int, dict[bytes, list[np.ndarray]]] = {}
-    for packed in rows["packed"]:
-        for value, string, starts in zip(*_unpacked(packed), strict=True):
-            groups.setdefault(int(value), {}).setdefault(string, []).append(starts)
-    spans: list[np.ndarray] = []
-    waiting: list[tuple[bytes, np.ndarray]] = []
-    windows = 0
-
-    def cover(starts: np.ndarray, low: np.ndarray | int, high: np.ndarray | int) -> None:
-        found = np.empty((len(starts), 4), np.int64)
-        found[:, 0], found[:, 1] = starts["doc"], starts["version"]
-        found[:, 2], found[:, 3] = starts["start"] + low, starts["start"] + high
-        spans.append(found)
-
-    def scan() -> None:
-        strings, firsts = [s for s, _ in waiting], [d for _, d in waiting]
-        least = np.array([d["doc"][0] for d in firsts])
-        for length, owner, offset in maximal_repeats(strings, size):
-            doc = least[owner]
-            for k in np.flatnonzero(doc > doc.min()).tolist():
-                cover(firsts[owner[k]], offset[k], offset[k] + length)
-
-    for same in groups.values():
-        firsts = []
-        for string, blocks in same.items():
-            starts = np.concatenate(blocks) if len(blocks) > 1 else blocks[0]
-            is_first = starts["doc"] == starts["doc"].min()
-            if not is_first.all():
-                cover(starts[~is_first], 0, len(string))
-            firsts.append((string, starts[is_first]))
-        if len(firsts) > 1:
-            waiting += firsts
-            windows += sum(len(s) - size + 1 for s, _ in firsts)
-            if windows > WINDOWS:
-                scan()
-                waiting, windows = [], 0
-    scan()
-    out = np.concatenate(spans) if spans else np.empty((0, 4), np.int64)
-    return pd.DataFrame(out, columns=["doc", "version", "start", "stop"])
-
-
-def _opened(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for packed in batch.column(0).to_pylist():
-            found = np.frombuffer(packed, np.dtype([*STARTS.descr, ("stop", "<i8")]))
-            yield pa.RecordBatch.from_arrays([pa.array(found[c].copy()) for c in ("doc", "version", "start", "stop")], ["doc", "version", "start", "stop"])
+    classes: dict[bytes, int] = {}
+    own, counts, values, starts = [], [], [], []
+    for block in packed:
+        value, strings, count, begun = _unpacked(block)
+        own.append(np.fromiter((classes.setdefault(s, len(classes)) for s in strings), np.int64, len(strings)))
+        counts.append(count)
+        values.append(value)
+        starts.append(begun)
+    head, at = np.concatenate(own), np.concatenate(starts)
+    of = np.repeat(head, np.concatenate(counts))
+    texts = list(classes)
+    length = np.fromiter(map(len, texts), np.int64, len(texts))
+    value = np.empty(len(texts), np.uint64)
+    value[head] = np.concatenate(values)
+    least = np.full(len(texts), np.iinfo(np.int64).max)
+    np.minimum.at(least, of, at[:, 0])
+    later = at[:, 0] > least[of]
+    spans = [np.column_stack([at[later], at[later, 2] + length[of[later]]])]
+    of, at = of[~later], at[~later]
+    order = np.argsort(of, kind="stable")
+    at, first = at[order], np.searchsorted(of[order], np.arange(len(texts) + 1))
+    order = np.argsort(value, kind="stable")
+    same = np.r_[False, value[order][1:] == value[order][:-1]]
+    met = order[same | np.r_[same[1:], False]]
+    group = np.cumsum(np.r_[True, value[met][1:] != value[met][:-1]]) if len(met) else met
+    ends = np.flatnonzero(np.r_[group[1:] != group[:-1], True]) if len(met) else met
+    begin, windows = 0, np.cumsum(length[met] - size + 1)
+    for end in ends.tolist():
+        if windows[end] - (windows[begin - 1] if begin else 0) >= WINDOWS or end == len(met) - 1:
+            some = met[begin : end + 1]
+            begin = end + 1
+            owner, low, high = _later([texts[k] for k in some.tolist()], least[some], size).T
+            part = some[owner]
+            times = first[part + 1] - first[part]
+            rows = np.repeat(first[part], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            start = at[rows, 2]
+            spans.append(np.column_stack([at[rows, :2], start + np.repeat(low, times), start + np.repeat(high, times)]))
+    return np.concatenate(spans)
+
+
+def _spans(rows: pd.DataFrame, size: int) -> pd.DataFrame:
+    """All spans of a bucket: those its tasks knew, and those that show when its segments meet."""
+    known = [np.frombuffer(p, np.int64).reshape(-1, 4) for p in rows.loc[rows["known"], "packed"]]
+    blocks = rows.loc[~rows["known"], "packed"]
+    found = np.concatenate([*known, *([_solve(blocks, size)] if len(blocks) else [])])
+    return pd.DataFrame(found, columns=["doc", "version", "start", "stop"])
+
+
+def _version(text: Column) -> Column:
+    """A 32-bit mark of the text, for rows that share an id."""
+    return F.shiftright(text_key(text), 32)
 
 
 def repeat_spans(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -311,7 +380,7 @@ def repeat_spans(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text
     if size < PIECE + 8:
         raise ValueError(f"size must be at least {PIECE + 8}")
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc"), text_key(F.col(text)).alias("version"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc"), _version(F.col(text)).alias("version"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
     bits = max(16, int(total // 12).bit_length())
@@ -325,10 +394,8 @@ def repeat_spans(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text
         sent = spark.sparkContext.broadcast(np.packbits(flags, bitorder="little"))
         del flags
         table = lambda: (sent.value, bits)
-    sent_rows = stored(rows.mapInArrow(partial(_ship, size=size, buckets=buckets, table=table), "bucket int, packed binary"), "segments")
-    solved = sent_rows.where("bucket >= 0").groupBy("bucket").applyInPandas(lambda x: _solve(x, size), SPANS)
-    known = sent_rows.where("bucket < 0").select("packed").mapInArrow(_opened, SPANS)
-    return known.unionByName(solved)
+    sent_rows = rows.mapInArrow(partial(_ship, size=size, buckets=buckets, table=table), "bucket int, known boolean, packed binary")
+    return sent_rows.groupBy("bucket").applyInPandas(lambda x: _spans(x, size), SPANS)
 
 
 def merged_spans(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
@@ -380,7 +447,7 @@ def without_repeats(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", t
     repeat an id are no sources for each other, and repeated rows are all treated alike."""
     per = repeat_spans(docs, size, doc_id, text).groupBy("doc", "version").agg(F.collect_set(F.struct("start", "stop")).alias("__spans"))
     per = per.withColumnsRenamed({"doc": "__doc", "version": "__version"})
-    on = (F.col(doc_id).cast("bigint") == F.col("__doc")) & (text_key(F.col(text)) == F.col("__version"))
+    on = (F.col(doc_id).cast("bigint") == F.col("__doc")) & (_version(F.col(text)) == F.col("__version"))
     found = docs.join(per, on, "left").withColumn("__cut", cut(F.col(text), F.col("__spans")))
     return found.withColumns({kept: F.col("__cut.kept"), runs: F.col("__cut.runs")}).drop("__doc", "__version", "__spans", "__cut")
 
