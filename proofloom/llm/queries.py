@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofloom.llm import bytepair, contamination, neardup, repeats, search, urls
+from proofloom.llm import bytepair, chat, contamination, language, lmscore, neardup, repeats, search, tokencount, urls
 from proofloom.llm.tables import bounded_batches, read_ranks, table
 
 
@@ -104,12 +104,57 @@ def repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    pieces = tokencount.spaced_pieces(read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    return tokencount.piece_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), *pieces).select("doc_id", "n_words", "n_tokens")
+
+
+def lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lmscore.scores(table(spark, sf_dir, "documents"), good)
+
+
+def languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = language.held_out(F.col("doc_id"))
+    model = language.fit(docs, F.col("doc_id").isNotNull() & ~held)
+    return language.language(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rendered(table(spark, sf_dir, "conversations"))
+
+
+CHATS = """
+WITH turns AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+), conv AS (
+  SELECT conv_id, list(struct_pack(turn := turn, role := role, text := text) ORDER BY turn, role, text) AS l FROM turns GROUP BY conv_id
+), marked AS (SELECT conv_id, len(l) AS n, CAST(l AS VARCHAR) AS h, l FROM conv
+), lens AS (SELECT DISTINCT n FROM marked
+), pre AS (
+  SELECT DISTINCT lens.n, CAST(m.l[1 : lens.n] AS VARCHAR) AS h FROM marked m JOIN lens ON lens.n < m.n
+), kept AS (
+  SELECT min(conv_id) AS conv_id FROM marked WHERE NOT EXISTS (SELECT 1 FROM pre WHERE pre.n = marked.n AND pre.h = marked.h) GROUP BY n, h
+)
+SELECT conv_id, CAST(floor(turn / 64) AS BIGINT) AS part, count(*) AS n_rows,
+  string_agg('<|' || lower(coalesce(role, 'user')) || '|>' || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY turn, role, text) AS chat
+FROM turns JOIN kept USING (conv_id) GROUP BY ALL
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": token_counts,
     "op2_bpe_roundtrip": bpe_roundtrip,
     "op3_url_verdicts": url_verdicts,
     "op4_vector_top": vector_top,
     "op5_benchmark_hits": benchmark_hits,
+    "op6_lm_scores": lm_scores,
     "op7_repeated_passages": repeated_passages,
     "op8_near_copies": near_copies,
+    "op9_languages": languages,
+    "op10_chats": chats,
 }
-ORACLES: dict[str, str] = {"op4_vector_top": VECTOR_TOP, "op5_benchmark_hits": BENCHMARK_HITS}
+ORACLES: dict[str, str] = {"op4_vector_top": VECTOR_TOP, "op5_benchmark_hits": BENCHMARK_HITS, "op10_chats": CHATS}
