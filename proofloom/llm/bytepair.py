@@ -25,7 +25,7 @@ from proofloom.llm.tables import joined, mapped
 
 UNKNOWN = "�".encode()
 NOT_CUT = re.compile(r" (?=\s|$|\Z)")
-CACHE_PIECES = 200_000
+CACHE_PIECES = 150_000
 CACHED_BYTES = 64
 SHIFT = 24
 
@@ -234,29 +234,54 @@ def encoded(spark: SparkSession, text: Column, ranks: dict[bytes, int], pattern:
     return mapped(make, "array<int>")(text)
 
 
+class Decoder:
+    """Bytes of ids; an id outside the vocabulary stands for the replacement character."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.size = max(ranks.values()) + 1
+        self.bytes_of = np.full(self.size + 1, UNKNOWN, object)
+        for token, rank in ranks.items():
+            self.bytes_of[rank] = token
+
+    def bytes(self, ids: np.ndarray) -> bytes:
+        return b"".join(self.bytes_of[np.where((ids < 0) | (ids > self.size), self.size, ids)])
+
+
 def decoded(spark: SparkSession, ids: Column, ranks: dict[bytes, int]) -> Column:
     """Bytes of id arrays. A null array gives no bytes; an id outside the vocabulary, or null, the replacement character."""
     sent = spark.sparkContext.broadcast(ranks)
 
     def make() -> Callable[[pa.Array], pa.Array]:
-        size = max(sent.value.values()) + 1
-        bytes_of = np.full(size + 1, UNKNOWN, object)
-        for token, rank in sent.value.items():
-            bytes_of[rank] = token
+        decoder = Decoder(sent.value)
 
         def one(batch: pa.Array) -> pa.Array:
-            flat, ends = batch.flatten(), np.cumsum([0, *pc.fill_null(pc.list_value_length(batch), 0).to_pylist()])
-            if flat.null_count:
-                flat = flat.fill_null(-1)
-            values = flat.to_numpy(zero_copy_only=False)
-            values = np.where((values < 0) | (values > size), size, values)
-            return pa.array([b"".join(bytes_of[values[a:b]]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+            ends = np.cumsum([0, *pc.fill_null(pc.list_value_length(batch), 0).to_pylist()])
+            values = batch.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+            return pa.array([decoder.bytes(values[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
 
         return one
 
     return mapped(make, "binary")(ids)
 
 
+def both_ways(spark: SparkSession, text: Column, ranks: dict[bytes, int], pattern: str, spaced: bool = False) -> Column:
+    """(ids, back): ids as ``encoded`` gives them and the bytes they decode to, by one Python worker."""
+    sent = spark.sparkContext.broadcast(ranks)
+    key = (hash(tuple(islice(ranks.items(), 1000))) ^ len(ranks), pattern, spaced)
+
+    def make() -> Callable[[pa.Array], pa.Array]:
+        encoder, decoder = _shared_encoder(key, sent.value), Decoder(sent.value)
+
+        def one(batch: pa.Array) -> pa.Array:
+            packed = [encoder.packed(t) if t else b"" for t in batch.to_pylist()]
+            back = pa.array([decoder.bytes(np.frombuffer(p, "<i4")) for p in packed], pa.binary())
+            return pa.StructArray.from_arrays([joined(packed, pa.int32(), "<i4"), back], ["ids", "back"])
+
+        return one
+
+    return mapped(make, "struct<ids:array<int>,back:binary>")(text)
+
+
 def encode_texts(
     df: DataFrame, ranks: dict[bytes, int], pattern: str, spaced: bool = False, text: str = "text", ids: str = "ids", back: str = "decoded"
 ) -> DataFrame:
@@ -264,6 +289,5 @@ def encode_texts(
 
     Columns of ``df`` that have the names ``ids`` or ``back`` are replaced; all others stay. Repeated rows
     are encoded alike, an empty table stays empty."""
-    spark = df.sparkSession
-    with_ids = df.withColumn(ids, encoded(spark, F.col(text), ranks, pattern, spaced))
-    return with_ids.withColumn(back, decoded(spark, F.col(ids), ranks))
+    found = df.withColumn("__coded", both_ways(df.sparkSession, F.col(text), ranks, pattern, spaced))
+    return found.withColumns({ids: F.col("__coded.ids"), back: F.col("__coded.back")}).drop("__coded")
