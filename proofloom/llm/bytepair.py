@@ -25,7 +25,7 @@ from proofloom.llm.tables import joined, mapped
 
 UNKNOWN = "�".encode()
 NOT_CUT = re.compile(r" (?=\s|$|\Z)")
-CACHE_PIECES = 150_000
+CACHE_PIECES = 80_000
 CACHED_BYTES = 64
 SHIFT = 24
 
@@ -70,7 +70,7 @@ class Vocabulary:
         known = self.apart.get(left << SHIFT | right)
         if known is None:
             known = left << SHIFT | right not in self.pairs and self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            if len(self.apart) > 4 * CACHE_PIECES:
+            if len(self.apart) > 3 * CACHE_PIECES:
                 self.apart.clear()
             self.apart[left << SHIFT | right] = known
         return known
