@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofloom.llm.tables import joined, mapped
+from proofloom.llm.tables import joined, kept_for, mapped
 
 UNKNOWN = "�".encode()
 NOT_CUT = re.compile(r" (?=\s|$|\Z)")
@@ -209,15 +209,9 @@ class TextEncoder:
         return [*old_ids[:first], *np.frombuffer(middle, "<i4").tolist(), *old_ids[last:]]
 
 
-_ENCODERS: dict[tuple[int, str, bool], TextEncoder] = {}
-
-
 def _shared_encoder(key: tuple[int, str, bool], ranks: dict[bytes, int]) -> TextEncoder:
-    """One encoder per Python worker, so that its pieces serve later tasks too."""
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = TextEncoder(ranks, *key[1:])
-    return _ENCODERS[key]
+    """One encoder per Python worker, so that its pieces serve later tasks of this kind too."""
+    return kept_for(key, lambda: TextEncoder(ranks, *key[1:]))
 
 
 def encoded(spark: SparkSession, text: Column, ranks: dict[bytes, int], pattern: str, spaced: bool = False) -> Column:
@@ -231,7 +225,7 @@ def encoded(spark: SparkSession, text: Column, ranks: dict[bytes, int], pattern:
         encoder = _shared_encoder(key, sent.value)
         return lambda batch: joined([encoder.packed(t) if t else b"" for t in batch.to_pylist()], pa.int32(), "<i4")
 
-    return mapped(make, "array<int>")(text)
+    return mapped(make, "array<int>", keeps=True)(text)
 
 
 class Decoder:
@@ -279,7 +273,7 @@ def both_ways(spark: SparkSession, text: Column, ranks: dict[bytes, int], patter
 
         return one
 
-    return mapped(make, "struct<ids:array<int>,back:binary>")(text)
+    return mapped(make, "struct<ids:array<int>,back:binary>", keeps=True)(text)
 
 
 def encode_texts(

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofloom.llm.tables import mapped
+from proofloom.llm.tables import mapped, release
 
 FEATURES = 1 << 16
 MOST_LANGUAGES = 256
@@ -27,6 +27,7 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     tables: dict[str, np.ndarray] = {}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proofloom.llm.tables import mapped
+from proofloom.llm.tables import mapped, release
 
 CODES = 1 << 24
 WEIGHTS = (0.7, 0.2, 0.1)
@@ -30,6 +30,7 @@ def codes(text: str) -> np.ndarray:
 
 
 def _counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     tables = np.zeros((2, CODES), np.int32)
     for batch in batches:
         for target, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofloom.llm.components import components
-from proofloom.llm.tables import joined, mapped, stored
+from proofloom.llm.tables import joined, mapped, release, stored
 
 BANDS, ROWS = 40, 5
 BROADCAST_IDS = 2_000_000
@@ -172,6 +172,7 @@ def joining_links(ids: list[int], comps: list[int], sets: list[np.ndarray], perc
 
 
 def _tile_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    release()
     found = joining_links(rows["id"].tolist(), rows["c"].tolist(), rows["set"].tolist(), percent) if rows["c"].nunique() > 1 else []
     return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofloom.llm.neardup import mixed
-from proofloom.llm.tables import text_key
+from proofloom.llm.tables import release, text_key
 
 SIZE, PIECE = 50, 20
 SLICE = 1 << 18
@@ -201,6 +201,7 @@ def _marks(x: np.ndarray, first: np.ndarray, length: np.ndarray) -> tuple[np.nda
 
 def _texts(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
     """Rows in groups of about FLUSH bytes: texts, ids, versions."""
+    release()
     texts: list[bytes] = []
     ids: list[int] = []
     versions: list[int] = []
@@ -361,6 +362,7 @@ def _solve(packed: Iterable[bytes], size: int) -> np.ndarray:
 
 def _spans(rows: pd.DataFrame, size: int) -> pd.DataFrame:
     """All spans of a bucket: those its tasks knew, and those that show when its segments meet."""
+    release()
     known = [np.frombuffer(p, np.int64).reshape(-1, 4) for p in rows.loc[rows["known"], "packed"]]
     blocks = rows.loc[~rows["known"], "packed"]
     found = np.concatenate([*known, *([_solve(blocks, size)] if len(blocks) else [])])

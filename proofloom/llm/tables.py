@@ -16,7 +16,7 @@ from proofloom.session import checkpoint_root, stored
 BATCH_BYTES = str(4 << 20)
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-__all__ = ["ASCII_UPPER", "bounded_batches", "checkpoint_root", "joined", "lower_ascii", "mapped", "read_ranks", "stored", "table", "text_key"]
+__all__ = ["ASCII_UPPER", "bounded_batches", "checkpoint_root", "joined", "kept_for", "lower_ascii", "mapped", "read_ranks", "release", "stored", "table", "text_key"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,10 +45,28 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(text.isNull(), text)
 
 
-def mapped(make: Callable[[], Callable[[pa.Array], pa.Array]], returns: str) -> Callable[..., Column]:
+KEPT: dict[object, object] = {}
+
+
+def kept_for(key: object, build: Callable[[], object]) -> object:
+    """What a Python worker keeps for later tasks of the same kind; it keeps one thing at a time."""
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = build()
+    return KEPT[key]
+
+
+def release() -> None:
+    """Tasks of another kind give back what their worker kept."""
+    KEPT.clear()
+
+
+def mapped(make: Callable[[], Callable[[pa.Array], pa.Array]], returns: str, keeps: bool = False) -> Callable[..., Column]:
     """An Arrow function of one column; ``make`` runs once per task and gives the batch function."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        if not keeps:
+            release()
         one = make()
         for batch in batches:
             yield one(batch)
