@@ -252,11 +252,11 @@ def p17(spark, d):
 
 @query("p17_model_events", """
 SELECT conv_id || '-' || turn AS request_id, 'llm_interaction' AS type, '{"type":"llm_interaction","interaction_type":"' || role || '","messages":[{"role":"' || role || '","content":' || to_json(text) || '}],"response":'
-  || to_json(substr(text, 1, 10)) || '}' AS event FROM conversations""")
+  || to_json(text) || '}' AS event FROM conversations""")
 def p17_model(spark, d):
     rows = tb.table(spark, d, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("request_id"), F.col("role").alias("kind"),
-        F.array(F.struct("role", F.col("text").alias("content"))).alias("messages"), F.substring("text", 1, 10).alias("response"),
+        F.array(F.struct("role", F.col("text").alias("content"))).alias("messages"), F.col("text").alias("response"),
     )
     return log.model_events(rows)
 

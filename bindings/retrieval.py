@@ -212,7 +212,7 @@ def p06(spark, d):
 
 
 @query("o01_global_top", """
-SELECT query_id, doc_id, chunk_index, round(score + 2e-10, 6) AS score FROM t_hybrid ORDER BY score DESC, query_id, doc_id, chunk_index LIMIT 20""")
+SELECT query_id, doc_id, chunk_index, round(score + 2e-10, 6) AS score FROM t_hybrid QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) <= 20""")
 def o01(spark, d):
     found = retrieve.chat_retrieve(tb.vector_queries(spark, d), tb.stored_vector_chunks(spark, d), K, total=20)
     return found.select(*fusion.KEY, tb.show("score"))

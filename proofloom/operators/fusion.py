@@ -110,9 +110,11 @@ def score_pairs(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, sc
 
 
 def global_order(rows: DataFrame, total: int | None = None) -> DataFrame:
-    """Best first over all documents, per question: a range-partitioned sort, or a top-n with ``total``."""
-    ordered = rows.orderBy(F.desc("score"), "query_id", "doc_id", "chunk_index")
-    return ordered if total is None else ordered.limit(total)
+    """Best first over all documents inside each question; ``total`` keeps so many of every question."""
+    if total is not None:
+        place = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "chunk_index")
+        rows = rows.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= total).drop("_place")
+    return rows.orderBy("query_id", F.desc("score"), "doc_id", "chunk_index")
 
 
 def summarise_results(rows: DataFrame, sample: int = 3) -> DataFrame:
