@@ -104,6 +104,22 @@ def u03(spark, d):
     return co.purge(tb.chunks(spark, d), co.removed(old, new)).select("doc_id", "chunk_index")
 
 
+@query("x03_ingest", """
+SELECT doc_id, CASE WHEN lang = 'fr' THEN 'removed' WHEN lang = 'en' THEN 'changed' ELSE 'unchanged' END AS action,
+  sha256(coalesce(text, '') || CASE WHEN lang = 'en' THEN ' (revised)' ELSE '' END) AS content FROM documents
+UNION ALL SELECT -page_id - 1, 'added', sha256(coalesce(url, '')) FROM pages""")
+def x03(spark, d):
+    """What the ingest of a micro-batch does: one language is revised, one withdrawn, pages are new."""
+    from proofloom.streaming.jobs import ingest_plan
+
+    docs = tb.table(spark, d, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    held = docs.select("doc_id", F.sha2("text", 256).alias("content"))
+    revised = F.when(F.col("lang") == "en", F.concat("text", F.lit(" (revised)"))).otherwise(F.col("text"))
+    again = docs.select("doc_id", revised.alias("text"), F.coalesce(F.col("lang") == "fr", F.lit(False)).alias("removed"))
+    new = tb.table(spark, d, "pages").select((-F.col("page_id") - 1).alias("doc_id"), F.col("url").alias("text"), F.lit(False).alias("removed"))
+    return ingest_plan(held, again.unionByName(new)).select("doc_id", "action", "content")
+
+
 @query("o04_new_files", f"SELECT 'doc_' || lpad(CAST(-doc_id AS VARCHAR), 8, '0') AS filename FROM (({NEW}) EXCEPT SELECT doc_id FROM documents) ORDER BY 1")
 def o04(spark, d):
     name = F.concat(F.lit("doc_"), F.lpad((-F.col("doc_id")).cast("string"), 8, "0"))

@@ -14,6 +14,7 @@ from proofloom.operators.lexical import RANK_DIGITS, TOP_K
 
 QUERY_VECTORS = 2048
 CHUNK_SLICE = 20_000
+CELLS = 2_000_000
 SCORED = "query_id long, doc_id long, chunk_index int, score double"
 
 
@@ -23,6 +24,14 @@ def split_by_dimension(vectors: DataFrame, dim: int, column: str = "embedding")
     return vectors.where(fits), vectors.where(~fits)
 
 
+def query_dimension(queries: DataFrame, column: str = "embedding") -> int | None:
+    """The one vector size of all queries, None without any; queries of several sizes are an error."""
+    least, most = queries.select(F.size(column).alias("n")).agg(F.min("n"), F.max("n")).first()
+    if least != most:
+        raise ValueError(f"query vectors of {least} to {most} components: name the right size as dim")
+    return most
+
+
 def cosine(a, b) -> Column:
     """Cosine of two array columns; null when either has no length (zero vector)."""
 
@@ -78,7 +87,10 @@ def _rank_batches(batches: Iterator[pa.RecordBatch], ids: np.ndarray, unit: np.n
             continue
         docs = batch.column("doc_id").to_numpy(zero_copy_only=False)[usable]
         index = batch.column("chunk_index").to_numpy(zero_copy_only=False)[usable]
-        yield from _best_of(chunk @ unit.T, docs, index, ids, k).to_batches(max_chunksize=65536)
+        step = max(1, CELLS // len(chunk))
+        for at in range(0, len(ids), step):
+            part = slice(at, at + step)
+            yield from _best_of(chunk @ unit[part].T, docs, index, ids[part], k).to_batches(max_chunksize=65536)
 
 
 def _by_broadcast(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -148,10 +160,12 @@ def semantic_top_k(
     """The ``k`` chunks per (query, document) with the highest cosine, ties by chunk number.
 
     Every query meets every chunk by definition. The product is done as matrix blocks inside
-    tasks, which pass on at most ``k`` rows per (query, document) and batch.
+    tasks, which pass on at most ``k`` rows per (query, document) and batch. Vectors of another size
+    than ``dim``, by default that of the queries, take no part; ``split_by_dimension`` names them.
     """
     wanted = queries.where(F.col("embedding").isNotNull())
     usable = chunks.where(F.col("embedding").isNotNull())
+    dim = query_dimension(wanted) if dim is None else dim
     if dim is not None:
         wanted, usable = split_by_dimension(wanted, dim)[0], split_by_dimension(usable, dim)[0]
     usable = usable.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn(

@@ -30,13 +30,14 @@ def candidates(
     k: int = TOP_K,
     index: LexicalIndex | None = None,
     scope: DataFrame | None = None,
+    dim: int | None = None,
 ) -> DataFrame:
     """Both retrievers' results, each cut to k, or to the query's own ``top_k`` if it has one."""
     widest = k
     if "top_k" in queries.columns:
         widest = queries.agg(F.max(F.coalesce("top_k", F.lit(k)))).first()[0] or k
     lexical = fusion.normalise_by_best(bm25(queries, index or chunks, widest, scope))
-    vector = semantic(queries, chunks, widest, scope=scope)
+    vector = semantic(queries, chunks, widest, scope=scope, dim=dim)
     if "top_k" in queries.columns:
         own = queries.select("query_id", F.coalesce("top_k", F.lit(k)).alias("_k"))
         lexical = fusion.join_checked(lexical, own, ["query_id"], ["doc_id"]).where(F.col("rank") <= F.col("_k"))

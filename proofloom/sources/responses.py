@@ -14,6 +14,7 @@ from proofloom.functions.spread import salted_join
 
 RESPONSES = "request_id string, kind string, attempt int, response string"
 EMBED_BATCH = 32
+CALL_BATCH = 32
 
 
 def read_responses(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
@@ -22,18 +23,29 @@ def read_responses(spark: SparkSession, path: str, kind: str | None = None) -> D
     return rows if kind is None else rows.where(F.col("kind") == kind)
 
 
-def call_model(requests: DataFrame, complete: Callable[[list[str]], list[str | None]], kind: str) -> DataFrame:
-    """Send ``prompt`` texts to ``complete`` batch by batch; a failing batch gives null responses."""
+def call_model(requests: DataFrame, complete: Callable[[list[str]], list[str | None]], kind: str, batch: int = CALL_BATCH) -> DataFrame:
+    """Send ``prompt`` texts to ``complete``, at most ``batch`` at a time.
+
+    A call that fails, or answers with another number of texts, is repeated prompt by prompt, so that
+    only the failing prompts have a null response."""
+
+    def answered(prompts: list[str]) -> list[str | None]:
+        try:
+            answers = list(complete(prompts))
+            if len(answers) == len(prompts):
+                return answers
+        except Exception:
+            pass
+        return [None] if len(prompts) == 1 else [answer for prompt in prompts for answer in answered([prompt])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            try:
-                answers = list(complete(batch["prompt"].tolist()))
-            except Exception:
-                answers = [None] * len(batch)
-            yield pd.DataFrame(
-                {"request_id": batch["request_id"], "kind": kind, "attempt": batch["attempt"], "response": answers}
-            )
+        for rows in batches:
+            for at in range(0, len(rows), batch):
+                some = rows.iloc[at : at + batch]
+                answers = answered(some["prompt"].tolist())
+                yield pd.DataFrame(
+                    {"request_id": some["request_id"].array, "kind": kind, "attempt": some["attempt"].array, "response": answers}
+                )
 
     return requests.select(F.col("request_id").cast("string").alias("request_id"), "attempt", "prompt").mapInPandas(
         run, RESPONSES

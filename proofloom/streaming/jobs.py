@@ -9,6 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from proofloom.operators.chunking import Chunker, chunks_from_documents
 from proofloom.operators.corpus import MAX_AGE, SESSION_GAP
 
+LEDGER = "doc_id long, content string, batch_id long"
+
 
 def stream_sessions(events: DataFrame, user: str = "user_id", stamp: str = "ts", gap: int = SESSION_GAP) -> DataFrame:
     """Sessions closed by inactivity; append mode emits each once the watermark passes its end."""
@@ -35,21 +37,66 @@ def _existing(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def ingest_plan(state: DataFrame, batch: DataFrame, version: str | None = None) -> DataFrame:
+    """(doc_id, text, content, action) for every document of ``batch``.
+
+    ``state`` has (doc_id, content) of the documents that are held, ``content`` being the text's hash.
+    A document is added, changed, unchanged or, if ``batch`` has a true ``removed``, removed; removing
+    what isn't held is unchanged. Of several rows of a document the one with the greatest ``version``
+    counts, and of equal ones the greatest text. Rows without an id are left out; a null text is empty."""
+    gone = F.coalesce(F.col("removed"), F.lit(False)) if "removed" in batch.columns else F.lit(False)
+    age = F.col(version) if version else F.lit(0)
+    rows = batch.where("doc_id IS NOT NULL").select("doc_id", F.struct(age.alias("v"), F.coalesce("text", F.lit("")).alias("text"), gone.alias("gone")).alias("r"))
+    newest = rows.groupBy("doc_id").agg(F.max("r").alias("r")).select("doc_id", "r.text", "r.gone").withColumn("content", F.sha2("text", 256))
+    held = state.select("doc_id", F.col("content").alias("_held"))
+    action = (
+        F.when(F.col("gone") & F.col("_held").isNotNull(), "removed")
+        .when(F.col("gone") | (F.col("_held") == F.col("content")), "unchanged")
+        .when(F.col("_held").isNull(), "added")
+        .otherwise("changed")
+    )
+    return newest.join(held, "doc_id", "left").select("doc_id", "text", "content", action.alias("action"))
+
+
+def _held(ledger: DataFrame) -> DataFrame:
+    """(doc_id, content, batch_id): the last entry of every document that is still held."""
+    last = ledger.groupBy("doc_id").agg(F.max(F.struct("batch_id", "content")).alias("e"))
+    return last.select("doc_id", "e.content", "e.batch_id").where("content IS NOT NULL")
+
+
+def ledger_path(chunk_path: str) -> str:
+    return f"{chunk_path.rstrip('/')}-ledger"
+
+
+def current_chunks(spark: SparkSession, chunk_path: str) -> DataFrame:
+    """Chunks of the held documents in their newest form; replaced and removed ones are passed over."""
+    held = _held(_existing(spark, ledger_path(chunk_path), LEDGER)).select("doc_id", "batch_id")
+    return spark.read.parquet(chunk_path).join(held, ["doc_id", "batch_id"], "left_semi")
+
+
 def ingest_stream(
-    documents: DataFrame, chunk_path: str, checkpoint: str, chunker: Chunker = chunks_from_documents
+    documents: DataFrame,
+    chunk_path: str,
+    checkpoint: str,
+    chunker: Chunker = chunks_from_documents,
+    version: str | None = None,
 ) -> StreamingQuery:
-    """Chunk each document once as it arrives and add it to the chunk table.
+    """Chunk documents as they arrive; a changed text replaces the old one, a removed document goes.
 
-    Every micro-batch writes a partition of its own in overwrite mode, so a batch that is
-    replayed after a failure replaces itself instead of adding rows twice.
-    """
+    Every micro-batch writes a partition of chunks and one of the ledger (doc_id, content, null where
+    removed) in overwrite mode, the ledger last, so a batch that is replayed after a failure replaces
+    itself. Only the ledger's narrow rows of arriving documents are looked at. ``current_chunks`` reads
+    the result."""
 
     def add(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = _existing(spark, chunk_path, "doc_id long, batch_id long").where(F.col("batch_id") < batch_id)
-        first = batch.groupBy("doc_id").agg(F.min_by("text", "text").alias("text"))
-        fresh = first.join(seen.select("doc_id").distinct(), "doc_id", "left_anti")
+        ledger = _existing(spark, ledger_path(chunk_path), LEDGER).where(F.col("batch_id") < batch_id)
+        known = ledger.join(batch.select("doc_id").distinct(), "doc_id", "left_semi")
+        planned = ingest_plan(_held(known), batch, version).where("action <> 'unchanged'")
+        fresh = planned.where("action <> 'removed'").select("doc_id", "text")
         chunker(fresh).write.mode("overwrite").parquet(f"{chunk_path}/batch_id={batch_id}")
+        entries = planned.select("doc_id", F.when(F.col("action") != "removed", F.col("content")).alias("content"))
+        entries.write.mode("overwrite").parquet(f"{ledger_path(chunk_path)}/batch_id={batch_id}")
 
     return (
         documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -49,6 +49,28 @@ def test_incremental_ingest(spark, tmp_path):
     assert {r["doc_id"]: r["count"] for r in rows} == {1: 1, 2: 1}
 
 
+def test_ingest_replaces_and_removes(spark, tmp_path):
+    text = "Many words fill this sentence so that it is long enough to stay in. "
+    schema = "doc_id long, text string, removed boolean, at int"
+
+    def arrive(folder, *rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.parquet(f"{tmp_path}/in/{folder}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        jobs.ingest_stream(stream, f"{tmp_path}/chunks", f"{tmp_path}/cp", version="at").awaitTermination()
+        rows = jobs.current_chunks(spark, f"{tmp_path}/chunks").collect()
+        return {r["doc_id"]: ("Second" in r["text"], "Third" in r["text"]) for r in rows}
+
+    held = arrive("a", (1, text, None, 1), (1, text + "Third one is newer.", False, 2), (2, text, False, 1), (None, text, None, 1))
+    assert held == {1: (False, True), 2: (False, False)}
+    assert arrive("b", (1, text + "Second form.", None, 3), (2, None, True, 2), (3, text, True, 1)) == {1: (True, False)}
+    assert arrive("c", (2, text, None, 4)) == {1: (True, False), 2: (False, False)}
+
+
+def test_ingest_plan_of_empty_tables(spark):
+    state = spark.createDataFrame([], "doc_id long, content string")
+    assert jobs.ingest_plan(state, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_changes_and_purge(spark):
     ids = lambda *v: spark.createDataFrame([(i,) for i in v], "doc_id long")
     got = {(r["doc_id"], r["change"]) for r in co.changes(ids(1, 2, 2), ids(2, 3)).collect()}
@@ -82,3 +104,16 @@ def test_failed_model_batch_gives_nulls(spark):
     rows = spark.createDataFrame([("r", 0, "ask")], "request_id string, attempt int, prompt string")
     assert call_model(rows, broken, "analysis").first()["response"] is None
     assert call_model(rows, lambda p: [x.upper() for x in p], "chat").first()["response"] == "ASK"
+
+
+def test_only_the_failing_prompt_is_lost(spark):
+    def picky(prompts):
+        if "bad" in prompts:
+            raise RuntimeError("down")
+        return [p.upper() for p in prompts if p != "short"]
+
+    asked = ["a", "bad", "b", "short", "c", "d"]
+    rows = spark.createDataFrame([(str(i), 0, p) for i, p in enumerate(asked)], "request_id string, attempt int, prompt string").coalesce(1)
+    for batch in (1, 3, 100):
+        got = {r["request_id"]: r["response"] for r in call_model(rows, picky, "chat", batch).collect()}
+        assert got == {"0": "A", "1": None, "2": "B", "3": None, "4": "C", "5": "D"}

@@ -79,6 +79,16 @@ def test_semantic_skips_zero_vectors_and_wrong_sizes(spark):
     assert [(r["chunk_index"], round(r["score"], 6)) for r in rows] == [(0, 1.0), (2, 0.707107)]
 
 
+def test_query_size_is_the_size_of_all(spark):
+    chunks = vectors(spark, [(1, 0, [1.0, 0.0]), (1, 1, [1.0]), (1, 2, [1.0, 0.0, 0.0])], "doc_id long, chunk_index int")
+    one = vectors(spark, [(7, [1.0, 0.0]), (8, None)], "query_id long")
+    two = vectors(spark, [(7, [1.0, 0.0]), (8, [1.0])], "query_id long")
+    assert [r["chunk_index"] for r in semantic_top_k(one, chunks, 5).collect()] == [0]
+    assert semantic_top_k(one.where("query_id = 8"), chunks, 5).count() == 0
+    with pytest.raises(ValueError):
+        semantic_top_k(two, chunks, 5)
+
+
 def test_semantic_ways_agree(spark):
     rows = [(d, i, [float((d * 7 + i * 3 + j) % 5 - 2) for j in range(4)]) for d in range(3) for i in range(12)]
     chunks = vectors(spark, rows, "doc_id long, chunk_index int")
