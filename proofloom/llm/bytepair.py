@@ -11,9 +11,11 @@ Appending bytes extends the table; an edit keeps the table up to the edit.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable, Iterable
 from itertools import islice
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,7 +27,7 @@ from proofloom.llm.tables import joined, kept_for, mapped
 
 UNKNOWN = "�".encode()
 NOT_CUT = re.compile(r" (?=\s|$|\Z)")
-CACHE_PIECES = 80_000
+CACHE_PIECES = 100_000
 CACHED_BYTES = 64
 SHIFT = 24
 
@@ -40,15 +42,17 @@ class Vocabulary:
             raise ValueError(f"bytes without a token: {missing[:5]}")
         self.single = [ranks[bytes((b,))] for b in range(256)]
         self.pairs: dict[int, int] = {}
-        self.endings: dict[bytes, int] = {}
         for token, rank in ranks.items():
             for k in range(1, len(token)):
                 left, right = ranks.get(token[:k]), ranks.get(token[k:])
                 if left is not None and right is not None:
                     self.pairs[left << SHIFT | right] = rank
-                self.endings.setdefault(token[k:], -1)
+        self.ending = ahocorasick.Automaton()
         for token, rank in ranks.items():
-            self.endings[token] = rank if self.merged(token) == [rank] else -1
+            if self.merged(token) == [rank]:
+                self.ending.add_word(token.decode("latin-1"), (rank, len(token)))
+        self.ending.make_automaton()
+        self.longest = max(map(len, ranks))
         self.apart: dict[int, bool] = {}
 
     def merged(self, data: bytes) -> list[int]:
@@ -70,7 +74,7 @@ class Vocabulary:
         known = self.apart.get(left << SHIFT | right)
         if known is None:
             known = left << SHIFT | right not in self.pairs and self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            if len(self.apart) > 3 * CACHE_PIECES:
+            if len(self.apart) > 2 * CACHE_PIECES:
                 self.apart.clear()
             self.apart[left << SHIFT | right] = known
         return known
@@ -86,21 +90,21 @@ class PrefixTable:
         self.append(data)
 
     def append(self, more: bytes) -> None:
-        begin = len(self.data)
+        """Tries the tokens that end at each new byte, the longest first; one of them is the last one."""
         self.data += more
-        data, last, endings, apart = self.data, self.last, self.vocabulary.endings, self.vocabulary.stay_apart
-        for end in range(begin + 1, len(data) + 1):
-            fits = []
-            start = end - 1
-            while start >= 0 and (token := endings.get(data[start:end])) is not None:
-                if token >= 0:
-                    fits.append((start, token))
-                start -= 1
-            while True:
-                start, token = fits.pop()
-                if start == 0 or apart(last[start], token):
-                    break
-            last.append(token)
+        last, known, apart = self.last, self.vocabulary.apart, self.vocabulary.stay_apart
+        skip = max(0, len(last) - 1 - self.vocabulary.longest)
+        for at, (token, size) in self.vocabulary.ending.iter(self.data[skip:].decode("latin-1")):
+            end = at + skip + 1
+            if end < len(last):
+                continue
+            if end == size:
+                last.append(token)
+                continue
+            before = last[end - size]
+            fits = known.get(before << SHIFT | token)
+            if fits or fits is None and apart(before, token):
+                last.append(token)
 
     def replace(self, start: int, stop: int, new: bytes) -> None:
         """Puts ``new`` in place of the bytes from start to stop; what stands before keeps its table."""
@@ -118,6 +122,27 @@ class PrefixTable:
         return out[::-1]
 
 
+class Recent:
+    """What was met lately: when the newer half is full it becomes the older one, and what is asked for again moves on."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.newer) >= self.size:
+            self.older = self.newer.copy()
+            self.newer.clear()
+        self.newer[key] = value
+
+    def again(self, key: str) -> bytes | None:
+        value = self.older.get(key)
+        if value is not None:
+            self.put(key, value)
+        return value
+
+
 class TextEncoder:
     """Encodes whole texts, each match of the pattern by itself. As in the public library, a match that is
     a token as a whole takes its id; ranks without such odd tokens give the merged encoding either way.
@@ -129,50 +154,31 @@ class TextEncoder:
         self.vocabulary = Vocabulary(ranks)
         self.split: Callable[[str], Iterable[str]] = regex.compile(pattern).findall
         self.spaced = spaced
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.prefixes: dict[bytes, int] = {}
+        self.known = Recent(CACHE_PIECES)
+        self.words = Recent(CACHE_PIECES)
 
     def piece(self, text: str) -> bytes:
+        packed = self.known.again(text)
+        if packed is not None:
+            return packed
         data = text.encode()
         whole = self.vocabulary.ranks.get(data)
-        if whole is not None:
-            packed = whole.to_bytes(4, "little")
-        elif len(data) > CACHED_BYTES:
-            return np.array(PrefixTable(self.vocabulary, data).ids(), "<i4").tobytes()
-        else:
-            packed = np.array(self.from_prefixes(data).ids(), "<i4").tobytes()
-        if len(self.known) >= CACHE_PIECES:
-            self.known.clear()
-        self.known[text] = packed
+        ids = PrefixTable(self.vocabulary, data).ids() if whole is None else [whole]
+        packed = struct.pack(f"<{len(ids)}i", *ids)
+        if len(data) <= CACHED_BYTES:
+            self.known.put(text, packed)
         return packed
 
-    def from_prefixes(self, data: bytes) -> PrefixTable:
-        """Starts from the longest prefix met before; a prefix has the same last token in every piece."""
-        prefixes, end = self.prefixes, len(data)
-        while end and data[:end] not in prefixes:
-            end -= 1
-        table = PrefixTable(self.vocabulary)
-        table.data = data[:end]
-        table.last += [prefixes[data[:k]] for k in range(1, end + 1)]
-        table.append(data[end:])
-        if len(prefixes) > CACHE_PIECES:
-            prefixes.clear()
-            end = 0
-        for k in range(end + 1, len(data) + 1):
-            prefixes[data[:k]] = table.last[k]
-        return table
-
     def by_pattern(self, text: str) -> bytes:
-        known, piece = self.known.get, self.piece
+        known, piece = self.known.newer.get, self.piece
         return b"".join([known(p) or piece(p) for p in self.split(text)])
 
     def word(self, text: str) -> bytes:
-        packed = self.by_pattern(" " + text)
-        if len(text) <= CACHED_BYTES:
-            if len(self.words) >= 2 * CACHE_PIECES:
-                self.words.clear()
-            self.words[text] = packed
+        packed = self.words.again(text)
+        if packed is None:
+            packed = self.by_pattern(" " + text)
+            if len(text) <= CACHED_BYTES:
+                self.words.put(text, packed)
         return packed
 
     def packed(self, text: str) -> bytes:
@@ -180,7 +186,7 @@ class TextEncoder:
         if not self.spaced:
             return self.by_pattern(text)
         first, *rest = text.split(" ")
-        words, word = self.words.get, self.word
+        words, word = self.words.newer.get, self.word
         if NOT_CUT.search(text):  # some of the spaces are no cuts
             joined_up, rest = [first], rest[::-1]
             while rest:
@@ -205,7 +211,7 @@ class TextEncoder:
         begin, end = count(was[:head]), count(was[: len(was) - tail])
         sizes = np.cumsum([0, *(len(self.vocabulary.bytes_of[k]) for k in old_ids)])
         first, last = np.searchsorted(sizes, (begin, end))
-        middle = b"".join(self.known.get(p) or self.piece(p) for p in now[head : len(now) - tail])
+        middle = b"".join(self.known.newer.get(p) or self.piece(p) for p in now[head : len(now) - tail])
         return [*old_ids[:first], *np.frombuffer(middle, "<i4").tolist(), *old_ids[last:]]
 
 
