@@ -211,7 +211,7 @@ def box_is_filled(box: Column) -> Column:
     return F.coalesce((box["x1"] > box["x0"]) & (box["y1"] > box["y0"]), F.lit(False))
 
 
-def next_page_pairs(chunks: DataFrame, page_gap: int = 1, span: int = 1024) -> DataFrame:
+def next_page_pairs(chunks: DataFrame, page_gap: int = 1) -> DataFrame:
     """Neighbouring chunks where the second starts the next page, with their joined text.
 
     Each chunk is sent to its own position and to its predecessor's, so the pair meets on

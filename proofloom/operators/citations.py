@@ -25,7 +25,9 @@ def citation_rows(numbered: DataFrame, *keep: str) -> DataFrame:
 def attach_documents(citations: DataFrame, documents: DataFrame, spread_by: list[str]) -> DataFrame:
     """Body of each cited file, first match by name, null when unknown.
 
-    Most citations may point at one file, so the join is salted.
+    Only cited files move: the names pick them first. Most citations may point at one file, so the
+    join is salted.
     """
-    bodies = documents.groupBy("filename").agg(F.min_by("body", "doc_id").alias("body"))
+    cited = documents.join(citations.select("filename").distinct(), "filename", "left_semi")
+    bodies = cited.groupBy("filename").agg(F.min_by("body", "doc_id").alias("body"))
     return salted_join(citations, bodies, ["filename"], spread_by, "left")

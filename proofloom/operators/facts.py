@@ -75,20 +75,25 @@ def read_attempts(responses: DataFrame) -> DataFrame:
 
 
 def choose_attempt(attempts: DataFrame) -> DataFrame:
-    """The first clean attempt, else the last one made; with its facts (none if it failed)."""
+    """The first clean attempt, else the last one made; with its facts (none if it failed).
+
+    One pass: each response is parsed once, and all but one attempt per request fall map-side.
+    """
     clean = F.col("parsed") & (F.col("n_built") > 0) & (F.col("n_lost") == 0)
-    chosen = attempts.groupBy("request_id").agg(
-        F.coalesce(F.min(F.when(clean, F.col("attempt"))), F.max("attempt")).alias("attempt"),
+    best = F.coalesce(clean, F.lit(False))
+    turn = F.coalesce(F.when(best, F.col("attempt")).otherwise(-F.col("attempt")).cast("long"), F.lit(1 << 62))
+    chosen = attempts.where(F.col("request_id").isNotNull()).groupBy("request_id").agg(
+        F.min_by(F.struct("attempt", "parsed", "facts"), F.struct((~best).alias("late"), turn.alias("turn"))).alias("_a"),
         F.bool_or(clean).alias("clean"),
         F.count("*").alias("n_attempts"),
     )
-    return chosen.join(attempts, ["request_id", "attempt"]).select(
+    return chosen.select(
         "request_id",
-        "attempt",
+        "_a.attempt",
         "n_attempts",
         "clean",
-        F.when(F.col("parsed"), F.lit(None).cast("string")).otherwise(F.lit("Extraction failed")).alias("error"),
-        F.coalesce("facts", F.array().cast(attempts.schema["facts"].dataType)).alias("facts"),
+        F.when(F.col("_a.parsed"), F.lit(None).cast("string")).otherwise(F.lit("Extraction failed")).alias("error"),
+        F.coalesce("_a.facts", F.array().cast(attempts.schema["facts"].dataType)).alias("facts"),
     )
 
 

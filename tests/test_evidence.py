@@ -145,3 +145,10 @@ def test_export_of_a_section_without_phrases(spark):
     best = spark.createDataFrame([], "doc_id long, phrase string, page_num int, match_score int, method string")
     row = ex.export_rows(ex.phrase_evidence(sections, verdicts, best), F.lit("f.pdf")).first()
     assert row["Verified"] == "N/A" and row["Section"] == "Section 1 X" and row["Supporting Phrase"] == "No relevant phrase found."
+
+
+def test_attempts_are_parsed_in_one_pass(spark):
+    rows = spark.createDataFrame([("r", 0, None), ("r", 1, answer(fact())), (None, 0, answer(fact()))], "request_id string, attempt int, response string")
+    chosen = fa.choose_attempt(fa.read_attempts(rows))
+    assert "Join" not in chosen._jdf.queryExecution().executedPlan().toString()
+    assert [(r["request_id"], r["attempt"], r["n_attempts"], r["clean"]) for r in chosen.collect()] == [("r", 1, 2, True)]
