@@ -10,6 +10,11 @@ repeat, and the interval holds all its occurrences.
 Equal segments are merged before they travel: the copies in larger documents are covered by the one in the
 smallest. Minimizers that occur once in the corpus have no repeat; a bit table of the repeated ones, whose
 size is checked, lets tasks leave the others at home. Beyond that size everything is sent, with equal results.
+
+A minimizer that stands in very many different segments is not solved as one group: its windows travel one by
+one, each keyed by a hash of all its bytes, so that equal windows still meet and nothing else does. Such
+minimizers are found by the windows of a sample of the distinct segments, chosen by the segments' marks. There
+is at most one for every HOT windows of the corpus.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ FLUSH = 8 << 20
 BUCKET_BYTES = 6 << 20
 MOST_TABLE_BITS = 1 << 29
 LONGEST, WINDOWS = 64, 60_000
+HOT, ONE_OF = 1 << 16, 64
+CHUNK = 1 << 19
 SPANS = "doc bigint, version bigint, start bigint, stop bigint"
 
 
@@ -221,37 +228,53 @@ def _texts(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[list[
         yield texts, np.array(ids, np.int64), np.array(versions, np.int64)
 
 
-def _minimizers(batches: Iterable[pa.RecordBatch], size: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Per bucket the distinct minimizers of a group of texts, and whether several documents have them."""
+def _minimizers(batches: Iterable[pa.RecordBatch], size: int, buckets: int, listed: bool, one_of: int) -> Iterator[pa.RecordBatch]:
+    """Per bucket the distinct minimizers of a group of texts and whether several documents have them, if they
+    are to be listed, and minimizer, mark and windows of a sample of the distinct segments."""
+    pack = zstandard.ZstdCompressor(1).compress
+    bounds = (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets)
     for texts, ids, _ in _texts(batches, size):
-        least, _, _, _, _, row = segments(texts, size, marked=False)
-        doc = ids[row]
-        order = np.argsort(least, kind="stable")
-        least, doc = least[order], doc[order]
-        first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-        several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-        value = mixed(least[first])
-        order = np.argsort(value)
-        value, several = value[order], several[order]
-        cut = np.searchsorted(value >> np.uint64(32), (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets))
-        pack = zstandard.ZstdCompressor(1).compress
-        rows = [(k, pack(np.diff(value[a:b], prepend=np.uint64(0)).tobytes() + several[a:b].tobytes())) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.binary())], ["bucket", "packed"])
-
-
-def _repeated(rows: pd.DataFrame, bits: int) -> pd.DataFrame:
-    """The bits of a bucket's minimizers that several documents or several groups of texts have."""
+        least, mark, _, _, length, row = segments(texts, size)
+        some = np.flatnonzero(mark % np.uint64(one_of) == 0)
+        sample = np.unique(np.column_stack([mixed(least[some]), mark[some], (length[some] - size + 1).astype(np.uint64)]), axis=0)
+        ends = np.searchsorted(sample[:, 0] >> np.uint64(32), bounds)
+        value, several, cut = np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(buckets + 1, np.int64)
+        if listed:
+            doc = ids[row]
+            order = np.argsort(least, kind="stable")
+            least, doc = least[order], doc[order]
+            first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+            several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+            value = mixed(least[first])
+            order = np.argsort(value)
+            value, several = value[order], several[order]
+            cut = np.searchsorted(value >> np.uint64(32), bounds)
+        rows = []
+        for k, (a, b, c, d) in enumerate(zip(cut[:-1], cut[1:], ends[:-1], ends[1:], strict=True)):
+            if b > a or d > c:
+                rows.append((k, pack(np.diff(value[a:b], prepend=np.uint64(0)).tobytes() + several[a:b].tobytes()), pack(sample[c:d].tobytes())))
+        kinds = (pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "packed", "sample"])
+
+
+def _repeated(rows: pd.DataFrame, bits: int, hot: int, one_of: int) -> pd.DataFrame:
+    """The bits of a bucket's minimizers that several documents or several groups of texts have, and its
+    minimizers whose distinct segments hold about ``hot`` windows or more."""
+    read = zstandard.ZstdDecompressor().decompress
     values, flags = [], []
     for packed in rows["packed"]:
-        raw = zstandard.ZstdDecompressor().decompress(packed)
+        raw = read(packed)
         n = len(raw) // 9
         values.append(np.cumsum(np.frombuffer(raw, np.uint64, n), dtype=np.uint64))
         flags.append(np.frombuffer(raw, bool, n, 8 * n))
     value, flag = np.concatenate(values), np.concatenate(flags)
     unique, at, count = np.unique(value, return_inverse=True, return_counts=True)
-    again = (count > 1) | (np.bincount(at, flag) > 0)
+    again = (count > 1) | (np.bincount(at, flag, len(unique)) > 0)
     place = np.unique(unique[again] >> np.uint64(64 - bits)).astype(np.uint32)
-    return pd.DataFrame({"places": [place.tobytes()]})
+    sample = np.unique(np.concatenate([np.frombuffer(read(p), np.uint64).reshape(-1, 3) for p in rows["sample"]]), axis=0)
+    unique, at = np.unique(sample[:, 0], return_inverse=True)
+    many = unique[np.bincount(at, sample[:, 2].astype(float), len(unique)) * one_of >= hot]
+    return pd.DataFrame({"places": [place.tobytes()], "hot": [many.tobytes()]})
 
 
 def _known(row: np.ndarray, start: np.ndarray, stop: np.ndarray, ids: np.ndarray, versions: np.ndarray, buckets: int) -> list[tuple[int, bool, bytes]]:
@@ -265,57 +288,96 @@ def _known(row: np.ndarray, start: np.ndarray, stop: np.ndarray, ids: np.ndarray
     return [(int(k), True, runs[bucket == k].tobytes()) for k in np.unique(bucket)]
 
 
-def _ship(batches: Iterable[pa.RecordBatch], size: int, buckets: int, table: Callable[[], tuple[np.ndarray, int] | None]) -> Iterator[pa.RecordBatch]:
-    """Per bucket the spans known here, and the first copies of the segments that may repeat."""
-    held = table()
-    pack = zstandard.ZstdCompressor(3).compress
+def _single(texts: list[bytes], start: np.ndarray, length: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, ...]:
+    """The windows of some segments one by one: two marks, start, bytes that the copies behind it add, text number.
+
+    Copies in one text that overlap or touch are one row, since all of them stay or go."""
+    data = np.frombuffer(b"".join([texts[r][s : s + n] for r, s, n in zip(row.tolist(), start.tolist(), length.tolist(), strict=True)]), np.uint8)
+    count = length - size + 1
+    inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    x = data.astype(np.uint64)
+    for k in (1, 2, 4):
+        x = (x[:-k] << np.uint64(8 * k)) | x[k:]
+    one, two = _marks(x, np.repeat(np.cumsum(length) - length, count) + inner, np.full(len(inner), size))
+    start, row = np.repeat(start, count) + inner, np.repeat(row, count)
+    order = np.lexsort((start, row, two, one))
+    one, two, start, row = (c[order] for c in (one, two, start, row))
+    new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (row[1:] != row[:-1]) | (np.diff(start) > size)]
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(new)] - 1
+    return one[first], two[first], start[first], start[last] - start[first], row[first]
+
+
+def _parts(texts: list[bytes], size: int, held: tuple[np.ndarray, int] | None, hot: np.ndarray) -> Iterator[list[np.ndarray]]:
+    """Key, two marks, start, length, added bytes and text number of the segments that may repeat, and then of
+    the single windows of hot minimizers, about CHUNK at a time."""
+    least, one, two, start, length, row = segments(texts, size)
+    value = mixed(least)
+    if held is not None:
+        place = value >> np.uint64(64 - held[1])
+        keep = (held[0][place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        value, one, two, start, length, row = (c[keep] for c in (value, one, two, start, length, row))
+    split = np.isin(value, hot)
+    whole = [c[~split] for c in (value, one, two, start, length, np.zeros(len(value), np.int64), row)]
+    yield whole
+    start, length, row = start[split], length[split], row[split]
+    chunk = np.cumsum(length - size + 1) // CHUNK
+    for k in np.unique(chunk):
+        some = chunk == k
+        one, two, begin, added, text = _single(texts, start[some], length[some], row[some], size)
+        yield [mixed(one ^ two), one, two, begin, np.full(len(one), size), added, text]
+
+
+def _ship(batches: Iterable[pa.RecordBatch], size: int, buckets: int, table: Callable[[], tuple[tuple[np.ndarray, int] | None, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Per bucket the spans known here, and the first copies of what may repeat."""
+    held, hot = table()
     for texts, ids, versions in _texts(batches, size):
-        least, one, two, start, length, row = segments(texts, size)
-        value = mixed(least)
-        if held is not None:
-            place = value >> np.uint64(64 - held[1])
-            keep = (held[0][place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            value, one, two, start, length, row = (c[keep] for c in (value, one, two, start, length, row))
-        doc = ids[row]
-        order = np.lexsort((start, doc, two, one))
-        value, one, two, start, length, row, doc = (c[order] for c in (value, one, two, start, length, row, doc))
-        new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])][: len(one)]
-        group = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        later = doc > doc[first][group] if len(first) else np.zeros(0, bool)
-        out = _known(row[later], start[later], (start + length)[later], ids, versions, buckets)
-        mine = np.flatnonzero(~later)
-        bucket = (value[mine] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-        mine = mine[np.lexsort((group[mine], value[mine], bucket))]
-        bucket = np.sort(bucket)
-        cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-        for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-            if b > a:
-                some = mine[a:b]
-                lead = np.r_[True, group[some][1:] != group[some][:-1]]
-                heads = some[lead]
-                count = np.diff(np.r_[np.flatnonzero(lead), len(some)]).astype(np.uint32)
-                body = b"".join([texts[r][s : s + n] for r, s, n in zip(row[heads].tolist(), start[heads].tolist(), length[heads].tolist(), strict=True)])
-                columns = (value[heads], length[heads].astype(np.uint32), count, doc[some], versions[row[some]].astype(np.int32), start[some])
-                head = np.array([len(heads), len(some)], np.int64)
-                out.append((k, False, pack(b"".join([head.tobytes(), *(c.tobytes() for c in columns), body]))))
-        kinds = (pa.int32(), pa.bool_(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["bucket", "known", "packed"])
+        for part in _parts(texts, size, held, hot):
+            yield _blocks(texts, ids, versions, part, buckets)
+
+
+def _blocks(texts: list[bytes], ids: np.ndarray, versions: np.ndarray, part: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    pack = zstandard.ZstdCompressor(3).compress
+    doc = ids[part[-1]]
+    order = np.lexsort((part[3], doc, part[2], part[1]))
+    value, one, two, start, length, added, row, doc = (c[order] for c in (*part, doc))
+    new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])][: len(one)]
+    group = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    later = doc > doc[first][group] if len(first) else np.zeros(0, bool)
+    out = _known(row[later], start[later], (start + length + added)[later], ids, versions, buckets)
+    mine = np.flatnonzero(~later)
+    bucket = (value[mine] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    mine = mine[np.lexsort((group[mine], value[mine], bucket))]
+    bucket = np.sort(bucket)
+    cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+    for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+        if b > a:
+            some = mine[a:b]
+            lead = np.r_[True, group[some][1:] != group[some][:-1]]
+            heads = some[lead]
+            count = np.diff(np.r_[np.flatnonzero(lead), len(some)]).astype(np.uint32)
+            body = b"".join([texts[r][s : s + n] for r, s, n in zip(row[heads].tolist(), start[heads].tolist(), length[heads].tolist(), strict=True)])
+            columns = (value[heads], length[heads].astype(np.uint32), count, doc[some], versions[row[some]].astype(np.int32), start[some], added[some])
+            head = np.array([len(heads), len(some)], np.int64)
+            out.append((k, False, pack(b"".join([head.tobytes(), *(c.tobytes() for c in columns), body]))))
+    kinds = (pa.int32(), pa.bool_(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["bucket", "known", "packed"])
 
 
 def _unpacked(packed: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-    """Minimizers and strings of the segments of one block, how many starts each has, and all starts."""
+    """Keys and strings of one block, how many starts each has, and all starts with the bytes that they add."""
     raw = zstandard.ZstdDecompressor().decompress(packed)
     heads, some = np.frombuffer(raw, np.int64, 2)
     at = 16
     columns = []
-    for kind, n in ((np.uint64, heads), (np.uint32, heads), (np.uint32, heads), (np.int64, some), (np.int32, some), (np.int64, some)):
+    for kind, n in ((np.uint64, heads), (np.uint32, heads), (np.uint32, heads), (np.int64, some), (np.int32, some), (np.int64, some), (np.int64, some)):
         columns.append(np.frombuffer(raw, kind, n, at))
         at += columns[-1].nbytes
-    value, length, count, doc, version, start = columns
+    value, length, count, doc, version, start, added = columns
     ends = at + np.cumsum(length, dtype=np.int64)
     strings = [raw[a:b] for a, b in zip((ends - length).tolist(), ends.tolist(), strict=True)]
-    return value, strings, count, np.stack([doc, version.astype(np.int64), start], axis=1)
+    return value, strings, count, np.stack([doc, version.astype(np.int64), start, added], axis=1)
 
 
 def _solve(packed: Iterable[bytes], size: int) -> np.ndarray:
@@ -337,7 +399,7 @@ def _solve(packed: Iterable[bytes], size: int) -> np.ndarray:
     least = np.full(len(texts), np.iinfo(np.int64).max)
     np.minimum.at(least, of, at[:, 0])
     later = at[:, 0] > least[of]
-    spans = [np.column_stack([at[later], at[later, 2] + length[of[later]]])]
+    spans = [np.column_stack([at[later, :3], at[later, 2] + length[of[later]] + at[later, 3]])]
     of, at = of[~later], at[~later]
     order = np.argsort(of, kind="stable")
     at, first = at[order], np.searchsorted(of[order], np.arange(len(texts) + 1))
@@ -356,7 +418,7 @@ def _solve(packed: Iterable[bytes], size: int) -> np.ndarray:
             times = first[part + 1] - first[part]
             rows = np.repeat(first[part], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
             start = at[rows, 2]
-            spans.append(np.column_stack([at[rows, :2], start + np.repeat(low, times), start + np.repeat(high, times)]))
+            spans.append(np.column_stack([at[rows, :2], start + np.repeat(low, times), start + np.repeat(high, times) + at[rows, 3]]))
     return np.concatenate(spans)
 
 
@@ -381,23 +443,27 @@ def repeat_spans(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text
     ``version`` tells rows with the same id and other text apart; such rows are no sources for each other."""
     if size < PIECE + 8:
         raise ValueError(f"size must be at least {PIECE + 8}")
+    return sent_segments(docs, size, doc_id, text).groupBy("bucket").applyInPandas(lambda x: _spans(x, size), SPANS)
+
+
+def sent_segments(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
+    """(bucket, known, packed): what tasks know, and what has to meet in a bucket."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc"), _version(F.col(text)).alias("version"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-total // BUCKET_BYTES))
     bits = max(16, int(total // 12).bit_length())
-    table: Callable[[], tuple[np.ndarray, int] | None] = lambda: None
-    if 1 << bits <= MOST_TABLE_BITS:
-        seen = rows.mapInArrow(partial(_minimizers, size=size, buckets=buckets), "bucket int, packed binary")
-        places = seen.groupBy("bucket").applyInPandas(lambda x: _repeated(x, bits), "places binary")
-        flags = np.zeros(1 << bits, bool)
-        for row in places.toLocalIterator():
-            flags[np.frombuffer(row[0], np.uint32)] = True
-        sent = spark.sparkContext.broadcast(np.packbits(flags, bitorder="little"))
-        del flags
-        table = lambda: (sent.value, bits)
-    sent_rows = rows.mapInArrow(partial(_ship, size=size, buckets=buckets, table=table), "bucket int, known boolean, packed binary")
-    return sent_rows.groupBy("bucket").applyInPandas(lambda x: _spans(x, size), SPANS)
+    listed, hot, one_of = 1 << bits <= MOST_TABLE_BITS, HOT, ONE_OF
+    seen = rows.mapInArrow(partial(_minimizers, size=size, buckets=buckets, listed=listed, one_of=one_of), "bucket int, packed binary, sample binary")
+    found = seen.groupBy("bucket").applyInPandas(lambda x: _repeated(x, bits, hot, one_of), "places binary, hot binary")
+    flags, many = np.zeros(1 << bits if listed else 0, bool), []
+    for row in found.toLocalIterator():
+        flags[np.frombuffer(row[0], np.uint32)] = True
+        many.append(np.frombuffer(row[1], np.uint64))
+    sent = spark.sparkContext.broadcast((np.packbits(flags, bitorder="little"), np.concatenate([np.zeros(0, np.uint64), *many])))
+    del flags
+    table = lambda: ((sent.value[0], bits) if listed else None, sent.value[1])
+    return rows.mapInArrow(partial(_ship, size=size, buckets=buckets, table=table), "bucket int, known boolean, packed binary")
 
 
 def merged_spans(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:

@@ -171,6 +171,40 @@ def test_repeats_equal_brute_force(odd):
     assert repeats.deduplicated_text(odd).columns == odd.columns and repeats.without_repeats(odd.where("false")).count() == 0
 
 
+def test_a_hot_minimizer_is_split(spark, monkeypatch):
+    rnd = random.Random(4)
+    letters = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    passage = letters(45)
+    rows = [(k, letters(60) + passage + letters(60)) for k in range(400)]
+    rows += [(500, rows[7][1][30:130]), (501, "z" * 300 + passage + "z" * 300), (502, letters(9) + "z" * 130), (502, "z" * 70 + passage), (3, "z" * 90 + passage + rows[9][1][105:140])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+
+    def largest():
+        groups = defaultdict(dict)
+        for sent in repeats.sent_segments(docs, 50, "doc_id", "text").where("not known").collect():
+            value, strings, _, _ = repeats._unpacked(sent.packed)
+            for key, string in zip(value.tolist(), strings, strict=True):
+                groups[key][string] = len(string) - 49
+        return max(sum(g.values()) for g in groups.values())
+
+    assert largest() > 2_000
+    monkeypatch.setattr(repeats, "HOT", 200)
+    monkeypatch.setattr(repeats, "ONE_OF", 1)
+    assert largest() < 200
+    first = {}
+    for doc, text in rows:
+        for k in range(len(text) - 49):
+            first[text[k : k + 50]] = min(first.get(text[k : k + 50], doc), doc)
+    for most in (200, 1):
+        monkeypatch.setattr(repeats, "HOT", most)
+        want = []
+        for doc, text in rows:
+            gone = {j for k in range(len(text) - 49) if first[text[k : k + 50]] < doc for j in range(k, k + 50)}
+            want.append((doc, "".join(c for k, c in enumerate(text) if k not in gone).encode()))
+        assert sorted((r.doc_id, bytes(r.kept_bytes)) for r in repeats.without_repeats(docs).collect()) == sorted(want)
+        assert any(len(w) < len(t) for (_, w), (_, t) in zip(want, rows, strict=True))
+
+
 def test_near_copies_equal_brute_force(spark, odd):
     rnd = random.Random(8)
     base = [rnd.choice(WORDS) + str(rnd.randrange(50)) for _ in range(40)]
