@@ -70,8 +70,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec
 
     ``vector`` holds whole numbers; rows with a null id or vector take no part, and vectors of different
     length are not compared. A row is another one if its id differs; repeated rows each count. Queries meet
-    rows in tiles of about 1024 by 2048: each side is dealt by a hash of its position in the input, so no
-    id, vector or source makes a large tile, and both sides are copied once per block of the other."""
+    rows in tiles of about 1024 by 2048: each side is dealt by a hash of the row alone, so that a task that
+    runs again deals alike, and both sides are copied once per block of the other. Equal rows are counted
+    first and dealt as numbered copies, k at most, since no result holds more; so no id, vector or source
+    makes a large tile."""
     rows, asked = (
         df.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<bigint>").alias("v"))
         .where(F.col("id").isNotNull() & F.col("v").isNotNull())
@@ -80,9 +82,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec
     )
     shards = max(1, -(-rows.count() // SHARD_ROWS))
     blocks = max(1, -(-asked.count() // QUERY_ROWS))
-    at = lambda n: F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(n)).cast("int")
-    asked = asked.withColumn("block", at(blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    rows = rows.withColumn("shard", at(shards)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    at = lambda n, *key: F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
+    rows = rows.groupBy("id", "v", "n").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
+    asked = asked.withColumn("block", at(blocks, "id", "v")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    rows = rows.withColumn("shard", at(shards, "id", "v", "copy")).drop("copy").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ("block", "shard", "n")
     found = asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInPandas(lambda key, q, r: _tile(key, q, r, k), FOUND)
     while shards > FAN_IN:

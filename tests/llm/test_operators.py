@@ -107,6 +107,24 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert search.top_k(df.where("false"), df).count() == 0
 
 
+def test_top_k_deals_by_the_row_alone(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARD_ROWS", 7)
+    monkeypatch.setattr(search, "QUERY_ROWS", 3)
+    rnd = random.Random(6)
+    rows = [(k, [rnd.randrange(-9, 10) for _ in range(3)]) for k in range(40)]
+    rows += [rows[3]] * 30 + [(3, [9, 9, 9])] * 2 + [(70, [1, 1, 1])] * 9
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    asked = sorted({(k, tuple(v)) for k, v in rows if k % 4 == 0})
+    want = []
+    for q, v in asked:
+        near = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), k) for k, w in rows if k != q)[:5]
+        want += [(q, r + 1, k, -s) for r, (s, k) in enumerate(near)]
+    for parts in (1, 5):
+        found = search.top_k(df.repartition(parts), df.where("vec_id % 4 = 0"))
+        assert "monotonically_increasing_id" not in found._jdf.queryExecution().toString()
+        assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
 def test_contamination_equals_brute_force(spark, odd):
     items = [(1, odd_rows()[2][1]), (2, "alpha"), (3, None), (4, ""), (5, odd_rows()[2][1]), (6, "Ünï cödé Ω"), (None, "12 34")]
     got = contamination.contamination(odd, spark.createDataFrame(items, "item_id int, text string"))
