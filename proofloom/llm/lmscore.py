@@ -1,10 +1,13 @@
 """Cross-entropy difference of two matched n-gram models over one vocabulary.
 
-The tokens are bytes, so target and background share a vocabulary of 256 by construction. Both are trigram
-models of the same form, interpolated with their bigrams and unigrams, and count every document: the chosen
-ones for the target, all others for the background. There are at most 2^24 trigrams, which bounds the model.
-A document's score is the mean over its bytes of the target's loss minus the background's, in nats: low
-scores are like the target.
+``scores`` has word models: bigrams interpolated with unigrams and a uniform share, over one vocabulary of all
+words (runs without white space) and an end mark. Both models have the same form and count every document: the
+chosen ones for the target, all others for the background. Words and pairs are Spark tables that grow with the
+corpus, aggregated in each task before they move; each document's pairs are joined to them. A document's score is
+the mean over its words and its end of the target's loss minus the background's, in nats: low scores are like the
+target. Words and pairs stand for their 64-bit hashes.
+
+``byte_scores`` has byte trigrams instead, at most 2^24, which bounds the model whatever the corpus holds.
 """
 
 from __future__ import annotations
@@ -13,9 +16,10 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofloom.functions.spread import join_checked
 from proofloom.llm.tables import mapped, release
 
 CODES = 1 << 24
@@ -51,9 +55,44 @@ def log_probabilities(code: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.log(p + WEIGHTS[2] * (one[code & 0xFF] + 1) / (three.sum() + 256))
 
 
+START, END = 0, 1
+
+
 def scores(docs: DataFrame, chosen: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, target_loss_minus_background), a row for every row of ``docs``.
 
+    ``chosen`` names the target documents by ``doc_id``; repeated and null ids in it add nothing. Texts without a
+    word have no tokens and a null score; repeated rows count as often as they stand there."""
+    ids = chosen.select(F.col("doc_id").alias("__id"), F.lit(True).alias("__target")).where("__id IS NOT NULL").distinct()
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), F.coalesce(F.transform(words, lambda w: F.xxhash64(w)), F.array().cast("array<long>")).alias("words"))
+    flagged = rows.where(F.size("words") > 0).join(few, F.col("doc_id") == F.col("__id"), "left").withColumn("target", F.coalesce("__target", F.lit(False)).cast("long"))
+    mark = lambda k: F.array(F.lit(k).cast("long"))
+    counts = (F.sum("target").alias("t"), F.sum(1 - F.col("target")).alias("b"))
+    word = flagged.select("target", F.explode(F.concat(mark(START), "words", mark(END))).alias("word")).groupBy("word").agg(*counts)
+    pairs = F.arrays_zip(F.concat(mark(START), "words").alias("before"), F.concat("words", mark(END)).alias("word"))
+    pair = flagged.select("key", "target", F.explode(pairs).alias("p")).select("key", "target", "p.before", "p.word")
+    target, background, size = word.where(F.col("word") != START).agg(F.sum("t"), F.sum("b"), F.count(F.lit(1))).first()
+    table = pair.groupBy("before", "word").agg(*counts)
+    table = join_checked(table, word.select(F.col("word").alias("before"), F.col("t").alias("t_before"), F.col("b").alias("b_before")), ["before"], ["word"], max_rows=BROADCAST_IDS)
+    table = join_checked(table, word.select("word", F.col("t").alias("t_word"), F.col("b").alias("b_word")), ["word"], ["before"], max_rows=BROADCAST_IDS)
+    gap = _log(F.col("b"), F.col("b_before"), F.col("b_word"), background, size) - _log(F.col("t"), F.col("t_before"), F.col("t_word"), target, size)
+    both = F.xxhash64("before", "word").alias("both")
+    scored = pair.select("key", both).join(table.select(both, gap.alias("gap")), "both")
+    mean = scored.groupBy("key").agg(F.avg("gap").alias("gap"))
+    return rows.select("doc_id", "key", F.size("words").cast("long").alias("n_tokens")).join(mean, "key", "left").select("doc_id", "n_tokens", F.round("gap", 6).alias("target_loss_minus_background"))
+
+
+def _log(pair: Column, before: Column, word: Column, total: int | None, size: int) -> Column:
+    """Log probability of a word after the one before it, in one model."""
+    share = lambda part, whole: F.when(whole > 0, part / whole).otherwise(0.0)
+    return F.log(WEIGHTS[0] * share(pair, before) + WEIGHTS[1] * share(word, F.lit(total or 0)) + F.lit(WEIGHTS[2] / max(size, 1)))
+
+
+def byte_scores(docs: DataFrame, chosen: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, target_loss_minus_background), a row for every row of ``docs``.
+
     ``chosen`` names the target documents by ``doc_id``; repeated and null ids in it add nothing. Null and empty texts have
     no tokens and a null score; repeated rows count as often as they stand there."""
     ids = chosen.select(F.col("doc_id").alias("__id"), F.lit(True).alias("__target")).where("__id IS NOT NULL").distinct()

@@ -275,6 +275,36 @@ def test_lm_scores(spark, odd):
     assert lmscore.scores(odd, odd.select("doc_id")).count() == odd.count()
 
 
+def test_lm_scores_tell_words_of_the_same_bytes_apart(spark):
+    rows = [(k, ("ab cd ef gh" if k % 2 else "ab ef cd gh") + " ab" * (k % 3)) for k in range(12)] + [(3, "x y"), (None, "ab"), (20, " \n"), (21, None)] + [(1, "ab cd ef gh ab")]
+    good = [1, 3, 5]
+    counts = [defaultdict(int), defaultdict(int)]
+    for k, text in rows:
+        w = (text or "").split()
+        if w:
+            own = counts[k in good]
+            for pair in zip(["^", *w], [*w, "$"], strict=True):
+                own[pair] += 1
+                own[pair[0], None] += 1
+                own[None, pair[1]] += 1
+                own[None, None] += 1
+    size = len({p[1] for c in counts for p in c if p[0] is None and p[1] is not None})
+
+    def loss(c, a, b):
+        return -math.log(0.7 * (c[a, b] / c[a, None] if c[a, None] else 0) + 0.2 * c[None, b] / c[None, None] + 0.1 / size)
+
+    want = []
+    for k, text in rows:
+        w = (text or "").split()
+        gaps = [loss(counts[1], a, b) - loss(counts[0], a, b) for a, b in zip(["^", *w], [*w, "$"], strict=True)]
+        want.append((str(k), len(w), round(sum(gaps) / len(gaps), 5) if w else None))
+    got = lmscore.scores(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k,) for k in good], "doc_id long"))
+    found = [(str(r.doc_id), r.n_tokens, None if r[2] is None else round(r[2], 5)) for r in got.collect()]
+    key = lambda r: (r[0], r[1], r[2] or 0)
+    for a, b in zip(sorted(found, key=key), sorted(want, key=key), strict=True):
+        assert a[:2] == b[:2] and (a[2] is None) == (b[2] is None) and abs((a[2] or 0) - (b[2] or 0)) < 3e-5
+
+
 def test_chats_collapse(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "assistant", "yo"), (3, 200, "USER", None), (4, 0, "user", "other"), (5, 0, "user", "other"), (5, 0, "user", "other"), (None, 0, "user", "x"), (6, None, None, "n")]
     got = chat.rendered(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "part").collect()
