@@ -80,15 +80,17 @@ class UrlModel:
         return self.hashing.transform(df.withColumn("__grams", grams(F.col(host), F.col(path), self.sizes)))
 
     def fit(self, labelled: DataFrame, most: int = 20_000, host: str = "host", path: str = "path", label: str = "label") -> UrlModel:
-        """Learns from at most ``most`` labelled rows, those of the smallest URL hash; rows without a label take no part.
+        """Learns from at most ``most`` distinct labelled URLs, those of the smallest hash, each with its number of rows
+        as weight; rows without a label take no part.
 
         With no row, or one label only, the score is constant: 0.5, or that label."""
         known = labelled.select(F.col(host), F.col(path), F.col(label).cast("double").alias("__label")).where(F.col("__label").isNotNull())
-        few = known.orderBy(F.xxhash64(host, path), host, path, "__label").limit(most)
-        rows = self._hashed(few, host, path).select("__hashed", "__label").cache()
-        ones, total = rows.agg(F.sum("__label"), F.count(F.lit(1))).first()
+        counted = known.groupBy(host, path, "__label").agg(F.count(F.lit(1)).cast("double").alias("__weight"))
+        few = counted.orderBy(F.xxhash64(host, path), host, path, "__label").limit(most)
+        rows = self._hashed(few, host, path).select("__hashed", "__label", "__weight").cache()
+        ones, total = rows.agg(F.sum(F.col("__label") * F.col("__weight")), F.sum("__weight")).first()
         if total and 0 < ones < total:
-            self.model = LogisticRegression(featuresCol="__hashed", labelCol="__label", maxIter=self.rounds, regParam=1e-3).fit(rows)
+            self.model = LogisticRegression(featuresCol="__hashed", labelCol="__label", weightCol="__weight", maxIter=self.rounds, regParam=1e-3).fit(rows)
         elif total:
             self.constant = ones / total
         rows.unpersist()

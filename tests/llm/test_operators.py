@@ -87,6 +87,17 @@ def test_url_rules_and_model(spark):
     assert [r.score > 0.5 for r in model.score(new).collect()] == [False, True]
 
 
+def test_url_model_counts_copies_as_weight(spark):
+    rows = [(f"site{k}.net", f"/news/{k}", 0) for k in range(15)] + [(f"pills{k}.net", f"/buy/{k}", 1) for k in range(15)]
+    labelled = spark.createDataFrame(rows, "host string, path string, label int")
+    hot = tuple(labelled.orderBy(F.xxhash64("host", "path")).first())
+    model = urls.UrlModel(rounds=10).fit(spark.createDataFrame([*rows, *[hot] * 50], labelled.schema), most=30)
+    assert model.model is not None
+    new = spark.createDataFrame([("site99.net", "/news/99"), ("pills99.net", "/buy/99")], "host string, path string")
+    low, high = (r.score for r in model.score(new).collect())
+    assert low < high
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(search, "SHARD_ROWS", 7)
     monkeypatch.setattr(search, "QUERY_ROWS", 3)
