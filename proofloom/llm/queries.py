@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofloom.llm import bytepair, chat, contamination, language, lmscore, neardup, repeats, search, tokencount, urls
+from proofloom.llm import blocks, bytepair, chat, contamination, language, lmscore, neardup, repeats, search, tokencount, urls
 from proofloom.llm.tables import bounded_batches, read_ranks, table
 
 
@@ -145,6 +145,28 @@ FROM turns JOIN kept USING (conv_id) GROUP BY ALL
 """
 
 
+def repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = blocks.without_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+REPEATED_WORDS = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), starts AS (
+  SELECT doc_id, k, array_to_string(w[k : k + 49], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS k FROM d)
+), later AS (
+  SELECT doc_id, k FROM (SELECT *, min(doc_id) OVER (PARTITION BY win) AS least FROM starts) WHERE doc_id > least
+), gone AS (SELECT DISTINCT doc_id, unnest(range(k, k + 50)) AS p FROM later
+), words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d
+), kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": token_counts,
     "op2_bpe_roundtrip": bpe_roundtrip,
@@ -156,5 +178,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_copies": near_copies,
     "op9_languages": languages,
     "op10_chats": chats,
+    "op13_repeated_words": repeated_words,
 }
-ORACLES: dict[str, str] = {"op4_vector_top": VECTOR_TOP, "op5_benchmark_hits": BENCHMARK_HITS, "op10_chats": CHATS}
+ORACLES: dict[str, str] = {"op4_vector_top": VECTOR_TOP, "op5_benchmark_hits": BENCHMARK_HITS, "op10_chats": CHATS, "op13_repeated_words": REPEATED_WORDS}
