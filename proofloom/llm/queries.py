@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proofloom.llm import blocks, bytepair, chat, contamination, language, lmscore, neardup, repeats, search, tokencount, urls
+from proofloom.llm import blocks, bytepair, chat, collocations, contamination, language, lmscore, neardup, negatives, repeats, search, tokencount, urls
 from proofloom.llm.tables import bounded_batches, read_ranks, table
 
 
@@ -145,6 +145,64 @@ FROM turns JOIN kept USING (conv_id) GROUP BY ALL
 """
 
 
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+PHRASES = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_extract_all(t, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM d)
+), places AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS k FROM pieces
+), grams AS (
+  SELECT lang, len(g) AS size, array_to_string(g, ' ') AS phrase, g, count(*) AS f
+  FROM (SELECT lang, w[k : k + s - 1] AS g FROM places, (VALUES (1), (2), (3)) sizes(s) WHERE k + s - 1 <= len(w)) GROUP BY lang, g
+), totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE size = 1 GROUP BY lang
+), cuts AS (
+  SELECT c.lang, c.phrase, c.g, c.size, c.f AS a, l.f AS l, r.f AS r, k,
+    (1000000::HUGEINT * c.f * c.f) // (l.f::HUGEINT * r.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM grams WHERE size > 1 AND f >= 10) c
+  JOIN grams l ON l.lang = c.lang AND l.phrase = array_to_string(c.g[:k], ' ')
+  JOIN grams r ON r.lang = c.lang AND r.phrase = array_to_string(c.g[k + 1 :], ' ')
+), candidates AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), longer AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, a AS f, unnest([array_to_string(g[:2], ' '), array_to_string(g[2:], ' ')]) AS phrase FROM candidates WHERE size = 3) GROUP BY ALL
+)
+SELECT c.lang, row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, c.phrase) AS rank, c.phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM candidates c JOIN totals USING (lang) LEFT JOIN longer ON longer.lang = c.lang AND longer.phrase = c.phrase
+WHERE longer.f IS NULL OR 100 * longer.f < 50 * a QUALIFY rank <= 2000
+"""
+
+
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", label, search.scaled(F.col("embedding")).alias("vector"))
+    return negatives.hard_negatives(rows, rows.where(F.col("vec_id") % 100 == 0))
+
+
+HARD_NEGATIVES = """
+WITH scaled AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+), scores AS (
+  SELECT a.vec_id AS anchor_id, o.vec_id, a.label = o.label AS same, CAST(list_dot_product(a.v, o.v) AS BIGINT) AS score
+  FROM scaled a JOIN scaled o ON a.vec_id <> o.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
 def repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = blocks.without_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -178,6 +236,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_copies": near_copies,
     "op9_languages": languages,
     "op10_chats": chats,
+    "op11_phrases": phrases,
+    "op12_hard_negatives": hard_negatives,
     "op13_repeated_words": repeated_words,
 }
-ORACLES: dict[str, str] = {"op4_vector_top": VECTOR_TOP, "op5_benchmark_hits": BENCHMARK_HITS, "op10_chats": CHATS, "op13_repeated_words": REPEATED_WORDS}
+ORACLES: dict[str, str] = {"op4_vector_top": VECTOR_TOP, "op5_benchmark_hits": BENCHMARK_HITS, "op10_chats": CHATS, "op11_phrases": PHRASES, "op12_hard_negatives": HARD_NEGATIVES, "op13_repeated_words": REPEATED_WORDS}
