@@ -312,16 +312,27 @@ SELECT s.doc_id, s.phrase, s.chunk_index, s.page_num, b.n_boxes, b.x0, b.y0, b.x
        string_split(lower(s.text), lower(s.search_phrase)) AS pieces
 FROM t_single s JOIN t_boxes b ON b.doc_id = s.doc_id AND b.chunk_index = s.chunk_index""")
 
-cte("t_exact_places", """
-SELECT doc_id, phrase, chunk_index, page_num, x0, y0, x1, y1, 'exact_cleaned_search' AS method,
+cte("t_occurrences", """
+SELECT doc_id, phrase, chunk_index, page_num, x0, y0, x1, y1, n,
        CAST(list_sum(list_transform(pieces[1:i], lambda p: length(p))) + (i - 1) * n AS INTEGER) AS offset_at
 FROM (SELECT *, unnest(range(1, len(pieces))) AS i FROM t_found_text)""")
 
+cte("t_exact_places", """
+SELECT o.doc_id, o.phrase, o.chunk_index, o.page_num, b.x0, b.y0, b.x1, b.y1, 'exact_cleaned_search' AS method, o.offset_at
+FROM t_occurrences o JOIN t_chunks c ON c.doc_id = o.doc_id AND c.chunk_index = o.chunk_index
+JOIN t_blocks b ON b.doc_id = c.doc_id AND b.page_num = c.page_num
+  AND b.char_end > c.char_start + o.offset_at AND b.char_start < c.char_start + o.offset_at + o.n
+WHERE b.x0 < o.x1 AND o.x0 < b.x1 AND b.y0 < o.y1 AND o.y0 < b.y1""")
+
+cte("t_inexact", """
+SELECT * FROM t_found_text f WHERE NOT EXISTS (
+  SELECT 1 FROM t_exact_places e WHERE e.doc_id = f.doc_id AND e.phrase = f.phrase AND e.chunk_index = f.chunk_index)""")
+
 cte("t_box_places", """
 SELECT f.doc_id, f.phrase, f.chunk_index, f.page_num, b.x0, b.y0, b.x1, b.y1, 'fuzzy_chunk_fallback_individual' AS method, CAST(b.rank - 1 AS INTEGER) AS offset_at
-FROM t_found_text f JOIN t_best_blocks b ON b.doc_id = f.doc_id AND b.chunk_index = f.chunk_index WHERE len(f.pieces) = 1 AND f.n_boxes <= 3
+FROM t_inexact f JOIN t_best_blocks b ON b.doc_id = f.doc_id AND b.chunk_index = f.chunk_index WHERE f.n_boxes <= 3
 UNION ALL
-SELECT doc_id, phrase, chunk_index, page_num, x0, y0, x1, y1, 'fuzzy_chunk_fallback', 0 FROM t_found_text WHERE len(pieces) = 1 AND n_boxes > 3""")
+SELECT doc_id, phrase, chunk_index, page_num, x0, y0, x1, y1, 'fuzzy_chunk_fallback', 0 FROM t_inexact WHERE n_boxes > 3""")
 
 cte("t_crossed_places", """
 SELECT c.doc_id, c.phrase, b.chunk_index, b.page_num, b.x0, b.y0, b.x1, b.y1, 'cross_page_fuzzy_match_part' || (b.chunk_index - c.chunk_index + 1) AS method, 0 AS offset_at
@@ -331,7 +342,7 @@ cte("t_places", """
 SELECT * FROM t_exact_places UNION ALL SELECT * FROM t_box_places UNION ALL SELECT * FROM t_crossed_places""")
 
 cte("t_best_place", """
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, phrase ORDER BY chunk_index, method, offset_at) AS r FROM t_places) WHERE r = 1""")
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, phrase ORDER BY chunk_index, method, offset_at, y0, x0) AS r FROM t_places) WHERE r = 1""")
 
 cte("t_evidence", """
 SELECT s.doc_id, s.chunk_index, s.section_no, s.section_key, s.analysis, s.context, s.phrase_no, s.phrase, coalesce(v.verified, false) AS verified, b.page_num,

@@ -77,10 +77,10 @@ def j09(spark, d):
     return out
 
 
-@query("j15_occurrences", "SELECT doc_id, phrase, chunk_index, offset_at FROM t_exact_places")
+@query("j15_occurrences", "SELECT doc_id, phrase, chunk_index, offset_at, x0, y0, x1, y1 FROM t_exact_places")
 def j15(spark, d):
     rows = _verified(spark, d).locations.where(F.col("method") == v.METHOD_EXACT)
-    return rows.select("doc_id", "phrase", "chunk_index", F.col("offset").alias("offset_at"))
+    return rows.select("doc_id", "phrase", "chunk_index", F.col("offset").alias("offset_at"), "rect.*")
 
 
 @query("a10_verified", "SELECT doc_id, bool_or(verified) AS any_verified, bool_and(verified) AS all_verified FROM t_verified GROUP BY doc_id")
@@ -98,15 +98,15 @@ PRIORITY = """CASE method WHEN 'exact_cleaned_search' THEN 5 WHEN 'cross_page_fu
 
 
 @query("w07_best_location", f"""
-SELECT doc_id, phrase, chunk_index, method FROM (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, phrase ORDER BY {PRIORITY} DESC, chunk_index, method, offset_at) AS r FROM t_places) WHERE r = 1""")
+SELECT doc_id, phrase, chunk_index, method, y0, y1 FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, phrase ORDER BY {PRIORITY} DESC, chunk_index, method, offset_at, y0, x0) AS r FROM t_places) WHERE r = 1""")
 def w07(spark, d):
-    return v.best_location(_verified(spark, d).locations).select("doc_id", "phrase", "chunk_index", "method")
+    return v.best_location(_verified(spark, d).locations).select("doc_id", "phrase", "chunk_index", "method", "rect.y0", "rect.y1")
 
 
-@query("w08_best_by_score", "SELECT doc_id, phrase, chunk_index, method FROM t_best_place")
+@query("w08_best_by_score", "SELECT doc_id, phrase, chunk_index, method, y0, y1 FROM t_best_place")
 def w08(spark, d):
-    return v.best_location(_verified(spark, d).locations, by_method=False).select("doc_id", "phrase", "chunk_index", "method")
+    return v.best_location(_verified(spark, d).locations, by_method=False).select("doc_id", "phrase", "chunk_index", "method", "rect.y0", "rect.y1")
 
 
 @query("w10_first_cross", "SELECT doc_id, phrase, chunk_index, method FROM t_crossed_places")
@@ -116,13 +116,13 @@ def w10(spark, d):
 
 
 @query("s10_highlights", """
-SELECT doc_id, phrase, page_num, method, CASE WHEN contains(method, 'fallback') THEN 'blue' ELSE 'yellow' END AS color,
+SELECT doc_id, phrase, page_num, x0, y0, x1, y1, method, CASE WHEN contains(method, 'fallback') THEN 'blue' ELSE 'yellow' END AS color,
        'Verified (' || method || ', Score: 100): ' || substr(phrase, 1, 100) || '...' AS label
 FROM t_places WHERE x1 > x0 AND y1 > y0""")
 def s10(spark, d):
     chunks = tb.chunks(spark, d)
     rows = v.highlights(_verified(spark, d).locations, v.page_counts(chunks))
-    return rows.select("doc_id", "phrase", "page_num", "method", "color", "label")
+    return rows.select("doc_id", "phrase", "page_num", "rect.*", "method", "color", "label")
 
 
 def _evidence(spark, d):

@@ -60,6 +60,15 @@ def chunk_boxes(blocks: Column, start: Column, end: Column) -> Column:
     return F.when(F.size(ranked) > 0, best).otherwise(F.transform(F.slice(holding, 1, 1), lambda b: b["bbox"]))
 
 
+def chunk_spans(blocks: Column, start: Column, end: Column) -> Column:
+    """All blocks a chunk touches, in reading order, with their spans counted from the chunk's first character."""
+    touched = F.filter(blocks, lambda b: (b["char_end"] > start) & (b["char_start"] < end))
+    return F.transform(
+        touched,
+        lambda b: F.struct((b["char_start"] - start).alias("start"), (b["char_end"] - start).alias("stop"), b["bbox"].alias("bbox")),
+    )
+
+
 def _finish(numbered: DataFrame) -> DataFrame:
     return numbered.select(
         "doc_id",
@@ -70,6 +79,7 @@ def _finish(numbered: DataFrame) -> DataFrame:
         "char_start",
         "char_end",
         "bboxes",
+        "spans",
     )
 
 
@@ -91,6 +101,7 @@ def chunks_from_documents(
                     g["char_start"].alias("char_start"),
                     g["char_end"].alias("char_end"),
                     chunk_boxes(p["blocks"], g["char_start"], g["char_end"]).alias("bboxes"),
+                    chunk_spans(p["blocks"], g["char_start"], g["char_end"]).alias("spans"),
                 ),
             ),
         )
@@ -146,6 +157,7 @@ def chunks_from_pages(
             "item.char_start",
             "item.char_end",
             chunk_boxes(F.col("blocks"), F.col("item.char_start"), F.col("item.char_end")).alias("bboxes"),
+            chunk_spans(F.col("blocks"), F.col("item.char_start"), F.col("item.char_end")).alias("spans"),
         )
     )
 
@@ -211,6 +223,12 @@ def box_is_filled(box: Column) -> Column:
     return F.coalesce((box["x1"] > box["x0"]) & (box["y1"] > box["y0"]), F.lit(False))
 
 
+def boxes_meet(a: Column, b: Column) -> Column:
+    """Whether two boxes share an area."""
+    across = (a["x0"] < b["x1"]) & (b["x0"] < a["x1"])
+    return F.coalesce(across & (a["y0"] < b["y1"]) & (b["y0"] < a["y1"]), F.lit(False))
+
+
 def next_page_pairs(chunks: DataFrame, page_gap: int = 1) -> DataFrame:
     """Neighbouring chunks where the second starts the next page, with their joined text.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from proofloom.functions import text as tx
 from proofloom.functions.fuzzy import phrase_matcher
 from proofloom.functions.spread import first_rows, is_small, salted_join
-from proofloom.operators.chunking import box_is_filled, next_page_pairs, union_box
+from proofloom.operators.chunking import box_is_filled, boxes_meet, next_page_pairs, union_box
 from proofloom.session import stored
 from proofloom.sources.documents import explode_rows
 
@@ -200,8 +200,9 @@ def match_passes(phrases: DataFrame, chunks: DataFrame, fuzzy: bool = True) -> t
 
 
 def occurrences(text: Column, phrase: Column) -> Column:
-    """0-based starts of all non-overlapping occurrences, ignoring case."""
-    pieces = F.split(F.lower(text), F.concat(F.lit(r"\Q"), F.lower(phrase), F.lit(r"\E")))
+    """0-based starts of all non-overlapping occurrences, ignoring case; the phrase is taken letter by letter."""
+    literal = F.regexp_replace(F.lower(phrase), r"([\\\[\](){}.*+?^$|#&~-])", r"\\$1")
+    pieces = F.split(F.lower(text), literal)
     starts = F.transform(
         F.slice(pieces, F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(0))),
         lambda piece, i: F.aggregate(
@@ -212,33 +213,51 @@ def occurrences(text: Column, phrase: Column) -> Column:
     return F.when(F.length(phrase) > 0, starts).otherwise(F.array().cast("array<int>"))
 
 
+def occurrence_places(starts: Column, length: Column, spans: Column, area: Column) -> Column:
+    """(rect, offset) of every block that an occurrence overlaps inside ``area``.
+
+    ``spans`` lie in reading order and count from the text's first character. An occurrence that runs over
+    several blocks gives one place each.
+    """
+
+    def met(at: Column) -> Column:
+        held = F.filter(spans, lambda s: (s["stop"] > at) & (s["start"] < at + length) & boxes_meet(s["bbox"], area))
+        return F.transform(held, lambda s: F.struct(s["bbox"].alias("rect"), at.alias("offset")))
+
+    return F.flatten(F.transform(starts, met))
+
+
 def locate_single(matches: DataFrame, phrases: DataFrame, chunks: DataFrame) -> DataFrame:
     """Rectangles for pass-1 matches.
 
-    Every literal occurrence gives one; without any, each box of a chunk with at most three, or
-    else the chunk's whole area. Rectangles follow layout blocks, not glyphs.
+    Every literal occurrence inside the chunk's area gives the rectangles of the layout blocks it stands in.
+    Without any: each box of a chunk with at most three, or else the chunk's whole area. A chunk table
+    without ``spans`` has no block positions; its occurrences get the whole area.
     """
-    area = union_box(F.col("bboxes"))
+    columns = ["doc_id", "chunk_index", "page_num", "text", "bboxes", *[c for c in ("spans",) if c in chunks.columns]]
     rows = (
-        salted_join(
-            matches,
-            chunks.select("doc_id", "chunk_index", "page_num", "text", "bboxes"),
-            ["doc_id", "chunk_index"],
-            ["phrase"],
-            salts=2,
-        )
+        salted_join(matches, chunks.select(*columns), ["doc_id", "chunk_index"], ["phrase"], salts=2)
         .join(phrases.select("doc_id", "phrase", "search_phrase"), ["doc_id", "phrase"])
-        .withColumn("area", area)
+        .withColumn("area", union_box(F.col("bboxes")))
         .where(box_is_filled(F.col("area")))
         .withColumn("_at", occurrences(F.col("text"), F.col("search_phrase")))
     )
-    exact = F.transform("_at", lambda at: F.struct(F.lit(METHOD_EXACT).alias("method"), F.col("area").alias("rect"), at.alias("offset")))
-    boxes = F.transform(
-        F.filter("bboxes", box_is_filled),
-        lambda b, i: F.struct(F.lit(METHOD_BOX).alias("method"), b.alias("rect"), i.alias("offset")),
+    if "spans" in columns:
+        found = occurrence_places(F.col("_at"), F.length("search_phrase"), F.col("spans"), F.col("area"))
+    else:
+        found = F.transform("_at", lambda at: F.struct(F.col("area").alias("rect"), at.alias("offset")))
+    rows = rows.withColumn("_found", found)
+
+    def labelled(places: Column, method: str) -> Column:
+        return F.transform(places, lambda p: F.struct(F.lit(method).alias("method"), p["rect"].alias("rect"), p["offset"].alias("offset")))
+
+    boxes = F.transform(F.filter("bboxes", box_is_filled), lambda b, i: F.struct(b.alias("rect"), i.alias("offset")))
+    whole = F.array(F.struct(F.col("area").alias("rect"), F.lit(0).alias("offset")))
+    places = (
+        F.when(F.size("_found") > 0, labelled(F.col("_found"), METHOD_EXACT))
+        .when(F.size("bboxes") <= FEW_BOXES, labelled(boxes, METHOD_BOX))
+        .otherwise(labelled(whole, METHOD_AREA))
     )
-    whole = F.array(F.struct(F.lit(METHOD_AREA).alias("method"), F.col("area").alias("rect"), F.lit(0).alias("offset")))
-    places = F.when(F.size("_at") > 0, exact).when(F.size("bboxes") <= FEW_BOXES, boxes).otherwise(whole)
     return rows.select("doc_id", "phrase", "chunk_index", "page_num", "match_score", F.explode(places).alias("p")).select(
         "doc_id", "phrase", "chunk_index", "page_num", "match_score", "p.method", "p.rect", "p.offset"
     )
@@ -294,7 +313,7 @@ def method_priority(method: Column) -> Column:
 def best_location(locations: DataFrame, by_method: bool = True) -> DataFrame:
     """One location per (document, phrase): by method then score on screen, by score alone for
     exports; the earliest wins ties."""
-    order = [F.desc("match_score"), F.asc("chunk_index"), F.asc("method"), F.asc("offset")]
+    order = [F.desc("match_score"), F.asc("chunk_index"), F.asc("method"), F.asc("offset"), F.asc("rect.y0"), F.asc("rect.x0")]
     if by_method:
         order.insert(0, F.desc(method_priority(F.col("method"))))
     return first_rows(locations, ["doc_id", "phrase"], order, 1).drop("rank")

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from proofloom.functions import fuzzy
 from proofloom.operators import export as ex
@@ -152,3 +153,27 @@ def test_attempts_are_parsed_in_one_pass(spark):
     chosen = fa.choose_attempt(fa.read_attempts(rows))
     assert "Join" not in chosen._jdf.queryExecution().executedPlan().toString()
     assert [(r["request_id"], r["attempt"], r["n_attempts"], r["clean"]) for r in chosen.collect()] == [("r", 1, 2, True)]
+
+
+def test_occurrences_have_the_rectangles_of_their_blocks(spark):
+    lines = ["The margin is low this year and", "stays so. The rest of the text is", "filler of no use to anyone here.", "The Margin is low again, at the", "very end of this page of text."]
+    blocks, at = [], 0
+    for k, line in enumerate(lines):
+        blocks.append((at, at + len(line), (50.0, 50.0 + 15 * k, 50.0 + 6 * len(line), 65.0 + 15 * k)))
+        at += len(line) + 1
+    spans = CHUNKS.replace("bboxes array", "spans array<struct<start:int,stop:int,bbox:struct<x0:double,y0:double,x1:double,y1:double>>>, bboxes array")
+    whole = [b for *_, b in blocks]
+    chunks = spark.createDataFrame([(1, 0, 0, " ".join(lines), blocks, whole), (2, 0, 0, " ".join(lines), blocks, whole[:3])], spans)
+    rows = [(d, "section_1_x", p) for d in (1, 2) for p in ("margin is low", "year and stays so", "(low) \\E again", "again, at the very end")]
+    found = verify_phrases(spark.createDataFrame(rows, "doc_id long, section_key string, phrase string"), chunks, fuzzy=False).locations.collect()
+    places = {(r["doc_id"], r["phrase"]): [] for r in found}
+    for r in found:
+        places[r["doc_id"], r["phrase"]].append((r["method"], r["offset"], r["rect"]["y0"]))
+    exact = "exact_cleaned_search"
+    first, second = " ".join(lines).lower().index("margin"), " ".join(lines).lower().rindex("margin")
+    assert sorted(places[1, "margin is low"]) == [(exact, first, 50.0), (exact, second, 95.0)]
+    assert sorted(places[1, "year and stays so"]) == [(exact, 23, 50.0), (exact, 23, 65.0)]
+    assert places[2, "margin is low"] == [(exact, first, 50.0)]
+    assert {m for m, *_ in places[2, "again, at the very end"]} == {"fuzzy_chunk_fallback_individual"}
+    plain = spark.createDataFrame([("a.b (c) \\E d*", "x A.B (c) \\e d* a.b (c) \\E d*"), ("-[^]", "q-[^]-[^]")], "p string, t string")
+    assert [r[0] for r in plain.select(v.occurrences(F.col("t"), F.col("p"))).collect()] == [[2, 16], [1, 5]]
