@@ -205,7 +205,7 @@ LINE = "'Chunk ID: chunk_' || h.chunk_index || ', Page: ' || (c.page_num + 1) ||
 
 def _retrieved(spark, d):
     chunks = tb.stored_vector_chunks(spark, d)
-    found = retrieve.hybrid(tb.vector_queries(spark, d), chunks, K)
+    found = retrieve.hybrid(tb.vector_queries(spark, d), chunks, K, index=tb.index(spark, d))
     return fusion.attach_text(found, chunks, "chunk_id", "page_num", "text")
 
 

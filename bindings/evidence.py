@@ -195,7 +195,7 @@ FROM t_hybrid h JOIN t_chunks c USING (doc_id, chunk_index) JOIN t_boxes b ON b.
 
 def _chat(spark, d, lose_ids):
     chunks = tb.stored_vector_chunks(spark, d)
-    found = fusion.attach_text(retrieve.hybrid(tb.vector_queries(spark, d), chunks, tb.K), chunks, "chunk_id", "text")
+    found = fusion.attach_text(retrieve.hybrid(tb.vector_queries(spark, d), chunks, tb.K, index=tb.index(spark, d)), chunks, "chunk_id", "text")
     if lose_ids:
         found = found.withColumn("chunk_id", F.when(F.col("chunk_index") % 2 == 0, F.col("chunk_id")))
     return v.chat_highlights(found, chunks)

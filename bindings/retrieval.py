@@ -11,6 +11,7 @@ from proofloom.functions import text as tx
 from proofloom.functions.spread import first_rows
 from proofloom.operators import fusion, lexical, semantic
 from proofloom.plans import retrieve
+from proofloom.session import stored
 
 K = tb.K
 GROUP = Group()
@@ -19,7 +20,7 @@ QUERIES, ORACLES = GROUP.queries, GROUP.oracles
 
 
 def _index(spark, d):
-    return lexical.build_index(tb.chunks(spark, d))
+    return tb.index(spark, d)
 
 
 @query("p02_bm25_topk", "SELECT query_id, doc_id, chunk_index, round(score + 2e-10, 6) AS score, rank FROM t_bm25")
@@ -131,7 +132,7 @@ def f03(spark, d):
 
 
 def _candidates(spark, d):
-    return retrieve.candidates(tb.vector_queries(spark, d), tb.stored_vector_chunks(spark, d), K)
+    return retrieve.candidates(tb.vector_queries(spark, d), tb.stored_vector_chunks(spark, d), K, index=tb.index(spark, d))
 
 
 @query("j05_candidates", """
@@ -161,7 +162,7 @@ HYBRID = "SELECT query_id, doc_id, chunk_index, round(score + 2e-10, 6) AS score
 
 
 def _hybrid(spark, d, k=K):
-    return retrieve.hybrid(tb.vector_queries(spark, d), tb.stored_vector_chunks(spark, d), k)
+    return retrieve.hybrid(tb.vector_queries(spark, d), tb.stored_vector_chunks(spark, d), k, index=tb.index(spark, d))
 
 
 @query("p04_hybrid", HYBRID)
@@ -183,7 +184,7 @@ FROM (SELECT f.query_id, f.doc_id, f.chunk_index, coalesce({RERANK_SCORE}, 0) AS
 SELECT query_id, doc_id, chunk_index, round(score + 2e-10, 6) AS score, round(fused + 2e-10, 6) AS fused_score, 'hybrid' AS retrieval_method, rank
 FROM ({RERANKED}) WHERE rank <= 5""")
 def p05(spark, d):
-    found = retrieve.hybrid_reranked(tb.vector_queries(spark, d), tb.stored_vector_chunks(spark, d), K)
+    found = retrieve.hybrid_reranked(tb.vector_queries(spark, d), tb.stored_vector_chunks(spark, d), K, index=tb.index(spark, d))
     return found.select(
         *fusion.KEY, tb.show("score"), tb.show("fused_score"), "retrieval_method", "rank"
     )
@@ -200,13 +201,13 @@ def j06(spark, d):
 @query("a19_mean_rerank", f"""
 SELECT query_id, round(avg(score) + 2e-10, 6) AS mean_score, count(*) AS n FROM ({RERANKED}) WHERE rank <= 5 GROUP BY query_id""")
 def a19(spark, d):
-    found = retrieve.hybrid_reranked(tb.vector_queries(spark, d), tb.stored_vector_chunks(spark, d), K)
+    found = retrieve.hybrid_reranked(tb.vector_queries(spark, d), tb.stored_vector_chunks(spark, d), K, index=tb.index(spark, d))
     return found.groupBy("query_id").agg(tb.show(F.avg("score"), "mean_score"), F.count("*").alias("n"))
 
 
 @query("p06_chat_retrieve", "SELECT query_id, 'doc_' || doc_id || '.pdf' AS filename, chunk_index, round(score + 2e-10, 6) AS score FROM t_hybrid")
 def p06(spark, d):
-    found = retrieve.chat_retrieve(tb.vector_queries(spark, d), tb.stored_vector_chunks(spark, d), K)
+    found = retrieve.chat_retrieve(tb.vector_queries(spark, d), tb.stored_vector_chunks(spark, d), K, index=tb.index(spark, d))
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
     return found.select("query_id", name.alias("filename"), "chunk_index", tb.show("score"))
 
@@ -214,7 +215,7 @@ def p06(spark, d):
 @query("o01_global_top", """
 SELECT query_id, doc_id, chunk_index, round(score + 2e-10, 6) AS score FROM t_hybrid QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) <= 20""")
 def o01(spark, d):
-    found = retrieve.chat_retrieve(tb.vector_queries(spark, d), tb.stored_vector_chunks(spark, d), K, total=20)
+    found = retrieve.chat_retrieve(tb.vector_queries(spark, d), tb.stored_vector_chunks(spark, d), K, total=20, index=tb.index(spark, d))
     return found.select(*fusion.KEY, tb.show("score"))
 
 
@@ -249,10 +250,15 @@ def _advice(spark, d):
     )
 
 
-@query("p07_retry", f"SELECT query_id, doc_id, chunk_index, round(score + 2e-10, 6) AS score, rank, 'retry' AS run FROM ({RETRIED})")
+@query("p07_retry", f"""
+SELECT query_id, doc_id, chunk_index, round(score + 2e-10, 6) AS score, rank, 'retry' AS run FROM ({RETRIED}) WHERE (query_id + doc_id) % 3 <> 0
+UNION ALL SELECT query_id, doc_id, chunk_index, round(score + 2e-10, 6), rank, 'original' FROM t_hybrid WHERE (query_id + doc_id) % 3 = 0""")
 def p07(spark, d):
+    """Two thirds of the pairs are asked again; the others keep what they had."""
     q, c = tb.vector_queries(spark, d), tb.stored_vector_chunks(spark, d)
-    found = retrieve.retry(q, _advice(spark, d), c, retrieve.hybrid(q, c, K), K)
+    pool = stored(retrieve.candidate_pool(q, c, K, index=tb.index(spark, d)), "pool")
+    again = q.select("query_id").join(tb.documents(spark, d, "doc_id"), (F.col("query_id") + F.col("doc_id")) % 3 != 0)
+    found = retrieve.retry(q, _advice(spark, d), c, pool, K, K, scope=again, index=tb.index(spark, d))
     return found.withColumn("score", tb.show("score"))
 
 
@@ -261,7 +267,8 @@ SELECT query_id, doc_id, count(*) FILTER (src = 0) AS n_original, count(*) FILTE
   SELECT query_id, doc_id, 0 AS src FROM t_hybrid UNION ALL SELECT query_id, doc_id, 1 FROM ({RETRIED})) GROUP BY query_id, doc_id""")
 def a20(spark, d):
     q, c = tb.vector_queries(spark, d), tb.stored_vector_chunks(spark, d)
-    return fusion.compare_runs(retrieve.hybrid(q, c, K), retrieve.hybrid(retrieve.apply_advice(q, _advice(spark, d)), c, K))
+    pool = stored(retrieve.candidate_pool(q, c, K, index=tb.index(spark, d)), "pool")
+    return fusion.compare_runs(retrieve.from_pool(pool, q, K), retrieve.from_pool(pool, retrieve.apply_advice(q, _advice(spark, d)), K))
 
 
 @query("o05_retry_top3", f"""
@@ -269,7 +276,7 @@ SELECT r.query_id, r.doc_id, r.rank, round(r.score, 3) AS score, c.page_num + 1
 FROM ({RETRIED}) r JOIN t_chunks c USING (doc_id, chunk_index) WHERE r.rank <= 3""")
 def o05(spark, d):
     q, c = tb.vector_queries(spark, d), tb.stored_vector_chunks(spark, d)
-    found = retrieve.hybrid(retrieve.apply_advice(q, _advice(spark, d)), c, K)
+    found = retrieve.hybrid(retrieve.apply_advice(q, _advice(spark, d)), c, K, index=tb.index(spark, d))
     top = first_rows(found.drop("rank"), fusion.PAIR, [F.desc("score"), F.asc("chunk_index")], 3)
     return fusion.attach_text(top, c, "page_num", "text").select(
         "query_id", "doc_id", "rank", F.round("score", 3).alias("score"), (F.col("page_num") + 1).alias("page"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proofloom.functions import text as tx
 from proofloom.operators import chunking as ch
+from proofloom.operators.lexical import LexicalIndex, build_index
 from proofloom.session import stored
 from proofloom.sources import documents as src
 
@@ -38,6 +39,7 @@ def blocks(spark, sf_dir) -> DataFrame:
 
 
 _STORED: dict[tuple[str, str], DataFrame] = {}
+_INDEXES: dict[tuple[str, str], LexicalIndex] = {}
 
 
 def chunks(spark, sf_dir) -> DataFrame:
@@ -48,6 +50,14 @@ def chunks(spark, sf_dir) -> DataFrame:
     return _STORED[key]
 
 
+def index(spark, sf_dir) -> LexicalIndex:
+    """The lexical index of the chunk table, written once per session and read by every query set."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = build_index(chunks(spark, sf_dir))
+    return _INDEXES[key]
+
+
 def fresh_chunks(spark, sf_dir) -> DataFrame:
     return ch.chunks_from_documents(documents(spark, sf_dir))
 

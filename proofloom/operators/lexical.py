@@ -1,15 +1,23 @@
-"""BM25 over the chunks of each document, for many queries at once."""
+"""BM25 over the chunks of each document, for many queries at once.
+
+The index holds finished weights: a term's weight in a chunk depends on its document alone, not on a query. They are
+written once, in blocks of one term, one document and one run of ``SEGMENT`` chunks, best weight first, with the
+highest and lowest weight of the block beside them. The table is partitioned by a hash of the term and sorted by
+term, so a query set reads the partitions of its own words, once.
+"""
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from proofloom.functions import text as tx
 from proofloom.functions.spread import first_rows, is_small, join_checked, long_range, salted_join
-from proofloom.session import stored
+from proofloom.session import checkpoint_root, stored
 
 # Okapi parameters, the floor share for negative idf, digits that decide ranks.
 K1 = 1.5
@@ -17,43 +25,48 @@ B = 0.75
 EPSILON = 0.25
 RANK_DIGITS = 9
 TOP_K = 15
-SEGMENT = 512
+SEGMENT = 128
+TERM_BUCKETS = 64
+FILE_BLOCKS = 4_000_000
+# Bounds are compared with more room than rounding of scores needs.
+MARGIN = 1e-6
 
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Statistics of a chunk table: build once, use for any number of query sets.
+    """Statistics and weights of a chunk table: build once, use for any number of query sets.
 
-    ``tokens`` holds one row per chunk (doc_id, chunk_index, n_tokens, terms); the columnar file
-    lets length statistics skip the terms.
+    ``impacts``: bucket, term, doc_id, segment, df, lead, top, low, entries (chunk_index, weight); ``lead`` marks the
+    first block of a term in its document. ``doc_stats``: doc_id, n_chunks, avg_tokens, mean_idf. ``segments``:
+    doc_id, segment, n_segments, members.
     """
 
-    tokens: DataFrame
-
-    @property
-    def chunk_lengths(self) -> DataFrame:
-        return self.tokens.select("doc_id", "chunk_index", "n_tokens")
-
-    @property
-    def postings(self) -> DataFrame:
-        return postings_of(self.tokens)
+    impacts: DataFrame
+    doc_stats: DataFrame
+    segments: DataFrame
 
     @property
     def term_stats(self) -> DataFrame:
-        return document_frequencies(self.postings)
-
-    @property
-    def doc_stats(self) -> DataFrame:
-        return document_statistics(self.chunk_lengths, self.term_stats)
+        return self.impacts.where("lead").select("doc_id", "term", "df")
 
     def write(self, path: str) -> LexicalIndex:
         """Keep the index under ``path`` for later jobs."""
-        self.tokens.write.mode("overwrite").parquet(path)
-        return LexicalIndex.read(self.tokens.sparkSession, path)
+        self.impacts.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/impacts")
+        self.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+        self.segments.write.mode("overwrite").parquet(f"{path}/segments")
+        return LexicalIndex.read(self.impacts.sparkSession, path)
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> LexicalIndex:
-        return LexicalIndex(spark.read.parquet(path))
+        doc_stats, segments = (spark.read.parquet(f"{path}/{name}") for name in ("doc_stats", "segments"))
+        key = doc_stats.schema["doc_id"].dataType.simpleString()
+        number = segments.schema["members"].dataType.elementType.simpleString()
+        # Named, since a table without rows has no partition to read a schema from.
+        schema = (
+            f"term string, doc_id {key}, segment bigint, df bigint, lead boolean, top double, low double, "
+            f"entries array<struct<chunk_index:{number},weight:double>>, bucket int"
+        )
+        return LexicalIndex(spark.read.schema(schema).parquet(f"{path}/impacts"), doc_stats, segments)
 
 
 def valid_chunks(chunks: DataFrame) -> DataFrame:
@@ -102,16 +115,64 @@ def document_statistics(chunk_lengths: DataFrame, term_stats: DataFrame) -> Data
     sizes = document_lengths(chunk_lengths)
     spectrum = term_stats.groupBy("doc_id", "df").agg(F.count("*").alias("n_terms"))
     mean = (
-        salted_join(spectrum, sizes.select("doc_id", "n_chunks"), ["doc_id"], ["df"])
+        join_checked(spectrum, sizes.select("doc_id", "n_chunks"), ["doc_id"], ["df"])
         .groupBy("doc_id")
         .agg((F.sum(raw_idf() * F.col("n_terms")) / F.sum("n_terms")).alias("mean_idf"))
     )
     return sizes.join(mean, "doc_id", "left")
 
 
+def term_bucket(term: str = "term"):
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def counted_blocks(tokens: DataFrame) -> DataFrame:
+    """Postings in blocks (doc_id, term, segment, df, lead, entries): one shuffle by document and term."""
+    laid = postings_of(tokens).repartition("doc_id", "term")
+    blocks = laid.groupBy("doc_id", "term", F.floor(F.col("chunk_index") / SEGMENT).alias("segment")).agg(
+        F.collect_list(F.struct("chunk_index", "tf", "n_tokens")).alias("entries")
+    )
+    term = W.partitionBy("doc_id", "term")
+    return blocks.withColumn("df", F.sum(F.size("entries")).over(term)).withColumn("lead", F.col("segment") == F.min("segment").over(term))
+
+
+def with_weights(blocks: DataFrame, doc_stats: DataFrame) -> DataFrame:
+    """Blocks with finished weights, best first, and their bounds."""
+    joined = join_checked(blocks, doc_stats, ["doc_id"], ["term", "segment"])
+    idf = F.when(raw_idf() < 0, EPSILON * F.col("mean_idf")).otherwise(raw_idf())
+
+    def weight(e):
+        length = F.lit(1 - B) + B * e["n_tokens"] / F.col("avg_tokens")
+        return F.col("idf") * e["tf"] * (K1 + 1) / (e["tf"] + K1 * length)
+
+    ranked = F.array_sort(F.transform("entries", lambda e: F.struct((-weight(e)).alias("minus"), e["chunk_index"].alias("chunk_index"))))
+    entries = F.transform("ranked", lambda e: F.struct(e["chunk_index"].alias("chunk_index"), (-e["minus"]).alias("weight")))
+    return (
+        joined.withColumn("idf", idf)
+        .withColumn("ranked", ranked)
+        .withColumn("entries", entries)
+        .select(
+            term_bucket().alias("bucket"), "term", "doc_id", "segment", "df", "lead",
+            F.get("entries", F.lit(0))["weight"].alias("top"), F.element_at("entries", -1)["weight"].alias("low"), "entries",
+        )
+    )
+
+
 def build_index(chunks: DataFrame) -> LexicalIndex:
-    """Token table of ``chunks``, written once to the shared folder."""
-    return LexicalIndex(stored(token_table(chunks), "tokens"))
+    """Index of ``chunks``, written once to the shared folder."""
+    tokens = stored(token_table(chunks), "tokens")
+    lengths = tokens.select("doc_id", "chunk_index", "n_tokens")
+    blocks = stored(counted_blocks(tokens), "blocks")
+    doc_stats = stored(document_statistics(lengths, blocks.where("lead").select("doc_id", "term", "df")), "doc-stats")
+    members = lengths.groupBy("doc_id", F.floor(F.col("chunk_index") / SEGMENT).alias("segment")).agg(
+        F.array_sort(F.collect_list("chunk_index")).alias("members")
+    )
+    segments = members.withColumn("n_segments", F.count("*").over(W.partitionBy("doc_id")))
+    files = max(1, -(-blocks.count() // (TERM_BUCKETS * FILE_BLOCKS)))
+    spread = F.pmod(F.xxhash64("doc_id"), F.lit(files))
+    laid = with_weights(blocks, doc_stats).repartition("bucket", spread).sortWithinPartitions("bucket", "term")
+    path = f"{checkpoint_root(chunks.sparkSession)}/index-{uuid.uuid4().hex}"
+    return LexicalIndex(laid, doc_stats, segments).write(path)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -123,41 +184,57 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def term_weights(index: LexicalIndex, terms: DataFrame) -> DataFrame:
-    """BM25 weight of every wanted term in every chunk that holds it.
-
-    The term list filters postings before any shuffle; what moves afterwards are hits only.
-    """
+def wanted_blocks(index: LexicalIndex, terms: DataFrame) -> DataFrame:
+    """The blocks of the wanted words; only partitions that hold one of them are read."""
     wanted = terms.select("term").distinct()
-    hits = join_checked(index.postings, wanted, ["term"], ["doc_id", "chunk_index"])
-    frequencies = document_frequencies(hits)
-    joined = salted_join(
-        salted_join(hits, frequencies, ["doc_id", "term"], ["chunk_index"], salts=4),
-        index.doc_stats,
-        ["doc_id"],
-        ["chunk_index", "term"],
+    buckets = [r[0] for r in wanted.select(term_bucket().alias("b")).distinct().limit(TERM_BUCKETS).collect()]
+    return join_checked(index.impacts.where(F.col("bucket").isin(buckets)).drop("bucket"), wanted, ["term"], ["doc_id", "segment"])
+
+
+def term_weights(index: LexicalIndex, terms: DataFrame) -> DataFrame:
+    """BM25 weight of every wanted term in every chunk that holds it."""
+    return wanted_blocks(index, terms).select("doc_id", "term", F.explode("entries").alias("e")).select(
+        "doc_id", "e.chunk_index", "term", "e.weight"
     )
-    idf = F.when(raw_idf() < 0, EPSILON * F.col("mean_idf")).otherwise(raw_idf())
-    length = F.lit(1 - B) + B * F.col("n_tokens") / F.col("avg_tokens")
-    return joined.select(
-        "doc_id", "chunk_index", "term", (idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * length)).alias("weight")
+
+
+def _asked(blocks: DataFrame, terms: DataFrame) -> DataFrame:
+    """Blocks with the queries that want them; the layout of ``blocks`` stays if the words are few."""
+    return join_checked(blocks, terms, ["term"], ["doc_id", "segment"])
+
+
+def _summed(asked: DataFrame) -> DataFrame:
+    """Scores per (query, document, segment, chunk)."""
+    rows = asked.select("query_id", "doc_id", "segment", "qtf", F.explode("entries").alias("e"))
+    return rows.groupBy("query_id", "doc_id", "segment", "e.chunk_index").agg(
+        F.round(F.sum(F.col("e.weight") * F.col("qtf")), RANK_DIGITS).alias("score")
     )
 
 
 def hit_scores(index: LexicalIndex, queries: DataFrame) -> DataFrame:
-    """BM25 of every (query, chunk) pair that shares a term.
+    """BM25 of every (query, chunk) pair that shares a term; blocks are laid out by segment once."""
+    terms = query_terms(queries)
+    blocks = wanted_blocks(index, terms).select("doc_id", "segment", "term", "entries").repartition("doc_id", "segment")
+    return _summed(_asked(blocks, terms)).select("query_id", "doc_id", "chunk_index", "score")
+
+
+def open_segments(blocks: DataFrame, terms: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, segment) of long documents that can still hold one of the ``k`` best chunks.
 
-    Weights are laid out by chunk once; the query join and the sum then run on that layout.
+    From block bounds alone: a segment's chunks score at most the sum of its highest weights (words may be
+    missing, so no less than 0), and one of them scores at least the best single one plus all negative ones. The
+    k-th of these floors, from k segments, is a bar that a segment's ceiling must reach.
     """
-    terms = query_terms(queries)
-    weights = term_weights(index, terms)
-    if is_small(terms):
-        by_chunk = weights.repartition("doc_id", "chunk_index").join(F.broadcast(terms), "term")
-    else:
-        by_chunk = salted_join(weights, terms, ["term"], ["doc_id", "chunk_index"])
-    return by_chunk.groupBy("query_id", "doc_id", "chunk_index").agg(
-        F.round(F.sum(F.col("weight") * F.col("qtf")), RANK_DIGITS).alias("score")
+    bounds = _asked(blocks.select("doc_id", "segment", "term", "top", "low"), terms).groupBy("query_id", "doc_id", "segment").agg(
+        F.sum(F.col("qtf") * F.greatest("top", F.lit(0.0))).alias("most"),
+        (F.max(F.col("qtf") * F.col("top")) + F.sum(F.col("qtf") * F.least("low", F.lit(0.0)))).alias("floor"),
     )
+    best = first_rows(bounds, ["query_id", "doc_id"], [F.desc("floor")], k, "_r").where(F.col("_r") == k)
+    bars = best.select("query_id", "doc_id", F.col("floor").alias("bar"))
+    keys = ["query_id", "doc_id"]
+    held = salted_join(bounds.select(*keys, "segment", "most"), bars, keys, ["segment"], "left", salts=4)
+    shut = (F.col("most") < F.col("bar") - MARGIN) & (F.col("bar") > MARGIN)
+    return held.select(*keys, "segment", F.coalesce(~shut, F.lit(True)).alias("open"), F.coalesce(F.col("bar") > MARGIN, F.lit(False)).alias("full"))
 
 
 def every_pair(left: DataFrame, queries: DataFrame, block: int = 1024) -> DataFrame:
@@ -176,39 +253,45 @@ def every_pair(left: DataFrame, queries: DataFrame, block: int = 1024) -> DataFr
     return joined.withColumn("query_id", F.explode("_ids")).drop("_block", "_ids")
 
 
+EVERY = ""  # stands for a query's claim on all segments; no token is empty
+
+
 def bm25_top_k(queries: DataFrame, index: LexicalIndex, k: int = TOP_K, scope: DataFrame | None = None) -> DataFrame:
     """The ``k`` best chunks per (query, document), ties by chunk number.
 
-    A chunk without any query term scores 0 and stays eligible, ahead of negative scores. Zero
-    rows are not written for all chunks: each run of ``SEGMENT`` chunks offers its ``k`` first
-    ones without a hit. ``scope`` (query_id, doc_id) limits which documents a query asks.
+    A chunk without any query term scores 0 and stays eligible, ahead of negative scores: each segment offers its
+    ``k`` first chunks without a hit. Wanted blocks move once, to their segment; queries join them there, and
+    only k rows per query and segment leave. In documents of more than ``k`` segments, segments whose block
+    bounds cannot reach the k-th best floor are skipped unread. ``scope`` (query_id, doc_id) limits which
+    documents a query asks.
     """
-    hits = hit_scores(index, queries)
-    segments = index.chunk_lengths.groupBy("doc_id", F.floor(F.col("chunk_index") / SEGMENT).alias("segment")).agg(
-        F.collect_list("chunk_index").alias("members")
-    )
+    terms = query_terms(queries)
+    claims = terms.unionByName(queries.select("query_id", F.lit(EVERY).alias("term"), F.lit(0).cast("long").alias("qtf")).distinct())
+    blocks = wanted_blocks(index, terms).select("doc_id", "segment", "term", "top", "low", "entries")
+    entry = "array<struct<chunk_index:int,weight:double>>"
+    whole = index.segments.select("doc_id", "segment", F.lit(EVERY).alias("term"), F.expr("array(struct(-1 AS chunk_index, 0D AS weight))").cast(entry).alias("entries"))
+    laid = blocks.select("doc_id", "segment", "term", F.col("entries").cast(entry).alias("entries")).unionByName(whole).repartition("doc_id", "segment")
+    asked = _asked(laid, claims)
     if scope is not None:
-        hits = salted_join(hits, scope, ["query_id", "doc_id"], ["chunk_index"], "left_semi")
-        grid = salted_join(segments, scope, ["doc_id"], ["segment"])
-    else:
-        grid = every_pair(segments, queries)
-    nothing = F.array().cast("array<struct<chunk_index:int,score:double>>")
-    rows = grid.select("query_id", "doc_id", "segment", "members", nothing.alias("hit")).unionByName(
-        hits.select(
-            "query_id",
-            "doc_id",
-            F.floor(F.col("chunk_index") / SEGMENT).alias("segment"),
-            F.array().cast("array<int>").alias("members"),
-            F.array(F.struct("chunk_index", "score")).alias("hit"),
-        )
-    )
-    per_segment = rows.groupBy("query_id", "doc_id", "segment").agg(
-        F.flatten(F.collect_list("members")).alias("members"), F.flatten(F.collect_list("hit")).alias("hits")
-    )
-    free = F.slice(F.array_sort(F.array_except("members", F.col("hits.chunk_index"))), 1, k)
-    offered = per_segment.withColumn("free", free).withColumn(
-        "offer",
-        F.concat("hits", F.transform("free", lambda c: F.struct(c.alias("chunk_index"), F.lit(0.0).alias("score")))),
+        asked = join_checked(asked, scope.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], ["segment", "term"], "left_semi")
+    long = index.segments.where(F.col("n_segments") > k).select("doc_id").distinct()
+    if not long.isEmpty():
+        some = join_checked(blocks, long, ["doc_id"], ["segment", "term"], "left_semi")
+        marked = stored(open_segments(some, terms, k), "open-segments")
+        shut = marked.where(~F.col("open")).select("query_id", "doc_id", "segment")
+        full = marked.where("full").select("query_id", "doc_id").distinct()
+        met = marked.select("query_id", "doc_id", "segment")
+        asked = join_checked(asked, shut, ["query_id", "doc_id", "segment"], ["term"], "left_anti")
+        # Where k segments have a chunk above 0, segments without any hit offer nothing.
+        idle = join_checked(asked.where(F.col("term") == EVERY).select("query_id", "doc_id", "segment"), full, ["query_id", "doc_id"], ["segment"], "left_semi")
+        idle = idle.join(met, ["query_id", "doc_id", "segment"], "left_anti")
+        asked = join_checked(asked, idle, ["query_id", "doc_id", "segment"], ["term"], "left_anti")
+    hits = _summed(asked).groupBy("query_id", "doc_id", "segment").agg(F.collect_list(F.struct("chunk_index", "score")).alias("hits"))
+    free = F.slice(F.array_except("members", F.col("hits.chunk_index")), 1, k)
+    offers = F.concat(
+        F.filter("hits", lambda h: h["chunk_index"] >= 0),
+        F.transform(free, lambda c: F.struct(c.alias("chunk_index"), F.lit(0.0).alias("score"))),
     )
-    flat = offered.select("query_id", "doc_id", F.explode_outer("offer").alias("o")).select("query_id", "doc_id", "o.*")
+    found = hits.join(index.segments.select("doc_id", "segment", "members"), ["doc_id", "segment"])
+    flat = found.select("query_id", "doc_id", F.explode(offers).alias("o")).select("query_id", "doc_id", "o.*")
     return first_rows(flat, ["query_id", "doc_id"], [F.desc("score"), F.asc("chunk_index")], k)

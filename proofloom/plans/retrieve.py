@@ -82,11 +82,51 @@ def apply_advice(queries: DataFrame, advice: DataFrame) -> DataFrame:
     )
 
 
-def retry(queries: DataFrame, advice: DataFrame, chunks: DataFrame, original: DataFrame, k: int = TOP_K, **options) -> DataFrame:
-    """Run advised queries again; a (query, document) without new results keeps its old ones."""
-    advised = apply_advice(queries, advice)
-    new = hybrid(advised, chunks, k, **options).select(*fusion.KEY, "score", "rank").withColumn("run", F.lit("retry"))
-    kept = original.select(*fusion.KEY, "score", "rank").join(
-        new.select(*fusion.PAIR).distinct(), fusion.PAIR, "left_anti"
+def candidate_pool(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, **options) -> DataFrame:
+    """Both retrievers' ``k`` best per (query, document) with the rank each gave: what any weights and any
+    smaller k can be served from without retrieving again."""
+    index = options.pop("index", None)
+    dim = options.pop("dim", None)
+    lexical = fusion.normalise_by_best(bm25(queries, index or chunks, k, **options))
+    vector = semantic(queries, chunks, k, dim=dim, **options)
+    none = lambda kind: F.lit(None).cast(kind)
+    sides = lexical.select(
+        *fusion.KEY, "bm25_norm", F.col("rank").alias("bm25_rank"), none("double").alias("cosine"), none("int").alias("cosine_rank")
+    ).unionByName(
+        vector.select(*fusion.KEY, none("double").alias("bm25_norm"), none("int").alias("bm25_rank"), F.col("score").alias("cosine"), F.col("rank").alias("cosine_rank"))
     )
+    return sides.groupBy(*fusion.KEY).agg(*[F.max(c).alias(c) for c in ("bm25_norm", "bm25_rank", "cosine", "cosine_rank")])
+
+
+def from_pool(pool: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
+    """Weighted fusion of stored candidates, each side cut to k or to the query's own ``top_k`` first."""
+    own = fusion.query_weights(queries).select("query_id", F.coalesce("top_k", F.lit(k)).alias("_k"))
+    cut = fusion.join_checked(pool, own, ["query_id"], ["doc_id", "chunk_index"])
+    kept = cut.withColumn("bm25_norm", F.when(F.col("bm25_rank") <= F.col("_k"), F.col("bm25_norm"))).withColumn(
+        "cosine", F.when(F.col("cosine_rank") <= F.col("_k"), F.col("cosine"))
+    )
+    return fusion.fuse(kept.where(F.coalesce("bm25_norm", "cosine").isNotNull()).select(*fusion.KEY, "bm25_norm", "cosine"), queries, k)
+
+
+def retry(
+    queries: DataFrame, advice: DataFrame, chunks: DataFrame, pool: DataFrame, width: int, k: int = TOP_K, scope: DataFrame | None = None, **options
+) -> DataFrame:
+    """Serve advised queries again; a (query, document) without new results keeps its old ones.
+
+    ``pool`` holds the first run's candidates, ``width`` per side; advised weights and a smaller ``top_k`` are
+    served from it. Only queries whose advised ``top_k`` exceeds ``width`` are retrieved again. ``scope``
+    (query_id, doc_id) names the pairs to ask again; without it all are.
+    """
+    advised = apply_advice(queries, advice)
+    wider = advised.where(F.col("top_k") > width)
+    grown = wider.agg(F.max("top_k")).first()[0]
+    source = pool
+    if grown:
+        again = candidate_pool(wider.drop("top_k"), chunks, grown, scope=scope, **options)
+        source = fusion.join_checked(pool, wider.select("query_id"), ["query_id"], ["doc_id"], "left_anti").unionByName(again)
+    if scope is not None:
+        source = fusion.join_checked(source, scope.distinct(), fusion.PAIR, ["chunk_index"], "left_semi")
+    shown = [*fusion.KEY, "score", "rank"]
+    new = from_pool(source, advised, k).select(*shown).withColumn("run", F.lit("retry"))
+    kept = from_pool(pool, queries, k).select(*shown).join(new.select(*fusion.PAIR).distinct(), fusion.PAIR, "left_anti")
     return new.unionByName(kept.withColumn("run", F.lit("original")))

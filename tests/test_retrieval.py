@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from proofloom.operators import chunking as ch
 from proofloom.operators import fusion, lexical
 from proofloom.operators.semantic import semantic_top_k, split_by_dimension
 from proofloom.plans import retrieve
+from proofloom.session import checkpoint_root
 
 BOXES = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
 
@@ -66,6 +68,47 @@ def test_bm25_against_brute_force_over_segments(spark, monkeypatch):
     assert [r["score"] for r in rows] == pytest.approx([score[i] for i in expected], abs=1e-8)
 
 
+def test_block_bounds_skip_segments_and_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "SEGMENT", 4)
+    rnd = random.Random(12)
+    common, rare = ["the", "of", "loan"], ["margin", "cap", "floor", "swap"]
+    texts = [" ".join([*rnd.choices(common, k=rnd.randrange(3, 9)), *([rnd.choice(rare)] * rnd.randrange(0, 3) if k % 7 == 0 else [])]) for k in range(90)]
+    index = lexical.build_index(chunk_rows(spark, texts))
+    asked = ["margin cap", "the of", "the margin", "nothing", "swap swap of", ""]
+    scores = {(r["query_id"], r["chunk_index"]): r["score"] for r in lexical.hit_scores(index, ask(spark, *asked)).collect()}
+    for k in (1, 3):
+        got = sorted((r["query_id"], r["rank"], r["chunk_index"], r["score"]) for r in lexical.bm25_top_k(ask(spark, *asked), index, k).collect())
+        want = []
+        for q in range(len(asked)):
+            best = sorted(((-scores.get((q, c), 0.0), c) for c in range(len(texts))))[:k]
+            want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(best)]
+        assert got == [(q, r, c, s + 0.0) for q, r, c, s in want]
+    blocks = lexical.wanted_blocks(index, lexical.query_terms(ask(spark, "margin cap")))
+    marked = lexical.open_segments(blocks, lexical.query_terms(ask(spark, "margin cap")), 1).collect()
+    assert any(not r["open"] for r in marked) and any(r["open"] for r in marked)
+    scope = spark.createDataFrame([(0, 1), (4, 2)], "query_id long, doc_id long")
+    assert {r["query_id"] for r in lexical.bm25_top_k(ask(spark, *asked), index, 3, scope).collect()} == {0}
+    again = lexical.LexicalIndex.read(spark, index.write(f"{checkpoint_root(spark)}/index-again") and f"{checkpoint_root(spark)}/index-again")
+    assert again.term_stats.count() == index.term_stats.count() and again.impacts.count() == index.impacts.count()
+
+
+def test_retry_serves_from_the_pool_and_widens_only_where_asked(spark):
+    texts = [f"word{k % 3} word{k % 5} loan text number {k}" for k in range(12)]
+    chunks = chunk_rows(spark, texts).withColumn("embedding", F.array(F.col("chunk_index").cast("float"), F.lit(1.0).cast("float")))
+    q = ask(spark, "word1 loan", "word2").withColumn("embedding", F.array(F.lit(1.0).cast("float"), F.lit(2.0).cast("float"))).withColumn("bm25_weight", F.lit(0.5)).withColumn("semantic_weight", F.lit(0.5))
+    advice = spark.createDataFrame([(0, 0.9, 0.1, 6)], "query_id long, recommended_bm25_weight double, recommended_semantic_weight double, recommended_top_k int")
+    pool = retrieve.candidate_pool(q, chunks, 3)
+    scope = spark.createDataFrame([(0, 1)], "query_id long, doc_id long")
+    rows = retrieve.retry(q, advice, chunks, pool, 3, 3, scope=scope).collect()
+    runs = {(r["query_id"], r["run"]): 0 for r in rows}
+    for r in rows:
+        runs[r["query_id"], r["run"]] += 1
+    assert runs == {(0, "retry"): 6, (1, "original"): 3}
+    fresh = retrieve.hybrid(retrieve.apply_advice(q, advice), chunks, 3).where("query_id = 0")
+    pick = lambda rs: sorted((r["chunk_index"], r["rank"], r["score"]) for r in rs)
+    assert pick(fresh.collect()) == pick(r for r in rows if r["query_id"] == 0)
+
+
 def vectors(spark, rows, key):
     return spark.createDataFrame(rows, f"{key}, embedding array<float>")
 
