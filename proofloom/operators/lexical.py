@@ -126,10 +126,12 @@ def term_bucket(term: str = "term"):
     return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
 
 
-def counted_blocks(tokens: DataFrame) -> DataFrame:
+def counted_blocks(chunks: DataFrame) -> DataFrame:
     """Postings in blocks (doc_id, term, segment, df, lead, entries): one shuffle by document and term."""
-    laid = postings_of(tokens).repartition("doc_id", "term")
-    blocks = laid.groupBy("doc_id", "term", F.floor(F.col("chunk_index") / SEGMENT).alias("segment")).agg(
+    words = valid_chunks(chunks).select("doc_id", "chunk_index", tx.words("text").alias("_words"))
+    laid = words.select("doc_id", "chunk_index", F.size("_words").alias("n_tokens"), F.explode("_words").alias("term")).repartition("doc_id", "term")
+    counted = laid.groupBy("doc_id", "term", "chunk_index", "n_tokens").agg(F.count("*").alias("tf"))
+    blocks = counted.groupBy("doc_id", "term", F.floor(F.col("chunk_index") / SEGMENT).alias("segment")).agg(
         F.collect_list(F.struct("chunk_index", "tf", "n_tokens")).alias("entries")
     )
     term = W.partitionBy("doc_id", "term")
@@ -160,9 +162,8 @@ def with_weights(blocks: DataFrame, doc_stats: DataFrame) -> DataFrame:
 
 def build_index(chunks: DataFrame) -> LexicalIndex:
     """Index of ``chunks``, written once to the shared folder."""
-    tokens = stored(token_table(chunks), "tokens")
-    lengths = tokens.select("doc_id", "chunk_index", "n_tokens")
-    blocks = stored(counted_blocks(tokens), "blocks")
+    lengths = stored(valid_chunks(chunks).select("doc_id", "chunk_index", F.size(tx.words("text")).alias("n_tokens")), "lengths")
+    blocks = stored(counted_blocks(chunks), "blocks")
     doc_stats = stored(document_statistics(lengths, blocks.where("lead").select("doc_id", "term", "df")), "doc-stats")
     members = lengths.groupBy("doc_id", F.floor(F.col("chunk_index") / SEGMENT).alias("segment")).agg(
         F.array_sort(F.collect_list("chunk_index")).alias("members")
