@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofloom.functions.spread import first_rows, join_checked
+from proofloom.functions.spread import first_rows
 from proofloom.llm.packing import BUCKET_KEYS, bits, chunks_of, from_bits, from_gaps, gaps, pack, text_bytes, unpack
 from proofloom.llm.quotient import QuotientFilter
 from proofloom.llm.tables import bounded_batches, stored
 
 WORD_BUCKET_BYTES = 32 << 20
+MERGED_PARTS = 16
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 TRANSLATE = bytes.maketrans(BREAKS + b"\t" + bytes(range(65, 91)), b"." * len(BREAKS) + b" " + bytes(range(97, 123)))
 PARTS = "chunk long, bucket int, lang string, n long, packed binary"
@@ -219,11 +220,11 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, most: int =
     phrase. Counts and scores are exact. Empty tables give an empty result; other columns are not read."""
     words, pairs, triples, totals = counted_phrases(docs, least, text, lang)
     named = lambda k: words.select(F.col("id").alias(k), F.col("lang").alias("lang" + k), F.col("word").alias("word" + k), F.col("f").alias("f" + k))
-    two = join_checked(pairs.select(F.col("id").alias("pair"), F.col("first").alias("1"), F.col("second").alias("2"), F.col("f").alias("f12")), named("1"), ["1"], ["pair"])
-    two = stored(join_checked(two, named("2"), ["2"], ["pair"]), "named-pairs")
-    three = join_checked(triples.withColumnsRenamed({"third": "3", "f": "a"}), two, ["pair"], ["3"])
-    three = join_checked(three, two.select(F.col("1").alias("2"), F.col("2").alias("3"), F.col("f12").alias("f23")), ["2", "3"], ["pair"])
-    three = stored(join_checked(three, named("3"), ["3"], ["pair"]), "named-triples")
+    two = pairs.select(F.col("id").alias("pair"), F.col("first").alias("1"), F.col("second").alias("2"), F.col("f").alias("f12")).join(named("1"), "1")
+    two = stored(two.join(named("2"), "2"), "named-pairs")
+    three = triples.withColumnsRenamed({"third": "3", "f": "a"}).join(two, "pair")
+    three = three.join(two.select(F.col("1").alias("2"), F.col("2").alias("3"), F.col("f12").alias("f23"), F.col("word2").alias("word3"), F.col("f2").alias("f3")), ["2", "3"])
+    three = stored(three, "named-triples")
     holding = three.select(F.explode(F.array(F.struct("1", "2"), F.struct(F.col("2").alias("1"), F.col("3").alias("2")))).alias("p"), "a").groupBy("p.1", "p.2").agg(F.max("a").alias("longer"))
     alone = two.join(holding, ["1", "2"], "left").where(F.coalesce(100 * F.col("longer") < share * F.col("f12"), F.lit(True)))
     pair_rows = alone.select(
@@ -239,5 +240,7 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, most: int =
         F.when(early, F.col("f23")).otherwise(F.col("f3")).alias("r"),
         F.least("one", "other").alias("score"),
     )
-    best = first_rows(pair_rows.unionByName(triple_rows), ["lang"], [F.desc("score"), F.desc("a"), F.col("phrase")], most)
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    dealt = pair_rows.unionByName(triple_rows).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(MERGED_PARTS)))
+    best = first_rows(first_rows(dealt, ["lang", "part"], order, most, "own").drop("own", "part"), ["lang"], order, most)
     return best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
