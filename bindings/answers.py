@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from bindings import tables as tb
@@ -16,6 +18,7 @@ from proofloom.operators import log
 from proofloom.operators import sections as se
 from proofloom.plans import answer as plan
 from proofloom.plans import retrieve
+from proofloom.session import checkpoint_root, stored
 
 GROUP = Group()
 query = GROUP.query
@@ -218,6 +221,18 @@ def p09(spark, d):
     return plan.build_contexts(rows, tb.queries(spark, d), tb.documents(spark, d, "doc_id"))
 
 
+@query("a22_analysis_request", f"""
+SELECT r.doc_id, r.query_id AS number, '--- SUB-PROMPT ' || r.query_id || ' ---' || chr(10) || 'Title: ' || q.title || chr(10) || 'Sub-prompt: ' || q.query || chr(10) || chr(10)
+  || 'Relevant Document Excerpts for Sub-prompt ' || r.query_id || ':' || chr(10) || r.context || chr(10) AS block
+FROM (SELECT q.query_id, d.doc_id, coalesce(x.context, 'No relevant text found for this sub-prompt.') AS context FROM t_queries q CROSS JOIN documents d
+  LEFT JOIN (SELECT h.query_id, h.doc_id, string_agg({LINE}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY h.rank) AS context
+    FROM t_hybrid h JOIN t_chunks c USING (doc_id, chunk_index) GROUP BY h.query_id, h.doc_id) x ON x.query_id = q.query_id AND x.doc_id = d.doc_id) r
+JOIN t_queries q ON q.query_id = r.query_id""")
+def a22_request(spark, d):
+    asked = tb.queries(spark, d).withColumn("number", F.col("query_id"))
+    return se.analysis_request(p09(spark, d), asked).select("doc_id", "number", "block")
+
+
 @query("a22_chat_context", """
 SELECT h.query_id, h.doc_id, h.chunk_index, 'Source: doc_' || h.doc_id || '.pdf, Page: ' || (c.page_num + 1) || chr(10) || 'Score: ' || printf('%.3f', h.score + 2e-10) || chr(10) || 'Content: ' || c.text AS line
 FROM t_hybrid h JOIN t_chunks c USING (doc_id, chunk_index)""")
@@ -237,7 +252,7 @@ SELECT h.query_id, h.doc_id, 'bm25_results' AS type, '{{"type":"bm25_results","p
   || string_agg({EVENT_ITEM}, ',' ORDER BY h.rank) || ']}}' AS event
 FROM t_hybrid h JOIN t_chunks c USING (doc_id, chunk_index) JOIN t_queries q ON q.query_id = h.query_id GROUP BY h.query_id, h.doc_id""")
 def s08(spark, d):
-    rows = _retrieved(spark, d).join(F.broadcast(tb.queries(spark, d).select("query_id", "query")), "query_id")
+    rows = fusion.join_checked(_retrieved(spark, d), tb.queries(spark, d).select("query_id", "query"), ["query_id"], ["doc_id", "chunk_index"], max_rows=20_000)
     fixed = rows.withColumn("score", F.bround(F.col("score") + 2e-10, 3).cast("decimal(10,3)"))
     return plan.retrieval_events(fixed, "bm25_results")
 
@@ -254,11 +269,50 @@ def p17(spark, d):
 SELECT conv_id || '-' || turn AS request_id, 'llm_interaction' AS type, '{"type":"llm_interaction","interaction_type":"' || role || '","messages":[{"role":"' || role || '","content":' || to_json(text) || '}],"response":'
   || to_json(text) || '}' AS event FROM conversations""")
 def p17_model(spark, d):
-    rows = tb.table(spark, d, "conversations").select(
+    return log.model_events(_calls(spark, d))
+
+
+def _calls(spark, d):
+    return tb.table(spark, d, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("request_id"), F.col("role").alias("kind"),
         F.array(F.struct("role", F.col("text").alias("content"))).alias("messages"), F.col("text").alias("response"),
     )
-    return log.model_events(rows)
+
+
+RANKED = "SELECT '{}', count(*), CAST(sum(n) AS BIGINT) FROM (SELECT query_id, doc_id, count(*) AS n FROM {} GROUP BY query_id, doc_id)"
+
+
+@query("p17_interaction_log", f"""
+SELECT *, '2024-05-01T10:30:00.000000' AS first_at, '2024-05-01T10:30:00.000000' AS last_at FROM (
+  SELECT 'rag_parameters' AS type, count(*) AS n_events, CAST(0 AS BIGINT) AS n_results FROM t_queries UNION ALL {RANKED.format('bm25_results', 't_bm25')}
+  UNION ALL {RANKED.format('semantic_search_results', 't_semantic')} UNION ALL {RANKED.format('reranker_results', 't_hybrid')}
+  UNION ALL {RANKED.format('llm_ranking_results', 't_hybrid')} UNION ALL SELECT 'llm_interaction', count(*), 0 FROM conversations)""")
+def p17_log(spark, d):
+    """All six types of one run, written twice under the same name and read back."""
+    q, chunks, index = tb.vector_queries(spark, d), tb.stored_vector_chunks(spark, d), tb.index(spark, d)
+    shown = chunks.select("doc_id", "chunk_index", "chunk_id", "page_num", "text")
+
+    def rows(found):
+        named = fusion.join_checked(found, q.select("query_id", "query"), ["query_id"], ["doc_id", "chunk_index"], max_rows=20_000)
+        return named.join(shown, ["doc_id", "chunk_index"])
+
+    hybrid = rows(retrieve.hybrid(q, chunks, K, index=index))
+    found = {
+        "bm25_results": rows(retrieve.bm25(q, index, K)),
+        "semantic_search_results": rows(retrieve.semantic(q, chunks, K)),
+        "reranker_results": hybrid,
+        "llm_ranking_results": hybrid.withColumn("retrieval_method", F.lit("llm_ranking")),
+    }
+    at = F.lit("2024-05-01 10:30:00").cast("timestamp")
+    events = stored(plan.interaction_log(q.withColumn("reasoning", F.lit("set")), found, _calls(spark, d), at), "events")
+    path = f"{checkpoint_root(spark)}/log-{uuid.uuid4().hex}"
+    for _ in range(2):
+        log.write_events(events, path, "run-1")
+    stamp = F.get_json_object("event", "$.timestamp")
+    n = F.coalesce(F.get_json_object("event", "$.num_results").cast("long"), F.lit(0))
+    return log.read_events(spark, path).groupBy("type").agg(
+        F.count("*").alias("n_events"), F.sum(n).alias("n_results"), F.min(stamp).alias("first_at"), F.max(stamp).alias("last_at")
+    )
 
 
 # Facts.

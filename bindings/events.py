@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from bindings import evidence
 from bindings import tables as tb
 from bindings.registry import Group
 from proofloom.operators import citations as ci
@@ -236,14 +237,25 @@ def s09(spark, d):
     return ex.manifest_lines(tb.table(spark, d, "conversations"), docs, F.lit("Review"))
 
 
-@query("u04_follow_ups", f"""
+FOLLOW_UPS = """
 SELECT 'Follow-up Q&A' AS "Filename", 'Question ' || (turn + 1) AS "Section", 'Q: ' || role || chr(10) || chr(10) || 'A: ' || text AS "Analysis", 'Asked on: Unknown' AS "Context",
        'Citations: ' || (CASE WHEN turn % 2 = 1 THEN 2 ELSE 1 END) || ' found' AS "Supporting Phrase", 'N/A' AS "Verified", 'N/A' AS "Page", 'N/A' AS "Match Score"
-FROM conversations""")
-def u04(spark, d):
+FROM conversations"""
+
+
+def _follow_ups(spark, d):
     numbered = ci.number_answers(_answers(spark, d))
-    rows = numbered.select(
+    return numbered.select(
         (F.col("turn") + 1).alias("number"), F.col("role").alias("question"), F.col("text").alias("answer"),
         F.lit(None).cast("string").alias("asked_at"), F.size("citations").alias("n_citations"),
     )
-    return ex.follow_up_rows(rows)
+
+
+@query("u04_follow_ups", FOLLOW_UPS)
+def u04(spark, d):
+    return ex.follow_up_rows(_follow_ups(spark, d))
+
+
+@query("p13_export_with_follow_ups", f"{evidence.EXPORT} UNION ALL {FOLLOW_UPS}")
+def p13_follow(spark, d):
+    return ex.with_follow_ups(evidence.p13(spark, d), _follow_ups(spark, d))
