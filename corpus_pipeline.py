@@ -14,10 +14,14 @@ from proofloom.llm.tables import bounded_batches, read_ranks, stored, table
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no text, or no letter in it."""
+    """Drops documents without a language: no text, or no letter in it. Where no document to learn from has both
+    a text and a language, there is nothing to judge by and all stay."""
     bounded_batches(spark)
     learn = F.col("doc_id").isNotNull() & ~language.held_out(F.col("doc_id"))
-    found = language.language(docs, language.fit(docs, learn), pred="__lang", score="__share")
+    model = language.fit(docs, learn)
+    if not model.names:
+        return docs
+    found = language.language(docs, model, pred="__lang", score="__share")
     return found.where(F.col("__lang") != language.UNKNOWN).select(*docs.columns)
 
 

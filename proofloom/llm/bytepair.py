@@ -10,10 +10,10 @@ Appending bytes extends the table; an edit keeps the table up to the edit.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 from collections.abc import Callable, Iterable
-from itertools import islice
 
 import ahocorasick
 import numpy as np
@@ -220,12 +220,20 @@ def _shared_encoder(key: tuple[int, str, bool], ranks: dict[bytes, int]) -> Text
     return kept_for(key, lambda: TextEncoder(ranks, *key[1:]))
 
 
+def vocabulary_mark(ranks: dict[bytes, int]) -> bytes:
+    """A digest of all tokens and their ranks, by which a worker tells vocabularies apart."""
+    mark = hashlib.sha256()
+    for token, rank in sorted(ranks.items()):
+        mark.update(b"%d %d " % (rank, len(token)) + token)
+    return mark.digest()
+
+
 def encoded(spark: SparkSession, text: Column, ranks: dict[bytes, int], pattern: str, spaced: bool = False) -> Column:
     """Token ids of whole texts as an array column. Null and empty texts give an empty array.
 
     The ranks are broadcast; a vocabulary is a fixed file of a few MB, whatever the corpus."""
     sent = spark.sparkContext.broadcast(ranks)
-    key = (hash(tuple(islice(ranks.items(), 1000))) ^ len(ranks), pattern, spaced)
+    key = (vocabulary_mark(ranks), pattern, spaced)
 
     def make() -> Callable[[pa.Array], pa.Array]:
         encoder = _shared_encoder(key, sent.value)
@@ -267,7 +275,7 @@ def decoded(spark: SparkSession, ids: Column, ranks: dict[bytes, int]) -> Column
 def both_ways(spark: SparkSession, text: Column, ranks: dict[bytes, int], pattern: str, spaced: bool = False) -> Column:
     """(ids, back): ids as ``encoded`` gives them and the bytes they decode to, by one Python worker."""
     sent = spark.sparkContext.broadcast(ranks)
-    key = (hash(tuple(islice(ranks.items(), 1000))) ^ len(ranks), pattern, spaced)
+    key = (vocabulary_mark(ranks), pattern, spaced)
 
     def make() -> Callable[[pa.Array], pa.Array]:
         encoder, decoder = _shared_encoder(key, sent.value), Decoder(sent.value)
