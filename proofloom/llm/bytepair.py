@@ -29,6 +29,8 @@ UNKNOWN = "�".encode()
 NOT_CUT = re.compile(r" (?=\s|$|\Z)")
 CACHE_PIECES = 100_000
 CACHED_BYTES = 64
+SLICE = 1 << 16
+CUT = re.compile(r" (?=\S)")
 SHIFT = 24
 
 
@@ -182,9 +184,20 @@ class TextEncoder:
         return packed
 
     def packed(self, text: str) -> bytes:
-        """Ids as little-endian 32-bit numbers."""
+        """Ids as little-endian 32-bit numbers. A long text is taken in slices where it may be cut."""
         if not self.spaced:
             return self.by_pattern(text)
+        if len(text) <= SLICE:
+            return self.by_words(text)
+        out, begin = [], 0
+        while begin < len(text):
+            cut = CUT.search(text, begin + SLICE)
+            end = cut.start() if cut else len(text)
+            out.append(self.by_words(text[begin:end]))
+            begin = end
+        return b"".join(out)
+
+    def by_words(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         words, word = self.words.newer.get, self.word
         if NOT_CUT.search(text):  # some of the spaces are no cuts
@@ -254,6 +267,16 @@ class Decoder:
     def bytes(self, ids: np.ndarray) -> bytes:
         return b"".join(self.bytes_of[np.where((ids < 0) | (ids > self.size), self.size, ids)])
 
+    def gives(self, ids: np.ndarray, data: bytes) -> bool:
+        """Whether the ids decode to exactly these bytes; compared slice by slice."""
+        at = 0
+        for k in range(0, len(ids), SLICE):
+            part = self.bytes(ids[k : k + SLICE])
+            if not data.startswith(part, at):
+                return False
+            at += len(part)
+        return at == len(data)
+
 
 def decoded(spark: SparkSession, ids: Column, ranks: dict[bytes, int]) -> Column:
     """Bytes of id arrays. A null array gives no bytes; an id outside the vocabulary, or null, the replacement character."""
@@ -290,6 +313,29 @@ def both_ways(spark: SparkSession, text: Column, ranks: dict[bytes, int], patter
     return mapped(make, "struct<ids:array<int>,back:binary>", keeps=True)(text)
 
 
+def checked(spark: SparkSession, text: Column, ranks: dict[bytes, int], pattern: str, spaced: bool = False) -> Column:
+    """(ids, same): ids as ``encoded`` gives them, and whether they decode to the text's own bytes.
+
+    Both ways are gone in the Python worker, so the decoded bytes never travel."""
+    sent = spark.sparkContext.broadcast(ranks)
+    key = (vocabulary_mark(ranks), pattern, spaced)
+
+    def make() -> Callable[[pa.Array], pa.Array]:
+        encoder, decoder = _shared_encoder(key, sent.value), Decoder(sent.value)
+
+        def one(batch: pa.Array) -> pa.Array:
+            packed, same = [], []
+            for text in batch:
+                own = text.as_py() or ""
+                packed.append(encoder.packed(own))
+                same.append(decoder.gives(np.frombuffer(packed[-1], "<i4"), own.encode()))
+            return pa.StructArray.from_arrays([joined(packed, pa.int32(), "<i4"), pa.array(same, pa.bool_())], ["ids", "same"])
+
+        return one
+
+    return mapped(make, "struct<ids:array<int>,same:boolean>", keeps=True)(text)
+
+
 def encode_texts(
     df: DataFrame, ranks: dict[bytes, int], pattern: str, spaced: bool = False, text: str = "text", ids: str = "ids", back: str = "decoded"
 ) -> DataFrame:
@@ -299,3 +345,13 @@ def encode_texts(
     are encoded alike, an empty table stays empty."""
     found = df.withColumn("__coded", both_ways(df.sparkSession, F.col(text), ranks, pattern, spaced))
     return found.withColumns({ids: F.col("__coded.ids"), back: F.col("__coded.back")}).drop("__coded")
+
+
+def encode_checked(
+    df: DataFrame, ranks: dict[bytes, int], pattern: str, spaced: bool = False, text: str = "text", ids: str = "ids", same: str = "round_trip"
+) -> DataFrame:
+    """``df`` with the ids of each text and whether they stand for exactly its bytes.
+
+    Null and empty texts have no ids and are the same. Columns of ``df`` named ``ids`` or ``same`` are replaced."""
+    found = df.withColumn("__coded", checked(df.sparkSession, F.col(text), ranks, pattern, spaced))
+    return found.withColumns({ids: F.col("__coded.ids"), same: F.col("__coded.same")}).drop("__coded")

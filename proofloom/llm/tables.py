@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import base64
+import ctypes
+import gc
+import sys
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -51,14 +54,20 @@ KEPT: dict[object, object] = {}
 def kept_for(key: object, build: Callable[[], object]) -> object:
     """What a Python worker keeps for later tasks of the same kind; it keeps one thing at a time."""
     if key not in KEPT:
-        KEPT.clear()
+        release()
         KEPT[key] = build()
     return KEPT[key]
 
 
 def release() -> None:
-    """Tasks of another kind give back what their worker kept."""
+    """Tasks of another kind give back what their worker kept, to the system where it can take it."""
     KEPT.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
 
 
 def mapped(make: Callable[[], Callable[[pa.Array], pa.Array]], returns: str, keeps: bool = False) -> Callable[..., Column]:

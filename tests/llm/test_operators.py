@@ -40,7 +40,15 @@ def test_bpe_equals_the_public_library(spark, odd, ranks):
     want = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for row in bytepair.encode_texts(odd, ranks, public_tokenizers.PATTERN, spaced=True).collect():
         assert row.ids == want.encode_ordinary(row.text or "") and bytes(row.decoded) == (row.text or "").encode()
+    for row in bytepair.encode_checked(odd, ranks, public_tokenizers.PATTERN, spaced=True).collect():
+        assert row.ids == want.encode_ordinary(row.text or "") and row.round_trip is True
     encoder = bytepair.TextEncoder(ranks, public_tokenizers.PATTERN, spaced=True)
+    long = "".join(f"{'x' * (k % 7)}{k % 91} {' ' * (k % 3)}é\n" for k in range(30_000))
+    assert len(long) > 4 * bytepair.SLICE and encoder.encode(long) == want.encode_ordinary(long)
+    decoder = bytepair.Decoder(ranks)
+    ids = np.array(encoder.encode(long))
+    assert decoder.gives(ids, long.encode())
+    assert not decoder.gives(ids, long.encode() + b"x") and not decoder.gives(ids[:-1], long.encode()) and not decoder.gives(ids, b"y" + long.encode()[1:])
     rnd = random.Random(2)
     for _ in range(300):
         old = "".join(rnd.choice("ab c\n.,'s12é  ") for _ in range(rnd.randrange(60)))
