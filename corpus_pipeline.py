@@ -43,12 +43,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and whether they decode to it."""
+    """Token ids of each text, and whether they decode to it. A null text has no ids and counts as decoded."""
     bounded_batches(spark)
     ranks = read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    coded = bytepair.encode_texts(docs, ranks, public_tokenizers.PATTERN, spaced=True, ids="__ids", back="__back")
-    whole = F.col("__back") == F.coalesce("text", F.lit("")).cast("binary")
-    return coded.select("doc_id", "lang", "source", F.size("__ids").cast("long").alias("n_tokens"), F.col("__ids").alias("ids"), whole.alias("round_trip"))
+    coded = bytepair.encode_checked(docs, ranks, public_tokenizers.PATTERN, spaced=True, ids="__ids", same="__same")
+    return coded.select("doc_id", "lang", "source", F.size("__ids").cast("long").alias("n_tokens"), F.col("__ids").alias("ids"), F.col("__same").alias("round_trip"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
