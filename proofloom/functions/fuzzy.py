@@ -84,6 +84,68 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
+class Grams:
+    """Grams of a text, held once for all phrases: they bound ``partial_ratio`` from above.
+
+    An alignment with L letters in common and d letters left over has at most d + 1 unbroken runs, so at
+    least L - (q - 1)(d + 1) grams of q letters stand in both. A stretch that reaches the score therefore
+    holds that many grams of the phrase; a running count finds the richest stretch of the phrase's length.
+    """
+
+    SIZES = (3, 2)
+
+    def __init__(self, text: str):
+        self.size = len(text)
+        self.text = text
+        self.parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def part(self, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct grams and, for every position, the number of its gram."""
+        if q not in self.parts:
+            self.parts[q] = np.unique(gram_codes(self.text, q), return_inverse=True)
+        return self.parts[q]
+
+    def may_reach(self, phrase_grams: dict[int, np.ndarray], m: int, floor: float) -> bool:
+        """False only where no stretch of the text scores ``floor`` or more with a phrase of ``m`` letters."""
+        short = min(m, self.size)
+        for q in self.SIZES:
+            inside, edge = grams_needed(short, q, floor)
+            if edge <= 0 or short < q:
+                continue
+            codes, at = self.part(q)
+            sought = phrase_grams[q]
+            spots = np.minimum(np.searchsorted(codes, sought), len(codes) - 1)
+            held = np.zeros(len(codes), np.int32)
+            held[spots[codes[spots] == sought]] = 1
+            total = np.concatenate(([0], np.cumsum(held[at])))
+            width = short - q + 1
+            counts = total[width:] - total[:-width]
+            if counts.max() < inside and max(counts[0], counts[-1]) < edge:
+                return False
+        return True
+
+
+def gram_codes(text: str, q: int) -> np.ndarray:
+    """Every gram of ``q`` (at most 3) letters as one number."""
+    letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    codes = letters[: len(letters) - q + 1].copy()
+    for k in range(1, q):
+        codes |= letters[k : len(letters) - q + 1 + k] << np.uint64(21 * k)
+    return codes
+
+
+def grams_needed(short: int, q: int, floor: float) -> tuple[float, float]:
+    """Least number of common grams in a stretch as long as the shorter text, and in one cut by an edge."""
+
+    def least(size: float) -> float:
+        both = short + size
+        common = floor * both / 200
+        return common - (q - 1) * (both - 2 * common + 1) - 1e-6
+
+    whole = least(short)
+    return whole, min(whole, least(floor * short / (200 - floor)))
+
+
 def token_form(text: str) -> str:
     """Lower-case letters and digits with single spaces; the upper Latin-1 half is dropped."""
     text = text.translate(_DROPPED).lower()
@@ -121,13 +183,18 @@ def phrase_score(phrase: str, text: str, threshold: int = 0) -> int:
     return _score(phrase, frozenset(token_form(phrase).split()), text, frozenset(token_form(text).split()), threshold)
 
 
-def _score(phrase: str, phrase_set: frozenset, text: str, text_set: frozenset, threshold: int) -> int:
+def _score(
+    phrase: str, phrase_set: frozenset, text: str, text_set: frozenset, threshold: int,
+    grams: Grams | None = None, phrase_grams: dict[int, np.ndarray] | None = None,
+) -> int:
     if phrase in text:
         return 100
     floor = threshold - 0.5
     token = round(token_set_ratio(phrase_set, text_set, floor))
     if token >= 100:
         return 100
+    if grams is not None and not grams.may_reach(phrase_grams, len(phrase), floor):
+        return token if token >= threshold else 0
     score = max(token, round(partial_ratio(phrase, text)))
     return score if score >= threshold else 0
 
@@ -137,18 +204,21 @@ def phrase_matcher(threshold: int):
 
     @F.pandas_udf(MATCHES)
     def match(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        sets: dict[str, frozenset] = {}
+        known: dict[str, tuple[frozenset, dict[int, np.ndarray]]] = {}
         for texts, lists in batches:
             out = []
             for text, phrases in zip(texts, lists):
                 own = frozenset(token_form(text).split())
+                grams = Grams(text)
                 found = []
                 for pos, phrase in enumerate(phrases):
-                    if len(sets) > 50_000:
-                        sets.clear()
-                    if phrase not in sets:
-                        sets[phrase] = frozenset(token_form(phrase).split())
-                    score = _score(phrase, sets[phrase], text, own, threshold) if phrase and text else 0
+                    if len(known) > 20_000:
+                        known.clear()
+                    if phrase not in known:
+                        parts = {q: np.unique(gram_codes(phrase, q)) if len(phrase) >= q else np.zeros(0, np.uint64) for q in Grams.SIZES}
+                        known[phrase] = frozenset(token_form(phrase).split()), parts
+                    words, parts = known[phrase]
+                    score = _score(phrase, words, text, own, threshold, grams, parts) if phrase and text else 0
                     if score >= threshold and score > 0:
                         found.append({"pos": pos, "score": score})
                 out.append(found)

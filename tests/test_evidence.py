@@ -40,6 +40,47 @@ def test_partial_ratio_against_brute_force():
         assert fuzzy.partial_ratio(a, b) == pytest.approx(brute_partial(a, b))
 
 
+def near(rng, text, letters):
+    """A stretch of the text with letters dropped, added and changed."""
+    begin = rng.randrange(max(1, len(text) - 5))
+    out = []
+    for c in text[begin : begin + rng.randint(5, 60)]:
+        roll = rng.random()
+        out.append("" if roll < 0.1 else c + rng.choice(letters) if roll < 0.2 else c)
+    return "".join(out) or "a"
+
+
+def test_gram_bound_never_loses_a_match():
+    rng = random.Random(11)
+    passed = dropped = 0
+    for letters in ("ab ", "abcdefghij klmno ", "aé\U0001f600 z"):
+        for _ in range(700):
+            text = "".join(rng.choice(letters) for _ in range(rng.randint(1, 120)))
+            phrase = near(rng, text, letters) if rng.random() < 0.8 else "".join(rng.choice(letters) for _ in range(rng.randint(1, 60)))
+            if rng.random() < 0.2:
+                phrase, text = text, phrase
+            parts = {q: fuzzy.np.unique(fuzzy.gram_codes(phrase, q)) if len(phrase) >= q else [] for q in fuzzy.Grams.SIZES}
+            score = fuzzy.partial_ratio(phrase, text)
+            for floor in (79.5, 84.5, 95.0):
+                may = fuzzy.Grams(text).may_reach(parts, len(phrase), floor)
+                assert may or score < floor, (phrase, text, floor)
+                passed += may and score >= floor
+                dropped += not may
+    assert passed > 300 and dropped > 300
+
+
+def test_matcher_equals_plain_scores(spark):
+    rng = random.Random(5)
+    words = ["loan", "margin", "quarter", "interest", "the", "of", "a", "signing", "party", "firm", "rate"]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(12)] + ["", "x"]
+    phrases = [near(rng, t, "abc ") for t in texts[:12] for _ in range(8)] + ["", "zq", "loan of the firm"]
+    rows = spark.createDataFrame([(t, phrases) for t in texts], "text string, phrases array<string>")
+    for threshold in (80, 85):
+        for row in rows.select("text", fuzzy.phrase_matcher(threshold)("text", "phrases").alias("hits")).collect():
+            want = {k: s for k, p in enumerate(phrases) if (s := fuzzy.phrase_score(p, row.text, threshold))}
+            assert {h.pos: h.score for h in row.hits} == want
+
+
 def test_token_set_scores():
     assert fuzzy.phrase_score("million ten loan", "the loan is ten million") == 100
     assert fuzzy.phrase_score("zzqx vvkw", "the loan is ten million", 85) == 0
