@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 MATCHES = "array<struct<pos:int,score:int>>"
 # Characters dropped before token comparison (the upper Latin-1 half).
 _DROPPED = {code: None for code in range(128, 256)}
+EDIT_SLICE = 4096
 
 
 def _lcs(masks: dict[str, int], width: int, text: str) -> int:
@@ -84,66 +85,59 @@ def partial_ratio(a: str, b: str) -> float:
     return best
 
 
-class Grams:
-    """Grams of a text, held once for all phrases: they bound ``partial_ratio`` from above.
+def fewest_edits(phrases: list[str], text: str) -> np.ndarray:
+    """Per phrase its fewest edits (letters dropped, added or changed) from any stretch of ``text``.
 
-    An alignment with L letters in common and d letters left over has at most d + 1 unbroken runs, so at
-    least L - (q - 1)(d + 1) grams of q letters stand in both. A stretch that reaches the score therefore
-    holds that many grams of the phrase; a running count finds the richest stretch of the phrase's length.
+    Bit-vector edit distance with a free start. Each phrase owns a lane of one long integer, and a spare bit
+    above it takes the carry, so all phrases advance together with every letter of the text.
     """
-
-    SIZES = (3, 2)
-
-    def __init__(self, text: str):
-        self.size = len(text)
-        self.text = text
-        self.parts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def part(self, q: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct grams and, for every position, the number of its gram."""
-        if q not in self.parts:
-            self.parts[q] = np.unique(gram_codes(self.text, q), return_inverse=True)
-        return self.parts[q]
-
-    def may_reach(self, phrase_grams: dict[int, np.ndarray], m: int, floor: float) -> bool:
-        """False only where no stretch of the text scores ``floor`` or more with a phrase of ``m`` letters."""
-        short = min(m, self.size)
-        for q in self.SIZES:
-            inside, edge = grams_needed(short, q, floor)
-            if edge <= 0 or short < q:
-                continue
-            codes, at = self.part(q)
-            sought = phrase_grams[q]
-            spots = np.minimum(np.searchsorted(codes, sought), len(codes) - 1)
-            held = np.zeros(len(codes), np.int32)
-            held[spots[codes[spots] == sought]] = 1
-            total = np.concatenate(([0], np.cumsum(held[at])))
-            width = short - q + 1
-            counts = total[width:] - total[:-width]
-            if counts.max() < inside and max(counts[0], counts[-1]) < edge:
-                return False
-        return True
-
-
-def gram_codes(text: str, q: int) -> np.ndarray:
-    """Every gram of ``q`` (at most 3) letters as one number."""
-    letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    codes = letters[: len(letters) - q + 1].copy()
-    for k in range(1, q):
-        codes |= letters[k : len(letters) - q + 1 + k] << np.uint64(21 * k)
-    return codes
-
-
-def grams_needed(short: int, q: int, floor: float) -> tuple[float, float]:
-    """Least number of common grams in a stretch as long as the shorter text, and in one cut by an edge."""
-
-    def least(size: float) -> float:
-        both = short + size
-        common = floor * both / 200
-        return common - (q - 1) * (both - 2 * common + 1) - 1e-6
-
-    whole = least(short)
-    return whole, min(whole, least(floor * short / (200 - floor)))
+    sizes = np.array([len(p) for p in phrases])
+    starts = np.cumsum(sizes + 1) - (sizes + 1)
+    masks: dict[str, int] = {}
+    full = tops = 0
+    for phrase, start in zip(phrases, starts.tolist()):
+        full |= ((1 << len(phrase)) - 1) << start
+        tops |= 1 << (start + len(phrase) - 1)
+        for char, bits in _masks(phrase).items():
+            masks[char] = masks.get(char, 0) | bits << start
+    last = starts + sizes - 1
+    width = int(last[-1]) // 8 + 1
+
+    def lasts(steps: list[int]) -> np.ndarray:
+        rows = np.frombuffer(b"".join([x.to_bytes(width, "little") for x in steps]), np.uint8).reshape(-1, width)
+        return (rows[:, last // 8] >> (last % 8).astype(np.uint8) & 1).astype(np.int32)
+
+    more, less = full, 0
+    now, fewest = sizes.astype(np.int64), sizes.astype(np.int64)
+    for begin in range(0, len(text), EDIT_SLICE):
+        ups, downs = [], []
+        for char in text[begin : begin + EDIT_SLICE]:
+            same = masks.get(char, 0)
+            level = same | less
+            cross = ((same & more) + more ^ more) | same
+            up, down = less | full ^ ((cross | more) & full), more & cross
+            ups.append(up & tops)
+            downs.append(down & tops)
+            up, down = up << 1 & full, down << 1 & full
+            more, less = down | full ^ ((level | up) & full), up & level
+        change = np.cumsum(lasts(ups) - lasts(downs), axis=0)
+        fewest = np.minimum(fewest, now + change.min(axis=0))
+        now = now + change[-1]
+    return fewest
+
+
+def may_reach(phrases: list[str], text: str, floor: float) -> np.ndarray:
+    """False only where ``partial_ratio`` is below ``floor``.
+
+    A stretch no longer than a phrase of m letters scores ``floor`` with at most 2m(1 - floor/100) letters left
+    over on both sides, each of them one edit. Phrases that are not shorter than the text are let through.
+    """
+    may = np.ones(len(phrases), bool)
+    some = [k for k, p in enumerate(phrases) if 0 < len(p) < len(text)]
+    if some:
+        edits = fewest_edits([phrases[k] for k in some], text)
+        may[some] = [e <= 2 * len(phrases[k]) * (1 - floor / 100) + 1e-6 for e, k in zip(edits.tolist(), some)]
+    return may
 
 
 def token_form(text: str) -> str:
@@ -183,45 +177,43 @@ def phrase_score(phrase: str, text: str, threshold: int = 0) -> int:
     return _score(phrase, frozenset(token_form(phrase).split()), text, frozenset(token_form(text).split()), threshold)
 
 
-def _score(
-    phrase: str, phrase_set: frozenset, text: str, text_set: frozenset, threshold: int,
-    grams: Grams | None = None, phrase_grams: dict[int, np.ndarray] | None = None,
-) -> int:
-    if phrase in text:
-        return 100
-    floor = threshold - 0.5
-    token = round(token_set_ratio(phrase_set, text_set, floor))
-    if token >= 100:
-        return 100
-    if grams is not None and not grams.may_reach(phrase_grams, len(phrase), floor):
-        return token if token >= threshold else 0
-    score = max(token, round(partial_ratio(phrase, text)))
+def _score(phrase: str, phrase_set: frozenset, text: str, text_set: frozenset, threshold: int) -> int:
+    score = _word_score(phrase, phrase_set, text, text_set, threshold)
+    if score < 100:
+        score = max(score, round(partial_ratio(phrase, text)))
     return score if score >= threshold else 0
 
 
+def _word_score(phrase: str, phrase_set: frozenset, text: str, text_set: frozenset, threshold: int) -> int:
+    return 100 if phrase in text else round(token_set_ratio(phrase_set, text_set, threshold - 0.5))
+
+
+def matches(text: str, phrases: list[str], words: list[frozenset], threshold: int) -> list[dict[str, int]]:
+    """Places and scores of the phrases that reach ``threshold``; only those that may are aligned."""
+    own = frozenset(token_form(text).split())
+    scores = [_word_score(p, w, text, own, threshold) if p and text else 0 for p, w in zip(phrases, words)]
+    left = [k for k, p in enumerate(phrases) if p and text and scores[k] < 100]
+    for k, may in zip(left, may_reach([phrases[k] for k in left], text, threshold - 0.5)):
+        if may:
+            scores[k] = max(scores[k], round(partial_ratio(phrases[k], text)))
+    return [{"pos": k, "score": s} for k, s in enumerate(scores) if s >= threshold and s > 0]
+
+
 def phrase_matcher(threshold: int):
     """UDF (text, phrases) -> positions and scores of the phrases that reach ``threshold``."""
 
     @F.pandas_udf(MATCHES)
     def match(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        known: dict[str, tuple[frozenset, dict[int, np.ndarray]]] = {}
+        sets: dict[str, frozenset] = {}
+
+        def words(phrase: str) -> frozenset:
+            if phrase not in sets:
+                if len(sets) > 50_000:
+                    sets.clear()
+                sets[phrase] = frozenset(token_form(phrase).split())
+            return sets[phrase]
+
         for texts, lists in batches:
-            out = []
-            for text, phrases in zip(texts, lists):
-                own = frozenset(token_form(text).split())
-                grams = Grams(text)
-                found = []
-                for pos, phrase in enumerate(phrases):
-                    if len(known) > 20_000:
-                        known.clear()
-                    if phrase not in known:
-                        parts = {q: np.unique(gram_codes(phrase, q)) if len(phrase) >= q else np.zeros(0, np.uint64) for q in Grams.SIZES}
-                        known[phrase] = frozenset(token_form(phrase).split()), parts
-                    words, parts = known[phrase]
-                    score = _score(phrase, words, text, own, threshold, grams, parts) if phrase and text else 0
-                    if score >= threshold and score > 0:
-                        found.append({"pos": pos, "score": score})
-                out.append(found)
-            yield pd.Series(out)
+            yield pd.Series([matches(text, list(phrases), [words(p) for p in phrases], threshold) for text, phrases in zip(texts, lists)])
 
     return match

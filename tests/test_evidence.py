@@ -50,22 +50,38 @@ def near(rng, text, letters):
     return "".join(out) or "a"
 
 
-def test_gram_bound_never_loses_a_match():
+def brute_edits(phrase, text):
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(phrase, start=1):
+        last, row[0] = row[0], i
+        for j, d in enumerate(text, start=1):
+            last, row[j] = row[j], min(last + (c != d), row[j] + 1, row[j - 1] + 1)
+    return min(row)
+
+
+def test_edits_of_all_phrases_against_brute_force(monkeypatch):
+    rng = random.Random(8)
+    for limit in (4096, 7):
+        monkeypatch.setattr(fuzzy, "EDIT_SLICE", limit)
+        for _ in range(60):
+            text = "".join(rng.choice("abc é") for _ in range(rng.randint(1, 50)))
+            phrases = [near(rng, text, "abc") for _ in range(rng.randint(1, 5))]
+            assert fuzzy.fewest_edits(phrases, text).tolist() == [brute_edits(p, text) for p in phrases]
+
+
+def test_edit_bound_never_loses_a_match():
     rng = random.Random(11)
     passed = dropped = 0
     for letters in ("ab ", "abcdefghij klmno ", "aé\U0001f600 z"):
-        for _ in range(700):
+        for _ in range(150):
             text = "".join(rng.choice(letters) for _ in range(rng.randint(1, 120)))
-            phrase = near(rng, text, letters) if rng.random() < 0.8 else "".join(rng.choice(letters) for _ in range(rng.randint(1, 60)))
-            if rng.random() < 0.2:
-                phrase, text = text, phrase
-            parts = {q: fuzzy.np.unique(fuzzy.gram_codes(phrase, q)) if len(phrase) >= q else [] for q in fuzzy.Grams.SIZES}
-            score = fuzzy.partial_ratio(phrase, text)
+            phrases = [near(rng, text, letters) for _ in range(4)] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 130)))]
+            scores = [fuzzy.partial_ratio(p, text) for p in phrases]
             for floor in (79.5, 84.5, 95.0):
-                may = fuzzy.Grams(text).may_reach(parts, len(phrase), floor)
-                assert may or score < floor, (phrase, text, floor)
-                passed += may and score >= floor
-                dropped += not may
+                for may, score in zip(fuzzy.may_reach(phrases, text, floor), scores):
+                    assert may or score < floor
+                    passed += bool(may) and score >= floor
+                    dropped += not may
     assert passed > 300 and dropped > 300
 
 
