@@ -2,10 +2,16 @@
 
 ``scores`` has word models: bigrams interpolated with unigrams and a uniform share, over one vocabulary of all
 words (runs without white space) and an end mark. Both models have the same form and count every document: the
-chosen ones for the target, all others for the background. Words and pairs are Spark tables that grow with the
-corpus, aggregated in each task before they move; each document's pairs are joined to them. A document's score is
-the mean over its words and its end of the target's loss minus the background's, in nats: low scores are like the
-target. Words and pairs stand for their 64-bit hashes.
+chosen ones for the target, all others for the background. A document's own counts are left out of its score. The
+score is the mean over its words and its end of the target's loss minus the background's, in nats: low scores are
+like the target.
+
+Documents stay in chunks (``packing``). Each chunk sends the distinct words and pairs that it holds, with its
+counts in both models, once to the bucket that their hash names; the bucket adds the counts of all chunks and sends
+them back in the same order, and the chunk scores its documents. A pair that stands in every document is one entry a
+chunk. The number of buckets grows with the corpus; nothing is broadcast but ids under a counted bound. Words and
+pairs stand for hashes: the bucket and 40 bits, so that in a bucket of two million a key meets another by chance
+with two in a million, at every size.
 
 ``byte_scores`` has byte trigrams instead, at most 2^24, which bounds the model whatever the corpus holds.
 """
@@ -13,14 +19,18 @@ target. Words and pairs stand for their 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import partial
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proofloom.functions.spread import join_checked
-from proofloom.llm.tables import mapped, release
+from proofloom.llm.neardup import mixed
+from proofloom.llm.packing import BASES, BUCKET_KEYS, chunks_of, frozen, pack, text_bytes, thawed, unpack, word_bounds, word_hashes
+from proofloom.llm.tables import bounded_batches, mapped, release, stored
 
 CODES = 1 << 24
 WEIGHTS = (0.7, 0.2, 0.1)
@@ -55,39 +65,179 @@ def log_probabilities(code: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.log(p + WEIGHTS[2] * (one[code & 0xFF] + 1) / (three.sum() + 256))
 
 
-START, END = 0, 1
+START, END = mixed(np.array([11, 13], np.uint64))
+LOW_BITS = 40
+LOW = np.uint64((1 << LOW_BITS) - 1)
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+ASKED = "bucket int, chunk long, packed binary"
+ANSWER = "chunk long, bucket int, packed binary, size long, target long, background long"
+
+
+def _planes(values: np.ndarray, width: int) -> bytes:
+    """The low bytes of 64-bit numbers, equal places together."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _numbers(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _codes(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each hash above its low 40 bits; ``buckets`` is below 2^23."""
+    return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)) << np.uint64(LOW_BITS) | hashes & LOW
+
+
+class Pairs(NamedTuple):
+    """The words of a chunk, each text between a start and an end, and its pairs of neighbours."""
+
+    n_words: np.ndarray
+    word_codes: np.ndarray
+    word: np.ndarray
+    pair_codes: np.ndarray
+    pair: np.ndarray
+    at: np.ndarray
+    row: np.ndarray
+    target: np.ndarray
+
+
+def _pairs(batch: pa.RecordBatch, buckets: int) -> Pairs:
+    """Distinct codes of words and pairs in ascending order, the number of each place's code among them, where the
+    pairs start, and the row of every place."""
+    data, begins = text_bytes(batch.column(1))
+    starts, ends, row = word_bounds(data, begins, SPACE)
+    n_words = np.bincount(row, minlength=batch.num_rows)
+    full = np.flatnonzero(n_words)
+    order = np.cumsum(n_words > 0) - 1
+    held = np.empty(len(starts) + 2 * len(full), np.uint64)
+    inner = np.arange(len(starts)) + 2 * order[row] + 1
+    edge = np.ones(len(held), bool)
+    edge[inner] = False
+    held[inner] = word_hashes(data, starts, ends)
+    marks = np.flatnonzero(edge)
+    held[marks[0::2]], held[marks[1::2]] = START, END
+    last = np.zeros(len(held), bool)
+    last[marks[1::2]] = True
+    at = np.flatnonzero(~last)
+    word_codes, word = np.unique(_codes(held, buckets), return_inverse=True)
+    pair_codes, pair = np.unique(_codes(mixed(held[at] * BASES[0] + held[at + 1]), buckets), return_inverse=True)
+    target = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+    return Pairs(n_words, word_codes, word, pair_codes, pair, at, np.repeat(full, n_words[full] + 2), target)
+
+
+def _freeze(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for chunk, batch in chunks_of(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([frozen(batch)], pa.binary())], ["chunk", "body"])
 
 
-def scores(docs: DataFrame, chosen: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _cuts(codes: np.ndarray) -> dict[int, slice]:
+    """Where the codes of each bucket stand."""
+    bucket = (codes >> np.uint64(LOW_BITS)).astype(np.int64)
+    found, first = np.unique(bucket, return_index=True)
+    return {k: slice(a, b) for k, a, b in zip(found.tolist(), first.tolist(), [*first[1:].tolist(), len(codes)], strict=True)}
+
+
+def _ask(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """What each chunk counts of the words and pairs of a bucket, in both models."""
+    release()
+    for batch in batches:
+        for chunk, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            held = _pairs(thawed(body.as_py()), buckets)
+            kinds = []
+            for codes, of, row in ((held.word_codes, held.word, held.row), (held.pair_codes, held.pair, held.row[held.at])):
+                both = np.bincount(of, minlength=len(codes))
+                target = np.bincount(of[held.target[row]], minlength=len(codes))
+                kinds.append((codes & LOW, target, both - target, _cuts(codes)))
+            named = sorted({k for kind in kinds for k in kind[3]})
+            packed = []
+            for k in named:
+                parts = []
+                for low, target, background, cuts in kinds:
+                    some = cuts.get(k, slice(0))
+                    parts += [_planes(np.diff(low[some], prepend=np.uint64(0)), 5), _planes(target[some], 4), _planes(background[some], 4)]
+                packed.append(pack(*parts))
+            if named:
+                yield pa.RecordBatch.from_arrays([pa.array(named, pa.int32()), pa.array([chunk] * len(named), pa.int64()), pa.array(packed, pa.binary())], ["bucket", "chunk", "packed"])
+
+
+def _count(asked: pa.Table, start: int) -> pa.Table:
+    """For each chunk the counts over all chunks, and one row for the bucket: distinct words and all words of both
+    models, without the start."""
+    bucket = int(asked.column("bucket")[0].as_py())
+    parts = [unpack(x.as_py()) for x in asked.column("packed")]
+    answers: list[list[bytes]] = [[] for _ in parts]
+    sums = [0, 0, 0]
+    for kind in (0, 3):
+        codes = [np.cumsum(_numbers(p[kind], 5), dtype=np.uint64) for p in parts]
+        found, of = np.unique(np.concatenate(codes), return_inverse=True)
+        totals = [np.bincount(of, np.concatenate([_numbers(p[kind + k], 4) for p in parts]), len(found)).astype(np.int64) for k in (1, 2)]
+        if kind == 0:
+            word = np.flatnonzero(found != np.uint64(start & int(LOW))) if start >> LOW_BITS == bucket else slice(None)
+            sums = [len(found[word]), *(int(t[word].sum()) for t in totals)]
+        done = 0
+        for k, own in enumerate(codes):
+            some = of[done : done + len(own)]
+            answers[k] += [_planes(t[some], 8) for t in totals]
+            done += len(own)
+    chunks = asked.column("chunk").to_pylist()
+    columns = [[*chunks, None], [bucket] * (len(chunks) + 1), [*(pack(*a) for a in answers), None]]
+    one = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)]
+    rest = [pa.array([None] * len(chunks) + [n], pa.int64()) for n in sums]
+    return pa.table([*one, *rest], ["chunk", "bucket", "packed", "size", "target", "background"])
+
+
+def _own(row: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """How often each place's code stands in its own row."""
+    _, which, times = np.unique(row * n + of, return_inverse=True, return_counts=True)
+    return times[which]
+
+
+def _score(body: pa.Table, said: pa.Table, buckets: int, size: int, totals: tuple[int, int], left_out: bool) -> pa.Table:
+    batch = thawed(body.column("body")[0].as_py())
+    held = _pairs(batch, buckets)
+    parts = {k: unpack(p) for k, p in zip(said.column("bucket").to_pylist(), said.column("packed").to_pylist(), strict=True)}
+    order = sorted(parts)
+    counts = [np.concatenate([np.zeros(0, np.uint64), *(_numbers(parts[k][kind], 8) for k in order)]).astype(np.int64) for kind in range(4)]
+    row, word = held.row[held.at], held.word
+    before, after = word[held.at], word[held.at + 1]
+    own_word = _own(held.row, word, len(held.word_codes))
+    own = (_own(row, held.pair, len(held.pair_codes)), own_word[held.at], own_word[held.at + 1], held.n_words[row] + 1)
+    logs = []
+    for k, mine in ((0, held.target[row]), (1, ~held.target[row])):
+        less = mine * int(left_out)
+        pair, first, second, all_words = (c - less * o for c, o in zip((counts[2 + k][held.pair], counts[k][before], counts[k][after], totals[k]), own, strict=True))
+        share = lambda part, whole: np.divide(part, whole, out=np.zeros(len(row)), where=whole > 0)
+        logs.append(np.log(WEIGHTS[0] * share(pair, first) + WEIGHTS[1] * share(second, all_words) + WEIGHTS[2] / max(size, 1)))
+    sums = np.bincount(row, logs[1] - logs[0], batch.num_rows)
+    mean = np.round(sums / (held.n_words + 1), 6)
+    return pa.table([batch.column(0), pa.array(held.n_words, pa.int64()), pa.array(mean, pa.float64(), mask=held.n_words == 0)], ["doc_id", "n_tokens", "target_loss_minus_background"])
+
+
+def scores(docs: DataFrame, chosen: DataFrame, doc_id: str = "doc_id", text: str = "text", left_out: bool = True) -> DataFrame:
     """(doc_id, n_tokens, target_loss_minus_background), a row for every row of ``docs``.
 
-    ``chosen`` names the target documents by ``doc_id``; repeated and null ids in it add nothing. Texts without a
-    word have no tokens and a null score; repeated rows count as often as they stand there."""
+    ``chosen`` names the target documents by ``doc_id``; repeated and null ids in it add nothing. With ``left_out``
+    a row is scored by the counts of all other rows, so that the score does not repeat the label. Null texts and
+    texts without a word have no tokens and a null score; repeated rows count as often as they stand there, and
+    each leaves out itself alone. Empty tables give no rows; other columns are not read."""
+    bounded_batches(docs.sparkSession)
     ids = chosen.select(F.col("doc_id").alias("__id"), F.lit(True).alias("__target")).where("__id IS NOT NULL").distinct()
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id, text).alias("key"), F.coalesce(F.transform(words, lambda w: F.xxhash64(w)), F.array().cast("array<long>")).alias("words"))
-    flagged = rows.where(F.size("words") > 0).join(few, F.col("doc_id") == F.col("__id"), "left").withColumn("target", F.coalesce("__target", F.lit(False)).cast("long"))
-    mark = lambda k: F.array(F.lit(k).cast("long"))
-    counts = (F.sum("target").alias("t"), F.sum(1 - F.col("target")).alias("b"))
-    word = flagged.select("target", F.explode(F.concat(mark(START), "words", mark(END))).alias("word")).groupBy("word").agg(*counts)
-    pairs = F.arrays_zip(F.concat(mark(START), "words").alias("before"), F.concat("words", mark(END)).alias("word"))
-    pair = flagged.select("key", "target", F.explode(pairs).alias("p")).select("key", "target", "p.before", "p.word")
-    target, background, size = word.where(F.col("word") != START).agg(F.sum("t"), F.sum("b"), F.count(F.lit(1))).first()
-    table = pair.groupBy("before", "word").agg(*counts)
-    table = join_checked(table, word.select(F.col("word").alias("before"), F.col("t").alias("t_before"), F.col("b").alias("b_before")), ["before"], ["word"], max_rows=BROADCAST_IDS)
-    table = join_checked(table, word.select("word", F.col("t").alias("t_word"), F.col("b").alias("b_word")), ["word"], ["before"], max_rows=BROADCAST_IDS)
-    gap = _log(F.col("b"), F.col("b_before"), F.col("b_word"), background, size) - _log(F.col("t"), F.col("t_before"), F.col("t_word"), target, size)
-    both = F.xxhash64("before", "word").alias("both")
-    scored = pair.select("key", both).join(table.select(both, gap.alias("gap")), "both")
-    mean = scored.groupBy("key").agg(F.avg("gap").alias("gap"))
-    return rows.select("doc_id", "key", F.size("words").cast("long").alias("n_tokens")).join(mean, "key", "left").select("doc_id", "n_tokens", F.round("gap", 6).alias("target_loss_minus_background"))
-
-
-def _log(pair: Column, before: Column, word: Column, total: int | None, size: int) -> Column:
-    """Log probability of a word after the one before it, in one model."""
-    share = lambda part, whole: F.when(whole > 0, part / whole).otherwise(0.0)
-    return F.log(WEIGHTS[0] * share(pair, before) + WEIGHTS[1] * share(word, F.lit(total or 0)) + F.lit(WEIGHTS[2] / max(size, 1)))
+    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__text"))
+    flagged = join_checked(rows, ids, ["__id"], ["__text"], "left", max_rows=BROADCAST_IDS)
+    flagged = flagged.select("__id", "__text", F.coalesce("__target", F.lit(False)).alias("__target"))
+    total = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    buckets = max(1, -(-total // (4 * BUCKET_KEYS)))
+    body = stored(flagged.mapInArrow(_freeze, "chunk long, body binary"), "chunks")
+    start = int(_codes(np.array([START]), buckets)[0])
+    counted = body.mapInArrow(partial(_ask, buckets=buckets), ASKED).groupBy("bucket").applyInArrow(lambda t: _count(t, start), ANSWER)
+    counted = stored(counted, "word-counts")
+    size, target, background = counted.agg(F.sum("size"), F.sum("target"), F.sum("background")).first()
+    said = counted.where("chunk IS NOT NULL").select("chunk", "bucket", "packed")
+    judge = partial(_score, buckets=buckets, size=size or 0, totals=(target or 0, background or 0), left_out=left_out)
+    kind = docs.schema[doc_id].dataType.simpleString()
+    return body.groupBy("chunk").cogroup(said.groupBy("chunk")).applyInArrow(lambda b, s: judge(b, s), f"doc_id {kind}, n_tokens long, target_loss_minus_background double")
 
 
 def byte_scores(docs: DataFrame, chosen: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -294,7 +294,8 @@ def test_lm_scores(spark, odd):
     assert lmscore.scores(odd, odd.select("doc_id")).count() == odd.count()
 
 
-def test_lm_scores_tell_words_of_the_same_bytes_apart(spark):
+@pytest.mark.parametrize("left_out", [True, False])
+def test_lm_scores_tell_words_of_the_same_bytes_apart(spark, left_out):
     rows = [(k, ("ab cd ef gh" if k % 2 else "ab ef cd gh") + " ab" * (k % 3)) for k in range(12)] + [(3, "x y"), (None, "ab"), (20, " \n"), (21, None)] + [(1, "ab cd ef gh ab")]
     good = [1, 3, 5]
     counts = [defaultdict(int), defaultdict(int)]
@@ -309,15 +310,20 @@ def test_lm_scores_tell_words_of_the_same_bytes_apart(spark):
                 own[None, None] += 1
     size = len({p[1] for c in counts for p in c if p[0] is None and p[1] is not None})
 
-    def loss(c, a, b):
-        return -math.log(0.7 * (c[a, b] / c[a, None] if c[a, None] else 0) + 0.2 * c[None, b] / c[None, None] + 0.1 / size)
+    def loss(c, own, a, b):
+        pair, before, word, whole = (c[k] - own[k] for k in ((a, b), (a, None), (None, b), (None, None)))
+        return -math.log(0.7 * (pair / before if before else 0) + 0.2 * word / whole + 0.1 / size)
 
     want = []
     for k, text in rows:
         w = (text or "").split()
-        gaps = [loss(counts[1], a, b) - loss(counts[0], a, b) for a, b in zip(["^", *w], [*w, "$"], strict=True)]
+        own = [defaultdict(int), defaultdict(int)]
+        for a, b in zip(["^", *w], [*w, "$"], strict=True) if left_out and w else ():
+            for key in ((a, b), (a, None), (None, b), (None, None)):
+                own[k in good][key] += 1
+        gaps = [loss(counts[1], own[1], a, b) - loss(counts[0], own[0], a, b) for a, b in zip(["^", *w], [*w, "$"], strict=True)] if w else []
         want.append((str(k), len(w), round(sum(gaps) / len(gaps), 5) if w else None))
-    got = lmscore.scores(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k,) for k in good], "doc_id long"))
+    got = lmscore.scores(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k,) for k in good], "doc_id long"), left_out=left_out)
     found = [(str(r.doc_id), r.n_tokens, None if r[2] is None else round(r[2], 5)) for r in got.collect()]
     key = lambda r: (r[0], r[1], r[2] or 0)
     for a, b in zip(sorted(found, key=key), sorted(want, key=key), strict=True):
