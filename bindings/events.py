@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from bindings import evidence
@@ -10,6 +12,7 @@ from bindings.registry import Group
 from proofloom.operators import citations as ci
 from proofloom.operators import corpus as co
 from proofloom.operators import export as ex
+from proofloom.session import checkpoint_root
 
 GROUP = Group()
 query = GROUP.query
@@ -71,6 +74,20 @@ def x02(spark, d):
     return events.where(~co.is_expired("ts", latest)).groupBy("event_type").agg(F.count("*").alias("n_kept"))
 
 
+@query("x02_retention_stream", """
+SELECT event_type, count(*) AS n_kept FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 86400 SECOND GROUP BY event_type""")
+def x02_stream(spark, d):
+    """The events replayed as a stream into a folder, by the clock of the latest one."""
+    from proofloom.streaming.jobs import retain
+
+    events = tb.table(spark, d, "events")
+    latest = F.lit(events.agg(F.max("ts")).first()[0])
+    root = f"{checkpoint_root(spark)}/retained-{uuid.uuid4().hex}"
+    stream = tb.stream(spark, d, "events", events.schema)
+    retain(stream, f"{root}/rows", f"{root}/log", as_of=latest).awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{root}/rows").groupBy("event_type").agg(F.count("*").alias("n_kept"))
+
+
 def _snapshots(spark, d):
     """Two full snapshots that differ: documents of the corpus, and documents with labels plus new ones."""
     old = tb.documents(spark, d, "doc_id").select("doc_id")

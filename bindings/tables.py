@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from proofloom.functions import text as tx
 from proofloom.operators import chunking as ch
@@ -26,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream(spark: SparkSession, sf_dir: str, name: str, schema: StructType) -> DataFrame:
+    """A table as a stream of its files; the pattern lets it be one file or a folder."""
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return src.read_documents(spark, f"{sf_dir}/documents.parquet", *(columns or ("doc_id", "text")))
 

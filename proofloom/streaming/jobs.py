@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from proofloom.operators.chunking import Chunker, chunks_from_documents
-from proofloom.operators.corpus import MAX_AGE, SESSION_GAP
+from proofloom.operators.corpus import MAX_AGE, SESSION_GAP, is_expired
 
 LEDGER = "doc_id long, content string, batch_id long"
 
@@ -22,10 +22,23 @@ def stream_sessions(events: DataFrame, user: str = "user_id", stamp: str = "ts",
     )
 
 
-def stream_retained(artefacts: DataFrame, stamp: str = "ts", max_age: int = MAX_AGE) -> DataFrame:
-    """Artefacts still young when they are processed; late ones beyond the age are dropped."""
-    limit = F.current_timestamp() - F.make_dt_interval(secs=F.lit(max_age))
-    return artefacts.withWatermark(stamp, f"{max_age} seconds").where(F.col(stamp) >= limit)
+def stream_retained(artefacts: DataFrame, stamp: str = "ts", max_age: int = MAX_AGE, as_of: Column | None = None) -> DataFrame:
+    """Artefacts that are no older than ``max_age`` seconds at ``as_of``; those without a time are dropped.
+
+    A given clock makes a replay keep the same rows; without one each micro-batch goes by the wall clock."""
+    now = F.current_timestamp() if as_of is None else as_of
+    return artefacts.where(~is_expired(stamp, now, max_age))
+
+
+def retain(
+    artefacts: DataFrame, output: str, checkpoint: str, stamp: str = "ts", max_age: int = MAX_AGE, as_of: Column | None = None
+) -> StreamingQuery:
+    """Writes what ``stream_retained`` keeps of all that has arrived to a Parquet folder, then ends.
+
+    The folder's log names each micro-batch once, so a restart or a repeated batch adds nothing twice."""
+    kept = stream_retained(artefacts, stamp, max_age, as_of)
+    sink = kept.writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint)
+    return sink.trigger(availableNow=True).start()
 
 
 def _existing(spark: SparkSession, path: str, schema: str) -> DataFrame:

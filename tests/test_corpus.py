@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from proofloom.functions.spread import running_offset, salted_join
 from proofloom.operators import corpus as co
+from proofloom.sources.documents import file_catalogue
 from proofloom.sources.responses import call_model, embed_texts
 from proofloom.streaming import jobs
 
@@ -117,3 +118,30 @@ def test_only_the_failing_prompt_is_lost(spark):
     for batch in (1, 3, 100):
         got = {r["request_id"]: r["response"] for r in call_model(rows, picky, "chat", batch).collect()}
         assert got == {"0": "A", "1": None, "2": "B", "3": None, "4": "C", "5": "D"}
+
+
+def test_retention_follows_its_clock_and_repeats_nothing(spark, tmp_path):
+    rows = [(1, at(0)), (2, at(99)), (3, at(100)), (4, None), (5, at(86_500))]
+    spark.createDataFrame(rows, "id long, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/a")
+
+    def run():
+        stream = spark.readStream.schema("id long, ts timestamp").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        jobs.retain(stream, f"{tmp_path}/out", f"{tmp_path}/log", as_of=F.lit(at(86_500))).awaitTermination()
+        return sorted(r.id for r in spark.read.schema("id long, ts timestamp").parquet(f"{tmp_path}/out").collect())
+
+    assert run() == [3, 5]
+    assert run() == [3, 5]
+    spark.createDataFrame([(6, at(50)), (7, at(200))], "id long, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/b")
+    assert run() == [3, 5, 7]
+
+
+def test_catalogue_names_every_file_and_rejects_other_kinds(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    for name in ("a.pdf", "B.PDF", "deep/c.docx", "d.txt", "none", "two.pdf.zip"):
+        (tmp_path / "in" / name).write_bytes(b"x" * len(name))
+    found = {r.path.split("/in/")[1]: r for r in file_catalogue(spark, f"{tmp_path}/in").collect()}
+    assert {k: (r.status, r.length) for k, r in found.items()} == {
+        "a.pdf": ("accepted", 5), "B.PDF": ("accepted", 5), "deep/c.docx": ("accepted", 11),
+        "d.txt": ("error", 5), "none": ("error", 4), "two.pdf.zip": ("error", 11),
+    }
+    assert found["d.txt"].message == "Unsupported file type: .txt" and found["none"].message == "Unsupported file type: "
