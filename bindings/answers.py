@@ -403,3 +403,30 @@ def m01(spark, d):
 
     rows = embed_texts(tb.chunks(spark, d).select("doc_id", "chunk_index", "text"), ["doc_id", "chunk_index"])
     return rows.select("doc_id", "chunk_index", F.size("embedding").alias("dim"))
+
+
+@query("s05_responses", """
+SELECT CAST(doc_id AS VARCHAR) AS request_id, 'answer' AS kind, 1 AS attempt,
+  CASE WHEN lang = 'fr' THEN NULL WHEN lang = 'es' THEN 'second ' || length(text) ELSE 'first ' || length(text) END AS response
+FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL""")
+def s05(spark, d):
+    """Two rounds of calls: the first fails for two languages, the second is sent what is left and fails for one."""
+    from proofloom.sources import responses as rs
+
+    docs = tb.documents(spark, d, "doc_id", "lang", "text").where("text IS NOT NULL AND lang IS NOT NULL")
+    requests = docs.select(F.col("doc_id").cast("string").alias("request_id"), F.lit(1).alias("attempt"), F.concat_ws("|", "lang", "text").alias("prompt"))
+
+    def model(name, failing):
+        def complete(prompts):
+            parted = [p.split("|", 1) for p in prompts]
+            if any(lang in failing for lang, _ in parted):
+                raise RuntimeError("no answer")
+            return [f"{name} {len(text)}" for _, text in parted]
+
+        return complete
+
+    path = f"{checkpoint_root(spark)}/responses-{uuid.uuid4().hex}"
+    rs.store_responses(rs.call_model(requests, model("first", ("fr", "es")), "answer"), path)
+    left = rs.pending(requests, rs.read_responses(spark, path), "answer")
+    rs.store_responses(rs.call_model(left, model("second", ("fr",)), "answer"), path)
+    return rs.responses_for(requests, rs.read_responses(spark, path), "answer")

@@ -52,6 +52,24 @@ def call_model(requests: DataFrame, complete: Callable[[list[str]], list[str | N
     )
 
 
+def pending(requests: DataFrame, held: DataFrame, kind: str) -> DataFrame:
+    """Requests without a stored response of this kind, told by request and attempt: only these need a call."""
+    done = held.where((F.col("kind") == kind) & F.col("response").isNotNull()).select("request_id", "attempt").distinct()
+    return requests.withColumn("request_id", F.col("request_id").cast("string")).join(done, ["request_id", "attempt"], "left_anti")
+
+
+def store_responses(responses: DataFrame, path: str) -> None:
+    """Adds what was answered to the stored responses; failed calls are left out and stay pending."""
+    responses.where(F.col("response").isNotNull()).write.mode("append").json(path)
+
+
+def responses_for(requests: DataFrame, held: DataFrame, kind: str) -> DataFrame:
+    """A row for every request; ``response`` is null where no call has succeeded. Of several the greatest counts."""
+    said = held.where(F.col("kind") == kind).groupBy("request_id", "attempt").agg(F.max("response").alias("response"))
+    asked = requests.select(F.col("request_id").cast("string").alias("request_id"), "attempt")
+    return asked.join(said, ["request_id", "attempt"], "left").select("request_id", F.lit(kind).alias("kind"), "attempt", "response")
+
+
 def hash_embedder(dim: int = 64):
     """Offline embedder: signed token hashing into ``dim`` buckets, unit length."""
 

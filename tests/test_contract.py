@@ -13,7 +13,7 @@ SAMPLE = (
     "p01_build_chunks", "p01_chunks_from_blocks", "w06_best_blocks", "p02_bm25_topk", "p03_cosine_topk", "p04_hybrid",
     "p05_rerank", "j07_phrase_tiers", "p12_locations", "p13_export", "s11_outline", "p10_parse_analyses", "p16_facts",
     "w12_attempt", "j14_citation_documents", "j15_occurrences", "p07_retry", "p17_interaction_log", "a22_analysis_request", "p13_export_with_follow_ups",
-    "p14_citations", "w14_sessions", "x02_retention_stream", "x03_ingest", "o01_global_top", "p06_chat_retrieve", "p17_model_events", "s03_lines", "t07_truncate", "p08_decomposition",
+    "p14_citations", "w14_sessions", "x02_retention_stream", "s05_responses", "x03_ingest", "o01_global_top", "p06_chat_retrieve", "p17_model_events", "s03_lines", "t07_truncate", "p08_decomposition",
 )
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from proofloom.functions.spread import running_offset, salted_join
 from proofloom.operators import corpus as co
 from proofloom.sources.documents import file_catalogue
-from proofloom.sources.responses import call_model, embed_texts
+from proofloom.sources.responses import call_model, embed_texts, pending, read_responses, responses_for, store_responses
 from proofloom.streaming import jobs
 
 
@@ -145,3 +145,21 @@ def test_catalogue_names_every_file_and_rejects_other_kinds(spark, tmp_path):
         "d.txt": ("error", 5), "none": ("error", 4), "two.pdf.zip": ("error", 11),
     }
     assert found["d.txt"].message == "Unsupported file type: .txt" and found["none"].message == "Unsupported file type: "
+
+
+def test_only_what_failed_is_asked_again(spark, tmp_path):
+    requests = spark.createDataFrame([(k, 1, f"p{k}") for k in range(70)] + [(3, 2, "again")], "request_id long, attempt int, prompt string")
+
+    def first(prompts):
+        if "p5" in prompts or "p69" in prompts:
+            raise RuntimeError
+        return [p.upper() for p in prompts]
+
+    path = f"{tmp_path}/said"
+    store_responses(call_model(requests, first, "k"), path)
+    left = pending(requests, read_responses(spark, path), "k")
+    assert sorted((r.request_id, r.attempt) for r in left.collect()) == [("5", 1), ("69", 1)]
+    assert pending(requests, read_responses(spark, path), "other").count() == 71
+    store_responses(call_model(left, lambda prompts: [None if p == "p5" else "late" for p in prompts], "k"), path)
+    found = {(r.request_id, r.attempt): r.response for r in responses_for(requests, read_responses(spark, path), "k").collect()}
+    assert len(found) == 71 and found["5", 1] is None and found["69", 1] == "late" and found["3", 2] == "AGAIN" and found["7", 1] == "P7"
