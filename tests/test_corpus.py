@@ -163,3 +163,10 @@ def test_only_what_failed_is_asked_again(spark, tmp_path):
     store_responses(call_model(left, lambda prompts: [None if p == "p5" else "late" for p in prompts], "k"), path)
     found = {(r.request_id, r.attempt): r.response for r in responses_for(requests, read_responses(spark, path), "k").collect()}
     assert len(found) == 71 and found["5", 1] is None and found["69", 1] == "late" and found["3", 2] == "AGAIN" and found["7", 1] == "P7"
+
+
+def test_salted_join_never_gathers_the_repeated_side(spark):
+    big = spark.range(100).select((F.col("id") % 3).alias("k"), "id")
+    other = spark.range(3).select(F.col("id").alias("k"), F.lit(1).alias("v"))
+    plan = salted_join(big, other, ["k"], ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
