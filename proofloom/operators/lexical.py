@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from proofloom.functions import text as tx
 from proofloom.functions.spread import first_rows, is_small, join_checked, long_range, salted_join
 from proofloom.session import checkpoint_root, stored
+from proofloom.sources.documents import explode_rows
 
 # Okapi parameters, the floor share for negative idf, digits that decide ranks.
 K1 = 1.5
@@ -75,18 +76,25 @@ def valid_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def token_table(chunks: DataFrame) -> DataFrame:
-    """Distinct terms with frequencies per chunk, counted inside the chunk's own row: no shuffle."""
-    tokens = valid_chunks(chunks).select("doc_id", "chunk_index", tx.words("text").alias("_tokens"))
+    """Distinct terms with frequencies per chunk, counted inside the chunk's own row: no shuffle.
+
+    Sorted tokens stand in runs of one term; a run ends where the next one starts. One sort and one pass a chunk.
+    """
+    tokens = valid_chunks(chunks).select("doc_id", "chunk_index", F.sort_array(tx.words("text")).alias("_tokens"))
+    size = F.size("_tokens")
+    # ``get`` gives null before the first token, so the first run starts there.
+    new = F.filter(F.transform("_tokens", lambda t, i: F.when(t.eqNullSafe(F.get("_tokens", i - 1)), F.lit(None)).otherwise(i)), lambda i: i.isNotNull())
+    runs = tokens.select("doc_id", "chunk_index", size.alias("n_tokens"), "_tokens", new.alias("_starts"))
     counted = F.transform(
-        F.array_distinct("_tokens"),
-        lambda t: F.struct(t.alias("term"), (F.size("_tokens") - F.size(F.array_remove("_tokens", t))).alias("tf")),
+        "_starts",
+        lambda at, n: F.struct(F.get("_tokens", at).alias("term"), (F.coalesce(F.get("_starts", n + 1), size) - at).alias("tf")),
     )
-    return tokens.select("doc_id", "chunk_index", F.size("_tokens").alias("n_tokens"), counted.alias("terms"))
+    return runs.select("doc_id", "chunk_index", "n_tokens", counted.alias("terms"))
 
 
 def postings_of(tokens: DataFrame) -> DataFrame:
-    return tokens.select("doc_id", "chunk_index", "n_tokens", F.explode("terms").alias("t")).select(
-        "doc_id", "chunk_index", "t.term", "t.tf", "n_tokens"
+    return explode_rows(tokens, F.col("terms"), "doc_id", "chunk_index", "n_tokens").select(
+        "doc_id", "chunk_index", "item.term", "item.tf", "n_tokens"
     )
 
 
@@ -119,7 +127,7 @@ def document_statistics(chunk_lengths: DataFrame, term_stats: DataFrame) -> Data
         .groupBy("doc_id")
         .agg((F.sum(raw_idf() * F.col("n_terms")) / F.sum("n_terms")).alias("mean_idf"))
     )
-    return sizes.join(mean, "doc_id", "left")
+    return sizes.join(mean.hint("merge"), "doc_id", "left")
 
 
 def term_bucket(term: str = "term"):
@@ -128,8 +136,9 @@ def term_bucket(term: str = "term"):
 
 def counted_blocks(chunks: DataFrame) -> DataFrame:
     """Postings in blocks (doc_id, term, segment, df, lead, entries): one shuffle by document and term."""
-    words = valid_chunks(chunks).select("doc_id", "chunk_index", tx.words("text").alias("_words"))
-    laid = words.select("doc_id", "chunk_index", F.size("_words").alias("n_tokens"), F.explode("_words").alias("term")).repartition("doc_id", "term")
+    words = valid_chunks(chunks).select("doc_id", "chunk_index", tx.words("text").alias("_words")).withColumn("n_tokens", F.size("_words"))
+    rows = explode_rows(words, F.col("_words"), "doc_id", "chunk_index", "n_tokens", alias="term")
+    laid = rows.select("doc_id", "chunk_index", "n_tokens", "term").repartition("doc_id", "term")
     counted = laid.groupBy("doc_id", "term", "chunk_index", "n_tokens").agg(F.count("*").alias("tf"))
     blocks = counted.groupBy("doc_id", "term", F.floor(F.col("chunk_index") / SEGMENT).alias("segment")).agg(
         F.collect_list(F.struct("chunk_index", "tf", "n_tokens")).alias("entries")
@@ -293,6 +302,6 @@ def bm25_top_k(queries: DataFrame, index: LexicalIndex, k: int = TOP_K, scope: D
         F.filter("hits", lambda h: h["chunk_index"] >= 0),
         F.transform(free, lambda c: F.struct(c.alias("chunk_index"), F.lit(0.0).alias("score"))),
     )
-    found = hits.join(index.segments.select("doc_id", "segment", "members"), ["doc_id", "segment"])
+    found = hits.join(index.segments.select("doc_id", "segment", "members").hint("merge"), ["doc_id", "segment"])
     flat = found.select("query_id", "doc_id", F.explode(offers).alias("o")).select("query_id", "doc_id", "o.*")
     return first_rows(flat, ["query_id", "doc_id"], [F.desc("score"), F.asc("chunk_index")], k)

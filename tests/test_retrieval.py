@@ -205,3 +205,10 @@ def test_plan_has_no_nested_loop_and_prunes_columns(spark, tmp_path):
     found = retrieve.bm25(ask(spark, "words"), chunk_rows(spark, ["some words", "other"]), 1)
     text = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text and "WindowGroupLimit" in text
+
+
+def test_term_frequencies_split_each_text_once(spark):
+    table = lexical.postings_of(lexical.token_table(chunk_rows(spark, ["b a  B c", " ", "c"])))
+    assert table._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    rows = sorted((r["chunk_index"], r["term"], r["tf"], r["n_tokens"]) for r in table.collect())
+    assert rows == [(0, "a", 1, 4), (0, "b", 2, 4), (0, "c", 1, 4), (2, "c", 1, 1)]
