@@ -234,3 +234,27 @@ def test_occurrences_have_the_rectangles_of_their_blocks(spark):
     assert {m for m, *_ in places[2, "again, at the very end"]} == {"fuzzy_chunk_fallback_individual"}
     plain = spark.createDataFrame([("a.b (c) \\E d*", "x A.B (c) \\e d* a.b (c) \\E d*"), ("-[^]", "q-[^]-[^]")], "p string, t string")
     assert [r[0] for r in plain.select(v.occurrences(F.col("t"), F.col("p"))).collect()] == [[2, 16], [1, 5]]
+
+
+def test_only_long_documents_repeat_their_phrase_blocks(spark, monkeypatch):
+    monkeypatch.setattr(v, "CHUNK_SPAN", 2)
+    texts = spark.createDataFrame([(1, 0, "alpha beta")] + [(2, i, f"gamma number {i}") for i in range(5)], "doc_id long, chunk_index int, norm_text string")
+    phrases = spark.createDataFrame([(1, "beta", "beta"), (2, "gamma", "gamma"), (2, "4 gamma", "4 gamma"), (3, "lost", "lost")], "doc_id long, phrase string, norm_phrase string")
+    spans = texts.groupBy("doc_id").agg(v.text_span(F.max("chunk_index")).alias("last"))
+    blocks = v.phrase_blocks(phrases, "norm_phrase", spans)
+    assert sorted((r["doc_id"], r["_span"]) for r in blocks.collect()) == [(1, 0), (2, 0), (2, 1), (2, 2)]
+    found = v.fuzzy_matches(phrases, texts, "norm_phrase", 85, fuzzy=False)
+    assert sorted((r["doc_id"], r["chunk_index"], r["phrase"]) for r in found.collect()) == [
+        (1, 0, "beta"), *[(2, i, "gamma") for i in range(4)], (2, 4, "4 gamma"), (2, 4, "gamma"),
+    ]
+
+
+def test_places_move_each_text_once(spark):
+    chunks = spark.createDataFrame([(1, 0, 0, "one two", [(0.0, 0.0, 9.0, 9.0)])], "doc_id long, chunk_index int, page_num int, text string, bboxes array<struct<x0:double,y0:double,x1:double,y1:double>>")
+    phrases = spark.createDataFrame([(1, "two", "two")], "doc_id long, phrase string, search_phrase string")
+    matches = spark.createDataFrame([(1, 0, "two", 100)], "doc_id long, chunk_index int, phrase string, match_score int")
+    rows = v.locate_single(matches, phrases, chunks)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if " Exchange " in line]
+    assert len(moved) == 4  # matches, phrases, their join, and the texts
+    assert [(r["method"], r["offset"]) for r in rows.collect()] == [("exact_cleaned_search", 4)]
