@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from proofloom.functions import fuzzy
+from proofloom.operators import chunking as ch
 from proofloom.operators import export as ex
 from proofloom.operators import facts as fa
 from proofloom.operators import sections as se
@@ -258,3 +259,10 @@ def test_places_move_each_text_once(spark):
     moved = [line for line in plan.splitlines() if " Exchange " in line]
     assert len(moved) == 4  # matches, phrases, their join, and the texts
     assert [(r["method"], r["offset"]) for r in rows.collect()] == [("exact_cleaned_search", 4)]
+
+
+def test_page_pairs_fetch_texts_for_page_breaks_only(spark):
+    rows = [(1, 0, 0, "a", BOX), (1, 1, 0, "b", BOX), (1, 2, 1, "c", BOX), (1, 3, 3, "d", BOX), (2, 0, 0, "e", BOX)]
+    pairs = ch.next_page_pairs(spark.createDataFrame(rows, CHUNKS))
+    assert pairs._jdf.queryExecution().executedPlan().toString().count("LeftSemi") == 2
+    assert [(r["doc_id"], r["chunk_index"], r["text"]) for r in pairs.collect()] == [(1, 1, "b c")]
