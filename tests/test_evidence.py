@@ -266,3 +266,22 @@ def test_page_pairs_fetch_texts_for_page_breaks_only(spark):
     pairs = ch.next_page_pairs(spark.createDataFrame(rows, CHUNKS))
     assert pairs._jdf.queryExecution().executedPlan().toString().count("LeftSemi") == 2
     assert [(r["doc_id"], r["chunk_index"], r["text"]) for r in pairs.collect()] == [(1, 1, "b c")]
+
+
+def test_written_chunks_and_parsed_answers_are_stored_once(spark, monkeypatch):
+    from proofloom.plans import verify as plan
+
+    names = []
+    keep = lambda df, name="table": names.append(name) or df
+    for module in (plan, se):
+        monkeypatch.setattr(module, "stored", keep, raising=False)
+    monkeypatch.setattr(v, "match_passes", lambda phrases, chunks, fuzzy: (matches, matches, matches))
+    chunks = spark.createDataFrame([(1, 0, 0, "one two", BOX)], CHUNKS)
+    matches = spark.createDataFrame([(1, 0, "two", 100)], "doc_id long, chunk_index int, phrase string, match_score int")
+    phrases = spark.createDataFrame([(1, "section_1_a", "two")], "doc_id long, section_key string, phrase string")
+    plan.verify_phrases(phrases, chunks, False, written=True)
+    assert names == ["phrases"]
+    answers = spark.createDataFrame([("r", '{"analyses":[{"analysis_summary":"s"}]}')], "request_id string, response string")
+    asked = spark.createDataFrame([("r", 1, "t", "p")], "request_id string, number int, title string, sub_prompt string")
+    se.parse_analyses(answers, asked)
+    assert names == ["phrases", "read"]
