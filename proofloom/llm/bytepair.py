@@ -27,7 +27,7 @@ from proofloom.llm.tables import joined, kept_for, mapped
 
 UNKNOWN = "�".encode()
 NOT_CUT = re.compile(r" (?=\s|$|\Z)")
-CACHE_PIECES = 100_000
+CACHED_PAIRS, CACHED_WORDS, CACHED_PIECES = 200_000, 150_000, 50_000
 CACHED_BYTES = 64
 SLICE = 1 << 16
 CUT = re.compile(r" (?=\S)")
@@ -50,8 +50,10 @@ class Vocabulary:
                 if left is not None and right is not None:
                     self.pairs[left << SHIFT | right] = rank
         self.ending = ahocorasick.Automaton()
+        self.reached: dict[bytes, int] = {}
         for token, rank in ranks.items():
             if self.merged(token) == [rank]:
+                self.reached[token] = rank
                 self.ending.add_word(token.decode("latin-1"), (rank, len(token)))
         self.ending.make_automaton()
         self.longest = max(map(len, ranks))
@@ -76,12 +78,45 @@ class Vocabulary:
         known = self.apart.get(left << SHIFT | right)
         if known is None:
             known = left << SHIFT | right not in self.pairs and self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
-            if len(self.apart) > 2 * CACHE_PIECES:
+            if len(self.apart) > CACHED_PAIRS:
                 self.apart.clear()
             self.apart[left << SHIFT | right] = known
         return known
 
 
+class AskedPrefixes:
+    """The last tokens of those prefixes of a short piece that the end of the piece depends on."""
+
+    def __init__(self, vocabulary: Vocabulary, data: bytes):
+        self.vocabulary, self.data = vocabulary, data
+        self.last: dict[int, tuple[int, int]] = {}
+
+    def at(self, end: int) -> int:
+        """Tries the tokens that end here, the longest first, against the last token before each."""
+        data, last, token_of, known = self.data, self.last, self.vocabulary.reached, self.vocabulary.apart
+        for start in range(max(0, end - self.vocabulary.longest), end):
+            piece = data[start:end]
+            if piece in token_of:
+                token = token_of[piece]
+                if start:
+                    before = last[start][0] if start in last else self.at(start)
+                    pair = before << SHIFT | token
+                    if not (known[pair] if pair in known else self.vocabulary.stay_apart(before, token)):
+                        continue
+                last[end] = token, start
+                return token
+        raise ValueError("no token ends here")
+
+    def ids(self) -> list[int]:
+        end, out = len(self.data), []
+        if end:
+            self.at(end)
+        while end:
+            token, end = self.last[end]
+            out.append(token)
+        return out[::-1]
+
+
 class PrefixTable:
     """The last token of every prefix of one piece."""
 
@@ -95,18 +130,22 @@ class PrefixTable:
         """Tries the tokens that end at each new byte, the longest first; one of them is the last one."""
         self.data += more
         last, known, apart = self.last, self.vocabulary.apart, self.vocabulary.stay_apart
-        skip = max(0, len(last) - 1 - self.vocabulary.longest)
+        done = len(last)
+        skip = max(0, done - 1 - self.vocabulary.longest)
         for at, (token, size) in self.vocabulary.ending.iter(self.data[skip:].decode("latin-1")):
             end = at + skip + 1
-            if end < len(last):
+            if end < done:
                 continue
-            if end == size:
-                last.append(token)
-                continue
-            before = last[end - size]
-            fits = known.get(before << SHIFT | token)
-            if fits or fits is None and apart(before, token):
-                last.append(token)
+            if end != size:
+                before = last[end - size]
+                try:
+                    fits = known[before << SHIFT | token]
+                except KeyError:
+                    fits = apart(before, token)
+                if not fits:
+                    continue
+            last.append(token)
+            done += 1
 
     def replace(self, start: int, stop: int, new: bytes) -> None:
         """Puts ``new`` in place of the bytes from start to stop; what stands before keeps its table."""
@@ -154,31 +193,46 @@ class TextEncoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, spaced: bool = False):
         self.vocabulary = Vocabulary(ranks)
-        self.split: Callable[[str], Iterable[str]] = regex.compile(pattern).findall
+        self.split: Callable[[str], list[str]] = regex.compile(pattern).findall
         self.spaced = spaced
-        self.known = Recent(CACHE_PIECES)
-        self.words = Recent(CACHE_PIECES)
+        self.known = Recent(CACHED_PIECES)
+        self.words = Recent(CACHED_WORDS)
 
     def piece(self, text: str) -> bytes:
         packed = self.known.again(text)
         if packed is not None:
             return packed
-        data = text.encode()
-        whole = self.vocabulary.ranks.get(data)
-        ids = PrefixTable(self.vocabulary, data).ids() if whole is None else [whole]
-        packed = struct.pack(f"<{len(ids)}i", *ids)
-        if len(data) <= CACHED_BYTES:
+        # A word that also stands alone is kept among the words.
+        packed = self.words.newer.get(text[1:]) if text[0] == " " and text[1:].isalpha() else None
+        if packed is not None:
+            return packed
+        packed = self.coded(text)
+        if len(text) <= CACHED_BYTES:
             self.known.put(text, packed)
         return packed
 
+    def coded(self, text: str) -> bytes:
+        data = text.encode()
+        whole = self.vocabulary.ranks.get(data)
+        if whole is None:
+            ids = (AskedPrefixes if len(data) <= CACHED_BYTES else PrefixTable)(self.vocabulary, data).ids()
+        else:
+            ids = [whole]
+        return struct.pack(f"<{len(ids)}i", *ids)
+
     def by_pattern(self, text: str) -> bytes:
+        return self.pieces(self.split(text))
+
+    def pieces(self, parts: Iterable[str]) -> bytes:
         known, piece = self.known.newer.get, self.piece
-        return b"".join([known(p) or piece(p) for p in self.split(text)])
+        return b"".join([known(p) or piece(p) for p in parts])
 
     def word(self, text: str) -> bytes:
         packed = self.words.again(text)
         if packed is None:
-            packed = self.by_pattern(" " + text)
+            parts = self.split(" " + text)
+            # A word of one piece is kept once, as a word.
+            packed = self.coded(parts[0]) if len(parts) == 1 else self.pieces(parts)
             if len(text) <= CACHED_BYTES:
                 self.words.put(text, packed)
         return packed
