@@ -33,7 +33,7 @@ from proofloom.llm.neardup import mixed
 from proofloom.llm.tables import release, text_key
 
 SIZE, PIECE = 50, 20
-SLICE = 1 << 18
+SLICE = 1 << 16
 FLUSH = 8 << 20
 BUCKET_BYTES = 6 << 20
 MOST_TABLE_BITS = 1 << 29
@@ -171,7 +171,9 @@ def segments(texts: list[bytes], size: int, marked: bool = True) -> list[np.ndar
     sizes = np.array([len(t) for t in texts])
     ends = np.cumsum(sizes)
     parts = [_slice(data[begin : begin + SLICE + size - 1], begin, ends, size, marked) for begin in range(0, len(data) - size + 1, SLICE)]
-    least, one, two, at, length = (np.concatenate(c) for c in zip(*parts, strict=True))
+    columns = list(zip(*parts, strict=True))
+    del parts
+    least, one, two, at, length = (np.concatenate(columns.pop(0)) for _ in range(5))
     row = np.searchsorted(ends, at, "right")
     return [least, one, two, at - (ends - sizes)[row], length, row]
 
@@ -226,35 +228,42 @@ def _texts(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[tuple[list[
                 texts, ids, versions, total = [], [], [], 0
     if texts:
         yield texts, np.array(ids, np.int64), np.array(versions, np.int64)
+    del texts, ids, versions
+    release()
 
 
 def _minimizers(batches: Iterable[pa.RecordBatch], size: int, buckets: int, listed: bool, one_of: int) -> Iterator[pa.RecordBatch]:
     """Per bucket the distinct minimizers of a group of texts and whether several documents have them, if they
     are to be listed, and minimizer, mark and windows of a sample of the distinct segments."""
-    pack = zstandard.ZstdCompressor(1).compress
     bounds = (np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(buckets)
     for texts, ids, _ in _texts(batches, size):
-        least, mark, _, _, length, row = segments(texts, size)
-        some = np.flatnonzero(mark % np.uint64(one_of) == 0)
-        sample = np.unique(np.column_stack([mixed(least[some]), mark[some], (length[some] - size + 1).astype(np.uint64)]), axis=0)
-        ends = np.searchsorted(sample[:, 0] >> np.uint64(32), bounds)
-        value, several, cut = np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(buckets + 1, np.int64)
-        if listed:
-            doc = ids[row]
-            order = np.argsort(least, kind="stable")
-            least, doc = least[order], doc[order]
-            first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-            several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-            value = mixed(least[first])
-            order = np.argsort(value)
-            value, several = value[order], several[order]
-            cut = np.searchsorted(value >> np.uint64(32), bounds)
-        rows = []
-        for k, (a, b, c, d) in enumerate(zip(cut[:-1], cut[1:], ends[:-1], ends[1:], strict=True)):
-            if b > a or d > c:
-                rows.append((k, pack(np.diff(value[a:b], prepend=np.uint64(0)).tobytes() + several[a:b].tobytes()), pack(sample[c:d].tobytes())))
-        kinds = (pa.int32(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "packed", "sample"])
+        yield _listing(texts, ids, size, bounds, listed, one_of)
+
+
+def _listing(texts: list[bytes], ids: np.ndarray, size: int, bounds: np.ndarray, listed: bool, one_of: int) -> pa.RecordBatch:
+    pack = zstandard.ZstdCompressor(1).compress
+    least, mark, _, _, length, row = segments(texts, size)
+    some = np.flatnonzero(mark % np.uint64(one_of) == 0)
+    sample = np.unique(np.column_stack([mixed(least[some]), mark[some], (length[some] - size + 1).astype(np.uint64)]), axis=0)
+    del mark, length
+    ends = np.searchsorted(sample[:, 0] >> np.uint64(32), bounds)
+    value, several, cut = np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(len(bounds), np.int64)
+    if listed:
+        doc = ids[row]
+        order = np.argsort(least, kind="stable")
+        least, doc = least[order], doc[order]
+        first = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+        several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+        value = mixed(least[first])
+        order = np.argsort(value)
+        value, several = value[order], several[order]
+        cut = np.searchsorted(value >> np.uint64(32), bounds)
+    rows = []
+    for k, (a, b, c, d) in enumerate(zip(cut[:-1], cut[1:], ends[:-1], ends[1:], strict=True)):
+        if b > a or d > c:
+            rows.append((k, pack(np.diff(value[a:b], prepend=np.uint64(0)).tobytes() + several[a:b].tobytes()), pack(sample[c:d].tobytes())))
+    kinds = (pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["bucket", "packed", "sample"])
 
 
 def _repeated(rows: pd.DataFrame, bits: int, hot: int, one_of: int) -> pd.DataFrame:
@@ -497,14 +506,34 @@ def cut(text: Column, spans: Column) -> Column:
     return F.arrow_udf(kept, "struct<kept:binary,runs:binary>")(text, spans)
 
 
-def valid_text(data: Column) -> Column:
-    """Bytes as text, without characters that are not whole."""
+def left_over(text: Column, spans: Column) -> Column:
+    """(text, cut): a text without the spans and without characters that a cut splits, and whether it had any.
+
+    Marked as not deterministic, so that a filter on the result does not bring a second run of it in the same task."""
+
+    def kept(text: pa.Array, spans: pa.Array) -> pa.Array:
+        out, cut = [], []
+        for data, found in zip(text.to_pylist(), spans.to_pylist(), strict=True):
+            cut.append(bool(found))
+            if found:
+                whole, at, parts = (data or "").encode(), 0, []
+                for start, stop in merged_spans([s["start"] for s in found], [s["stop"] for s in found]):
+                    parts.append(whole[at:start])
+                    at = stop
+                data = b"".join([*parts, whole[at:]]).decode("utf-8", "ignore")
+            out.append(data)
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(cut, pa.bool_())], ["text", "cut"])
+
+    kept.__annotations__ = {"text": pa.Array, "spans": pa.Array, "return": pa.Array}
+    return F.arrow_udf(kept, "struct<text:string,cut:boolean>").asNondeterministic()(text, spans)
 
-    def read(data: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else x.decode("utf-8", "ignore") for x in data.to_pylist()], pa.string())
 
-    read.__annotations__ = {"data": pa.Array, "return": pa.Array}
-    return F.arrow_udf(read, "string")(data)
+def with_spans(docs: DataFrame, size: int, doc_id: str, text: str) -> DataFrame:
+    """``docs`` with the repeated spans of each text in ``__spans``."""
+    per = repeat_spans(docs, size, doc_id, text).groupBy("doc", "version").agg(F.collect_set(F.struct("start", "stop")).alias("__spans"))
+    per = per.withColumnsRenamed({"doc": "__doc", "version": "__version"})
+    on = (F.col(doc_id).cast("bigint") == F.col("__doc")) & (_version(F.col(text)) == F.col("__version"))
+    return docs.join(per, on, "left").drop("__doc", "__version")
 
 
 def without_repeats(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str = "text", kept: str = "kept_bytes", runs: str = "runs") -> DataFrame:
@@ -513,18 +542,13 @@ def without_repeats(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", t
 
     Null, empty and short texts lose nothing; rows without an id are neither sources nor changed; rows that
     repeat an id are no sources for each other, and repeated rows are all treated alike."""
-    per = repeat_spans(docs, size, doc_id, text).groupBy("doc", "version").agg(F.collect_set(F.struct("start", "stop")).alias("__spans"))
-    per = per.withColumnsRenamed({"doc": "__doc", "version": "__version"})
-    on = (F.col(doc_id).cast("bigint") == F.col("__doc")) & (_version(F.col(text)) == F.col("__version"))
-    found = docs.join(per, on, "left").withColumn("__cut", cut(F.col(text), F.col("__spans")))
-    return found.withColumns({kept: F.col("__cut.kept"), runs: F.col("__cut.runs")}).drop("__doc", "__version", "__spans", "__cut")
+    found = with_spans(docs, size, doc_id, text).withColumn("__cut", cut(F.col(text), F.col("__spans")))
+    return found.withColumns({kept: F.col("__cut.kept"), runs: F.col("__cut.runs")}).drop("__spans", "__cut")
 
 
 def deduplicated_text(docs: DataFrame, size: int = SIZE, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with its columns and the repeated passages gone from the text; a character that a cut splits
     goes with it. Documents of which nothing but white space is left are dropped; untouched ones all stay."""
-    found = without_repeats(docs, size, doc_id, text, "__kept", "__runs")
-    whole = F.when(F.col("__runs").isNull(), F.col(text)).otherwise(valid_text(F.col("__kept")))
-    found = found.withColumn(text, whole).where(F.col("__runs").isNull() | (F.length(F.trim(F.col(text))) > 0))
-    return found.drop("__kept", "__runs")
-
+    found = with_spans(docs, size, doc_id, text).withColumn("__left", left_over(F.col(text), F.col("__spans")))
+    found = found.withColumn(text, F.col("__left.text")).where(~F.col("__left.cut") | (F.length(F.trim(F.col(text))) > 0))
+    return found.drop("__spans", "__left")

@@ -60,7 +60,8 @@ def kept_for(key: object, build: Callable[[], object]) -> object:
 
 
 def release() -> None:
-    """Tasks of another kind give back what their worker kept, to the system where it can take it."""
+    """Tasks of another kind give back what their worker kept, to the system where it can take it. Big tasks do so
+    again at their end, since an idle worker's memory counts too."""
     KEPT.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -76,9 +77,12 @@ def mapped(make: Callable[[], Callable[[pa.Array], pa.Array]], returns: str, kee
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if not keeps:
             release()
-        one = make()
+        one, batch = make(), None
         for batch in batches:
             yield one(batch)
+        if not keeps:
+            one = batch = None
+            release()
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, returns)
