@@ -9,12 +9,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proofloom.functions.spread import first_rows, is_small, long_range, salted_join
+from proofloom.functions.spread import first_rows, is_small, join_checked, long_range, salted_join
 from proofloom.operators.lexical import RANK_DIGITS, TOP_K
 
 QUERY_VECTORS = 2048
 CHUNK_SLICE = 20_000
 CELLS = 2_000_000
+# Documents within so many chunk numbers are ranked whole in one task, where so many queries make that pay.
+SPAN = 4096
+FEW_QUERIES = 16
 SCORED = "query_id long, doc_id long, chunk_index int, score double"
 
 
@@ -56,6 +59,19 @@ def _unit(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return matrix[usable] / norm[usable, None], usable
 
 
+def _first_k(scores: np.ndarray, k: int) -> np.ndarray:
+    """Which rows are among the ``k`` highest of their column, the upper ones of equals."""
+    down = -scores.T
+    if np.isnan(down).any():
+        return (np.argsort(np.argsort(down, axis=1, kind="stable"), axis=1, kind="stable") < k).T
+    bar = np.partition(down, k - 1, axis=1)[:, k - 1 : k]
+    keep = down <= bar
+    for row in np.flatnonzero(keep.sum(axis=1) > k):
+        ties = np.flatnonzero(down[row] == bar[row])
+        keep[row, ties[k - np.count_nonzero(down[row] < bar[row]) :]] = False
+    return keep.T
+
+
 def _best_of(scores: np.ndarray, docs: np.ndarray, index: np.ndarray, queries: np.ndarray, k: int) -> pa.Table:
     """Up to k rows per (query, document) of one batch: a partial result, finished by a window."""
     order = np.lexsort((index, docs))
@@ -64,9 +80,7 @@ def _best_of(scores: np.ndarray, docs: np.ndarray, index: np.ndarray, queries: n
     sizes = np.diff(np.r_[starts, len(docs)])
     keep = np.ones(scores.shape, dtype=bool)
     for start, size in zip(starts[sizes > k], sizes[sizes > k]):
-        part = scores[start : start + size]
-        ranks = np.argsort(np.argsort(-part, axis=0, kind="stable"), axis=0, kind="stable")
-        keep[start : start + size] = ranks < k
+        keep[start : start + size] = _first_k(scores[start : start + size], k)
     row, col = np.nonzero(keep)
     return pa.table(
         {
@@ -93,11 +107,55 @@ def _rank_batches(batches: Iterator[pa.RecordBatch], ids: np.ndarray, unit: np.n
             yield from _best_of(chunk @ unit[part].T, docs, index, ids[part], k).to_batches(max_chunksize=65536)
 
 
+def _ranked_documents(batches: Iterator[pa.RecordBatch], ids: np.ndarray, unit: np.ndarray, k: int):
+    """The k best chunks with their ranks per (query, document), for rows in document and chunk order."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
+        last = int(np.searchsorted(docs, docs[-1], "left"))
+        if last:
+            yield from _documents(pa.Table.from_batches([*held, batch.slice(0, last)]), ids, unit, k)
+            held = []
+        held.append(batch.slice(last))
+        if held[0].column("doc_id")[0].as_py() != docs[-1]:
+            yield from _documents(pa.Table.from_batches(held[:-1]), ids, unit, k)
+            held = held[-1:]
+    if held:
+        yield from _documents(pa.Table.from_batches(held), ids, unit, k)
+
+
+def _documents(rows: pa.Table, ids: np.ndarray, unit: np.ndarray, k: int):
+    chunk, usable = _unit(_matrix(rows["embedding"], rows.num_rows))
+    docs, index = (rows[name].to_numpy()[usable] for name in ("doc_id", "chunk_index"))
+    if not len(docs):
+        return
+    starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
+    stops = np.r_[starts[1:], len(docs)]
+    step = max(1, CELLS // len(chunk))
+    for at in range(0, len(ids), step):
+        asked = ids[at : at + step]
+        scores = np.round(unit[at : at + step] @ chunk.T, RANK_DIGITS)
+        down = np.where(np.isnan(scores), -np.inf, -scores)  # in Spark's order not-a-number is the highest
+        places = [np.argsort(down[:, a:b], axis=1, kind="stable")[:, :k] + a for a, b in zip(starts.tolist(), stops.tolist())]
+        row = np.concatenate([p.ravel() for p in places])
+        width = np.array([p.shape[1] for p in places])
+        col = np.concatenate([np.repeat(np.arange(len(asked)), n) for n in width.tolist()])
+        rank = np.concatenate([np.tile(np.arange(1, n + 1, dtype=np.int32), len(asked)) for n in width.tolist()])
+        columns = (pa.array(asked[col], pa.int64()), pa.array(docs[row], pa.int64()), pa.array(index[row], pa.int32()), pa.array(scores[col, row], pa.float64()), pa.array(rank))
+        yield from pa.table(dict(zip(("query_id", "doc_id", "chunk_index", "score", "rank"), columns))).to_batches(max_chunksize=65536)
+
+
 def _by_broadcast(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Query vectors proven few: one matrix product per Arrow batch, pairs never materialise."""
+    """Query vectors proven few: one matrix product per Arrow batch, pairs never materialise.
+
+    Unless very few queries ask, chunks move to their document's task once and come out ranked, so that only chunks
+    are shuffled, not scores. Documents of more than SPAN chunk numbers stay spread: their batches pass on k rows."""
+    order = [F.desc("score"), F.asc("chunk_index")]
     local = queries.select("query_id", "embedding").toPandas()
     if local.empty:
-        return chunks.sparkSession.createDataFrame([], SCORED)
+        return chunks.sparkSession.createDataFrame([], f"{SCORED}, rank int")
     unit, usable = _unit(np.stack(local["embedding"].to_numpy()).astype(np.float64))
     shared = chunks.sparkSession.sparkContext.broadcast((local["query_id"].to_numpy()[usable], unit))
 
@@ -105,7 +163,23 @@ def _by_broadcast(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         ids, matrix = shared.value
         yield from _rank_batches(batches, ids, matrix, k)
 
-    return chunks.select("doc_id", "chunk_index", "embedding").mapInArrow(score, SCORED)
+    def rank(batches):
+        ids, matrix = shared.value
+        yield from _ranked_documents(batches, ids, matrix, k)
+
+    rows = chunks.select("doc_id", "chunk_index", "embedding")
+    if len(local) < FEW_QUERIES:
+        return first_rows(rows.mapInArrow(score, SCORED), ["query_id", "doc_id"], order, k)
+    far = (F.col("chunk_index") < 0) | (F.col("chunk_index") >= SPAN)
+    long = rows.where(far).select("doc_id").distinct()
+    some = not long.isEmpty()
+    short = join_checked(rows, long, ["doc_id"], ["chunk_index"], "left_anti") if some else rows
+    laid = short.repartition("doc_id").sortWithinPartitions("doc_id", "chunk_index")
+    ranked = laid.mapInArrow(rank, f"{SCORED}, rank int")
+    if not some:
+        return ranked
+    spread = join_checked(rows, long, ["doc_id"], ["chunk_index"], "left_semi").mapInArrow(score, SCORED)
+    return ranked.unionByName(first_rows(spread, ["query_id", "doc_id"], order, k))
 
 
 def _by_grid(chunks: DataFrame, queries: DataFrame, k: int, block: int, slice_rows: int) -> DataFrame:
@@ -174,9 +248,8 @@ def semantic_top_k(
     if scope is not None:
         return _by_scope(wanted, usable, scope, k)
     if is_small(wanted, query_limit):
-        scored = _by_broadcast(usable, wanted, k)
-    else:
-        scored = _by_grid(usable, wanted, k, block, slice_rows)
+        return _by_broadcast(usable, wanted, k)
+    scored = _by_grid(usable, wanted, k, block, slice_rows)
     return first_rows(scored, ["query_id", "doc_id"], [F.desc("score"), F.asc("chunk_index")], k)
 
 
