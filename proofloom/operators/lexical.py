@@ -294,7 +294,7 @@ def bm25_top_k(queries: DataFrame, index: LexicalIndex, k: int = TOP_K, scope: D
         asked = join_checked(asked, shut, ["query_id", "doc_id", "segment"], ["term"], "left_anti")
         # Where k segments have a chunk above 0, segments without any hit offer nothing.
         idle = join_checked(asked.where(F.col("term") == EVERY).select("query_id", "doc_id", "segment"), full, ["query_id", "doc_id"], ["segment"], "left_semi")
-        idle = idle.join(met, ["query_id", "doc_id", "segment"], "left_anti")
+        idle = idle.join(met.hint("merge"), ["query_id", "doc_id", "segment"], "left_anti")
         asked = join_checked(asked, idle, ["query_id", "doc_id", "segment"], ["term"], "left_anti")
     hits = _summed(asked).groupBy("query_id", "doc_id", "segment").agg(F.collect_list(F.struct("chunk_index", "score")).alias("hits"))
     free = F.slice(F.array_except("members", F.col("hits.chunk_index")), 1, k)

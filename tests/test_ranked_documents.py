@@ -28,3 +28,16 @@ def test_first_rows_of_columns_with_ties():
         scores = rng.integers(0, 4, (40, 30)).astype(float)
         ranks = np.argsort(np.argsort(-scores, axis=0, kind="stable"), axis=0, kind="stable")
         assert (semantic._first_k(scores, k) == (ranks < k)).all()
+
+
+def test_joins_of_texts_and_scores_are_not_broadcast(spark, tmp_path):
+    """Compressed files make texts look small; the driver must not gather them."""
+    from proofloom.operators import fusion
+
+    spark.range(50).selectExpr("id AS doc_id", "0 AS chunk_index", "repeat('x', 1000) AS text").write.parquet(f"{tmp_path}/c")
+    chunks = spark.read.parquet(f"{tmp_path}/c")
+    rows = spark.range(50).selectExpr("id % 5 AS query_id", "id AS doc_id", "0 AS chunk_index")
+    scores = rows.selectExpr("query_id", "doc_id", "chunk_index", "0.5D AS rerank_score")
+    for joined in (fusion.attach_text(rows, chunks, "text"), fusion.attach_scores(rows, scores)):
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 50
