@@ -13,8 +13,15 @@ from proofloom.functions.spread import first_rows, is_small, join_checked, long_
 from proofloom.operators.lexical import RANK_DIGITS, TOP_K
 
 QUERY_VECTORS = 2048
-CHUNK_SLICE = 20_000
-CELLS = 2_000_000
+# A cell of the grid: queries and chunks at most. Wide cells repeat the vectors and the partial results less often.
+QUERY_BLOCK = 8192
+LEAST_BLOCK = 256
+CHUNK_SLICE = 81_920
+CELLS = 4_000_000
+# Columns that share a highest score, and how many times k scores of a row may reach the bar before ties are counted.
+GROUP = 16
+MANY = 8
+PAIRS = 65_536
 # Documents within so many chunk numbers are ranked whole in one task, where so many queries make that pay.
 SPAN = 4096
 FEW_QUERIES = 16
@@ -61,38 +68,55 @@ def _unit(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _first_k(scores: np.ndarray, k: int) -> np.ndarray:
     """Which rows are among the ``k`` highest of their column, the upper ones of equals."""
-    down = -scores.T
-    if np.isnan(down).any():
-        return (np.argsort(np.argsort(down, axis=1, kind="stable"), axis=1, kind="stable") < k).T
-    bar = np.partition(down, k - 1, axis=1)[:, k - 1 : k]
-    keep = down <= bar
-    for row in np.flatnonzero(keep.sum(axis=1) > k):
-        ties = np.flatnonzero(down[row] == bar[row])
-        keep[row, ties[k - np.count_nonzero(down[row] < bar[row]) :]] = False
-    return keep.T
-
-
-def _best_of(scores: np.ndarray, docs: np.ndarray, index: np.ndarray, queries: np.ndarray, k: int) -> pa.Table:
-    """Up to k rows per (query, document) of one batch: a partial result, finished by a window."""
-    order = np.lexsort((index, docs))
-    docs, index, scores = docs[order], index[order], np.round(scores[order], RANK_DIGITS)
-    starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
-    sizes = np.diff(np.r_[starts, len(docs)])
+    across = scores.T
+    bar = np.partition(across, -k, axis=1)[:, -k:][:, :1]
+    above, level = across > bar, across == bar
+    return (above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))).T
+
+
+def _bar(scores: np.ndarray, k: int) -> np.ndarray:
+    """A value per row that the ``k`` highest of the row reach: the k-th highest among the best of groups of columns."""
+    rows, size = scores.shape
+    width = max(1, min(GROUP, size // (8 * k)))
+    best = scores[:, : size // width * width].reshape(rows, width, -1).max(axis=1)
+    return np.partition(best, -k, axis=1)[:, -k]
+
+
+def _best_of(unit: np.ndarray, chunk: np.ndarray, coarse: np.ndarray, starts: np.ndarray, k: int):
+    """Row, column and rounded score of the ``k`` highest cosines of every row in each run of columns.
+
+    ``starts`` names the first column of each run; the left ones of equals count. Not-a-number is the highest, as in
+    Spark's order. Products in single precision (``coarse``: the chunks across) only shut out what lies further below the
+    bar than their error and the rounding reach; what is left is computed again in double precision.
+    """
+    scores = unit.astype(np.float32) @ coarse
+    odd = bool(np.isnan(unit).any() or np.isnan(chunk).any())
+    if odd:
+        np.nan_to_num(scores, copy=False, nan=np.inf)
+    slack = np.float32((unit.shape[1] + 16) * np.finfo(np.float32).eps + 2 * 10.0**-RANK_DIGITS)
     keep = np.ones(scores.shape, dtype=bool)
-    for start, size in zip(starts[sizes > k], sizes[sizes > k]):
-        keep[start : start + size] = _first_k(scores[start : start + size], k)
-    row, col = np.nonzero(keep)
-    return pa.table(
-        {
-            "query_id": pa.array(queries[col], pa.int64()),
-            "doc_id": pa.array(docs[row], pa.int64()),
-            "chunk_index": pa.array(index[row], pa.int32()),
-            "score": pa.array(scores[row, col], pa.float64()),
-        }
-    )
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), scores.shape[1]]):
+        if b - a <= k:
+            continue
+        run = scores[:, a:b]
+        np.greater_equal(run, _bar(run, k)[:, None] - slack, out=keep[:, a:b])
+        many = np.flatnonzero(np.count_nonzero(keep[:, a:b], axis=1) > MANY * k)
+        if len(many):
+            exact = np.round(unit[many] @ chunk[a:b].T, RANK_DIGITS)
+            keep[many, a:b] = _first_k(np.where(np.isnan(exact), np.inf, exact).T, k).T
+    row, col = np.divmod(np.flatnonzero(keep), scores.shape[1])
+    score = np.concatenate([np.zeros(0), *(np.round(np.einsum("ij,ij->i", unit[row[at : at + PAIRS]], chunk[col[at : at + PAIRS]]), RANK_DIGITS) for at in range(0, len(row), PAIRS))])
+    run = np.searchsorted(starts, col, "right")
+    # Already by row, run and column: a stable sort by score inside these puts the left ones of equals first.
+    order = np.lexsort((np.where(np.isnan(score), -np.inf, -score), run, row))
+    row, col, score, run = row[order], col[order], score[order], run[order]
+    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (run[1:] != run[:-1])][: len(row)])
+    best = np.arange(len(row)) - np.repeat(first, np.diff(np.r_[first, len(row)])) < k
+    return row[best], col[best], score[best]
 
 
 def _rank_batches(batches: Iterator[pa.RecordBatch], ids: np.ndarray, unit: np.ndarray, k: int):
+    """Up to k rows per (query, document) of each batch: a partial result, finished by a window."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
@@ -101,10 +125,15 @@ def _rank_batches(batches: Iterator[pa.RecordBatch], ids: np.ndarray, unit: np.n
             continue
         docs = batch.column("doc_id").to_numpy(zero_copy_only=False)[usable]
         index = batch.column("chunk_index").to_numpy(zero_copy_only=False)[usable]
+        order = np.lexsort((index, docs))
+        docs, index, chunk = docs[order], index[order], chunk[order]
+        coarse = np.ascontiguousarray(chunk.T, dtype=np.float32)
+        starts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
         step = max(1, CELLS // len(chunk))
         for at in range(0, len(ids), step):
-            part = slice(at, at + step)
-            yield from _best_of(chunk @ unit[part].T, docs, index, ids[part], k).to_batches(max_chunksize=65536)
+            row, col, score = _best_of(unit[at : at + step], chunk, coarse, starts, k)
+            columns = (pa.array(ids[at : at + step][row], pa.int64()), pa.array(docs[col], pa.int64()), pa.array(index[col], pa.int32()), pa.array(score, pa.float64()))
+            yield from pa.table(dict(zip(("query_id", "doc_id", "chunk_index", "score"), columns))).to_batches(max_chunksize=65536)
 
 
 def _ranked_documents(batches: Iterator[pa.RecordBatch], ids: np.ndarray, unit: np.ndarray, k: int):
@@ -184,8 +213,10 @@ def _by_broadcast(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def _by_grid(chunks: DataFrame, queries: DataFrame, k: int, block: int, slice_rows: int) -> DataFrame:
     """Many query vectors: bounded query blocks meet bounded chunk slices as a grid of tasks."""
-    n_blocks = max(1, -(-queries.count() // block))
+    asked, cores = queries.count(), chunks.sparkSession.sparkContext.defaultParallelism
     n_slices = max(1, -(-chunks.count() // slice_rows))
+    # Where the largest cells are fewer than the cores can share out evenly, blocks are smaller.
+    n_blocks = max(1, -(-asked // block), min(-(-asked // LEAST_BLOCK), -(-3 * cores // n_slices)))
     q = queries.select(
         "query_id",
         F.col("embedding").alias("query_vector"),
@@ -228,7 +259,7 @@ def semantic_top_k(
     dim: int | None = None,
     scope: DataFrame | None = None,
     query_limit: int = QUERY_VECTORS,
-    block: int = QUERY_VECTORS,
+    block: int = QUERY_BLOCK,
     slice_rows: int = CHUNK_SLICE,
 ) -> DataFrame:
     """The ``k`` chunks per (query, document) with the highest cosine, ties by chunk number.
