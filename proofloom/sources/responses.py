@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from proofloom.functions.spread import salted_join
-
 RESPONSES = "request_id string, kind string, attempt int, response string"
 EMBED_BATCH = 32
 CALL_BATCH = 32
+# A text is held often if it fills more than one in so many rows, and more than so many.
+HOT_SHARE = 1000
+HOT_ROWS = 1000
 
 
 def read_responses(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
@@ -96,15 +97,32 @@ def hash_embedder(dim: int = 64):
 def embed_texts(
     rows: DataFrame, spread_by: list[str], text: str = "text", make_embedder=None, batch: int = EMBED_BATCH
 ) -> DataFrame:
-    """Add ``embedding``: equal texts are embedded once, then joined back by content hash.
+    """Add ``embedding``: equal texts are embedded once, then joined back by content hash. ``spread_by`` is no longer needed.
 
-    Copies of one text may be a large share of the rows, so the join back is salted. A blank
-    text or a failed vector gives null.
+    Copies of one text may be a large share of the rows: vectors of the texts that hold more than one in ``HOT_SHARE``
+    rows each, so at most that many, are broadcast to their rows, and only the others are joined by hash. A blank text or
+    a failed vector gives null.
     """
     embed = predict_batch_udf(make_embedder or hash_embedder(), return_type=T.ArrayType(T.FloatType()), batch_size=batch)
     keyed = rows.withColumn("_key", F.sha2(F.col(text), 256))
-    distinct = keyed.where(F.length(F.trim(text)) > 0).groupBy("_key").agg(F.any_value(text).alias("_text"))
+    filled = keyed.where(F.length(F.trim(text)) > 0)
+    distinct = filled.groupBy("_key").agg(F.any_value(text).alias("_text"))
     vectors = distinct.select("_key", embed("_text").alias("_vector")).select(
         "_key", F.when(F.exists("_vector", lambda v: v != 0), F.col("_vector")).alias("embedding")
     )
-    return salted_join(keyed, vectors, ["_key"], spread_by, "left").drop("_key")
+    hot = _hot_keys(filled)
+    bare = keyed.where(~F.coalesce(F.length(F.trim(text)) > 0, F.lit(False)))
+    found = bare.withColumn("embedding", F.lit(None).cast("array<float>"))
+    often = F.col("_key").isin(hot) if hot else F.lit(False)
+    found = found.unionByName(filled.where(~often).join(vectors.where(~often).hint("merge"), ["_key"], "left"))
+    if hot:
+        found = found.unionByName(filled.where(often).join(F.broadcast(vectors.where(often)), ["_key"], "left"))
+    return found.drop("_key")
+
+
+def _hot_keys(keyed: DataFrame) -> list[str]:
+    """Keys with more than one in ``HOT_SHARE`` of the rows and ``HOT_ROWS`` at least."""
+    counts = keyed.groupBy("_key").agg(F.count("*").alias("n"))
+    least = F.greatest(F.lit(HOT_ROWS), F.col("total") / HOT_SHARE)
+    total = keyed.agg(F.count("*").alias("total"))
+    return [r["_key"] for r in counts.join(F.broadcast(total)).where(F.col("n") > least).select("_key").collect()]
