@@ -58,3 +58,16 @@ def test_markdown_is_dropped_as_before(spark):
     rows = [(t,) for t in ("plain words ", "**a** b", "> q\n# h", "- x\n2. y", "don't", '"z"', "`c`", "+ p", None, "")]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(tx.strip_markdown("t")).collect()]
     assert got == ["plain words", "a b", "q\nh", "x\ny", "don t", "z", "c", "p", "", ""]
+
+
+def test_answers_are_numbered_inside_their_response(spark, monkeypatch):
+    from proofloom.operators import sections as se
+
+    kept = []
+    monkeypatch.setattr(se, "stored", lambda df, name="table": kept.append(df) or df)
+    answers = spark.createDataFrame([("r", '{"analyses":[7,{"analysis_summary":"a"},null,{"analysis_summary":"b"}]}'), ("s", "no"), ("t", None)], "request_id string, response string")
+    asked = spark.createDataFrame([(r, n, "t", "p") for r in "rst" for n in (1, 2)], "request_id string, number int, title string, sub_prompt string")
+    rows = se.parse_analyses(answers, asked).orderBy("request_id", "number").collect()
+    assert [(r["request_id"], r["number"], r["analysis"], r["is_fallback"]) for r in rows][:2] == [("r", 1, "a", False), ("r", 2, "b", False)]
+    assert len(rows) == 6 and all(r["is_fallback"] for r in rows[2:])
+    assert "Exchange" not in kept[0]._jdf.queryExecution().executedPlan().toString()
