@@ -8,8 +8,7 @@ from bindings import tables as tb
 from bindings.ctes import words
 from bindings.registry import Group
 from proofloom.functions import text as tx
-from proofloom.functions.spread import first_rows
-from proofloom.operators import fusion, lexical, semantic
+from proofloom.operators import fusion, lexical, onepass, semantic
 from proofloom.plans import retrieve
 from proofloom.session import stored
 
@@ -131,8 +130,8 @@ def f03(spark, d):
     return lexical.valid_chunks(tb.chunks(spark, d)).select("doc_id", "chunk_index")
 
 
-def _candidates(spark, d):
-    return retrieve.candidates(tb.vector_queries(spark, d), tb.stored_vector_chunks(spark, d), K, index=tb.index(spark, d))
+def _candidates(spark, d, *only, grouped=False):
+    return retrieve.candidates(tb.vector_queries(spark, d), tb.vector_chunks(spark, d), K, index=tb.index(spark, d), grouped=grouped, only=only)
 
 
 @query("j05_candidates", """
@@ -161,8 +160,8 @@ def j16(spark, d):
 HYBRID = "SELECT query_id, doc_id, chunk_index, round(score + 2e-10, 6) AS score, 'hybrid_no_rerank' AS retrieval_method, rank FROM t_hybrid"
 
 
-def _hybrid(spark, d, k=K):
-    return retrieve.hybrid(tb.vector_queries(spark, d), tb.stored_vector_chunks(spark, d), k, index=tb.index(spark, d))
+def _hybrid(spark, d, k=K, grouped=False):
+    return retrieve.hybrid(tb.vector_queries(spark, d), tb.vector_chunks(spark, d), k, index=tb.index(spark, d), grouped=grouped)
 
 
 @query("p04_hybrid", HYBRID)
@@ -184,7 +183,7 @@ FROM (SELECT f.query_id, f.doc_id, f.chunk_index, coalesce({RERANK_SCORE}, 0) AS
 SELECT query_id, doc_id, chunk_index, round(score + 2e-10, 6) AS score, round(fused + 2e-10, 6) AS fused_score, 'hybrid' AS retrieval_method, rank
 FROM ({RERANKED}) WHERE rank <= 5""")
 def p05(spark, d):
-    found = retrieve.hybrid_reranked(tb.vector_queries(spark, d), tb.stored_vector_chunks(spark, d), K, index=tb.index(spark, d))
+    found = retrieve.hybrid_reranked(tb.vector_queries(spark, d), tb.vector_chunks(spark, d), K, index=tb.index(spark, d), only=("fused_score",))
     return found.select(
         *fusion.KEY, tb.show("score"), tb.show("fused_score"), "retrieval_method", "rank"
     )
@@ -194,20 +193,20 @@ def p05(spark, d):
 SELECT c.query_id, c.doc_id, c.chunk_index, round(s.score + 2e-10, 6) AS rerank_score
 FROM t_candidates c LEFT JOIN t_hit_scores s ON s.query_id = c.query_id AND s.doc_id = c.doc_id AND s.chunk_index = c.chunk_index""")
 def j06(spark, d):
-    scores = lexical.hit_scores(_index(spark, d), tb.queries(spark, d)).withColumnRenamed("score", "rerank_score")
-    return fusion.attach_scores(_candidates(spark, d), scores).select(*fusion.KEY, tb.show("rerank_score"))
+    scores = lexical.hit_scores(_index(spark, d), tb.queries(spark, d), grouped=True)
+    return fusion.attach_scores(_candidates(spark, d, grouped=True), scores).select(*fusion.KEY, tb.show("rerank_score"))
 
 
 @query("a19_mean_rerank", f"""
 SELECT query_id, round(avg(score) + 2e-10, 6) AS mean_score, count(*) AS n FROM ({RERANKED}) WHERE rank <= 5 GROUP BY query_id""")
 def a19(spark, d):
-    found = retrieve.hybrid_reranked(tb.vector_queries(spark, d), tb.stored_vector_chunks(spark, d), K, index=tb.index(spark, d))
+    found = retrieve.hybrid_reranked(tb.vector_queries(spark, d), tb.vector_chunks(spark, d), K, index=tb.index(spark, d), only=("fused_score",))
     return found.groupBy("query_id").agg(tb.show(F.avg("score"), "mean_score"), F.count("*").alias("n"))
 
 
 @query("p06_chat_retrieve", "SELECT query_id, 'doc_' || doc_id || '.pdf' AS filename, chunk_index, round(score + 2e-10, 6) AS score FROM t_hybrid")
 def p06(spark, d):
-    found = retrieve.chat_retrieve(tb.vector_queries(spark, d), tb.stored_vector_chunks(spark, d), K, index=tb.index(spark, d))
+    found = retrieve.chat_retrieve(tb.vector_queries(spark, d), tb.vector_chunks(spark, d), K, index=tb.index(spark, d))
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
     return found.select("query_id", name.alias("filename"), "chunk_index", tb.show("score"))
 
@@ -215,7 +214,7 @@ def p06(spark, d):
 @query("o01_global_top", """
 SELECT query_id, doc_id, chunk_index, round(score + 2e-10, 6) AS score FROM t_hybrid QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) <= 20""")
 def o01(spark, d):
-    found = retrieve.chat_retrieve(tb.vector_queries(spark, d), tb.stored_vector_chunks(spark, d), K, total=20, index=tb.index(spark, d))
+    found = retrieve.chat_retrieve(tb.vector_queries(spark, d), tb.vector_chunks(spark, d), K, total=20, index=tb.index(spark, d))
     return found.select(*fusion.KEY, tb.show("score"))
 
 
@@ -275,10 +274,12 @@ def a20(spark, d):
 SELECT r.query_id, r.doc_id, r.rank, round(r.score, 3) AS score, c.page_num + 1 AS page, substr(c.text, 1, 200) || '...' AS preview
 FROM ({RETRIED}) r JOIN t_chunks c USING (doc_id, chunk_index) WHERE r.rank <= 3""")
 def o05(spark, d):
-    q, c = tb.vector_queries(spark, d), tb.stored_vector_chunks(spark, d)
-    found = retrieve.hybrid(retrieve.apply_advice(q, _advice(spark, d)), c, K, index=tb.index(spark, d))
-    top = first_rows(found.drop("rank"), fusion.PAIR, [F.desc("score"), F.asc("chunk_index")], 3)
-    return fusion.attach_text(top, c, "page_num", "text").select(
+    """A pair's results come in order, so its first three are its three best."""
+    q, c = tb.vector_queries(spark, d), tb.vector_chunks(spark, d)
+    found = retrieve.hybrid(retrieve.apply_advice(q, _advice(spark, d)), c, K, index=tb.index(spark, d), grouped=True)
+    pairs = F.transform("pairs", lambda p: F.struct(p["query_id"].alias("query_id"), F.filter(p["found"], lambda h: h["rank"] <= 3).alias("found")))
+    top = fusion.attach_text(found.withColumn("pairs", pairs), tb.chunks(spark, d), "page_num", "text")
+    return onepass.as_rows(top).select(
         "query_id", "doc_id", "rank", F.round("score", 3).alias("score"), (F.col("page_num") + 1).alias("page"),
         tx.preview("text", 200, always=True).alias("preview"),
     )
@@ -294,7 +295,7 @@ SELECT h.query_id, h.doc_id, count(*) AS n_results, round(avg(h.score) + 2e-10,
        round(max(h.score) + 2e-10, 6) AS max_score, string_agg(substr(c.text, 1, 100) || '...', '; ' ORDER BY h.rank) FILTER (h.rank <= 3) AS samples
 FROM t_hybrid h JOIN t_chunks c USING (doc_id, chunk_index) GROUP BY h.query_id, h.doc_id""")
 def a11(spark, d):
-    rows = fusion.attach_text(_hybrid(spark, d), tb.chunks(spark, d), "text")
+    rows = fusion.attach_text(_hybrid(spark, d, grouped=True), tb.chunks(spark, d), "text")
     return fusion.summarise_results(rows).select(
         "query_id", "doc_id", "n_results", tb.show("avg_score"), tb.show("min_score"), tb.show("max_score"), "samples"
     )
@@ -304,7 +305,7 @@ def a11(spark, d):
 SELECT query_id, doc_id, count(*) AS n_results, string_agg(CAST(chunk_index AS VARCHAR), ',' ORDER BY rank) AS chunk_list
 FROM t_hybrid GROUP BY query_id, doc_id""")
 def a21(spark, d):
-    grouped = fusion.chunks_by_document(_hybrid(spark, d))
+    grouped = fusion.chunks_by_document(_hybrid(spark, d, grouped=True))
     chunk_list = F.array_join(F.col("results.chunk_index").cast("array<string>"), ",")
     return grouped.select("query_id", "doc_id", "n_results", chunk_list.alias("chunk_list"))
 
@@ -314,9 +315,9 @@ SELECT c.query_id, c.doc_id, c.chunk_index, round(coalesce(s.score, c.cosine, 0.
        CASE WHEN s.score IS NOT NULL THEN 1 WHEN c.cosine IS NOT NULL THEN 2 ELSE 0 END AS score_source
 FROM t_candidates c LEFT JOIN t_hit_scores s ON s.query_id = c.query_id AND s.doc_id = c.doc_id AND s.chunk_index = c.chunk_index""")
 def m04(spark, d):
-    scores = lexical.hit_scores(_index(spark, d), tb.queries(spark, d)).withColumnRenamed("score", "rerank_score")
+    scores = lexical.hit_scores(_index(spark, d), tb.queries(spark, d), grouped=True)
     value, source = fusion.scorer_chain(F.col("rerank_score"), F.col("cosine"))
-    rows = fusion.attach_scores(_candidates(spark, d), scores)
+    rows = fusion.attach_scores(_candidates(spark, d, "cosine", grouped=True), scores)
     return rows.select(*fusion.KEY, tb.show(value, "score"), source.alias("score_source"))
 
 
@@ -324,5 +325,5 @@ def m04(spark, d):
 SELECT f.query_id, f.doc_id, f.chunk_index, round(coalesce({RERANK_SCORE}, 0) + 2e-10, 6) AS rerank_score
 FROM t_fused f JOIN t_chunks c USING (doc_id, chunk_index)""")
 def m02(spark, d):
-    scored = fusion.score_pairs(_candidates(spark, d), tb.queries(spark, d), tb.chunks(spark, d))
+    scored = fusion.score_pairs(_candidates(spark, d, grouped=True), tb.queries(spark, d), tb.chunks(spark, d))
     return scored.select(*fusion.KEY, tb.show("rerank_score"))
