@@ -2,8 +2,9 @@
 
 The index holds finished weights: a term's weight in a chunk depends on its document alone, not on a query. They are
 written once, in blocks of one term, one document and one run of ``SEGMENT`` chunks, best weight first, with the
-highest and lowest weight of the block beside them. The table is partitioned by a hash of the term and sorted by
-term, so a query set reads the partitions of its own words, once.
+highest and lowest weight of the block beside them. The table is partitioned by a hash of the term, so a query set
+reads the partitions of its own words, once. Documents are counted whole in one task and their blocks held in packed
+pieces (``pieces``); those of very many chunks, or without whole numbers for ids, are counted term by term.
 """
 
 from __future__ import annotations
@@ -15,8 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pyspark.sql.types import IntegralType
+
 from proofloom.functions import text as tx
 from proofloom.functions.spread import first_rows, is_small, join_checked, long_range, salted_join
+from proofloom.operators import pieces as pc
 from proofloom.session import checkpoint_root, stored
 from proofloom.sources.documents import explode_rows
 
@@ -29,6 +33,9 @@ TOP_K = 15
 SEGMENT = 128
 TERM_BUCKETS = 64
 FILE_BLOCKS = 4_000_000
+FILE_CHUNKS = 4_000_000
+# Documents within so many chunk numbers are counted whole in one task.
+SPAN = 4096
 # Bounds are compared with more room than rounding of scores needs.
 MARGIN = 1e-6
 
@@ -45,10 +52,18 @@ class LexicalIndex:
     impacts: DataFrame
     doc_stats: DataFrame
     segments: DataFrame
+    # Where blocks are packed: the pieces, and the blocks that are not (``impacts`` is both).
+    packed: DataFrame | None = None
+    loose: DataFrame | None = None
 
     @property
     def term_stats(self) -> DataFrame:
-        return self.impacts.where("lead").select("doc_id", "term", "df")
+        names = ["doc_id", "term", "df"]
+        if self.packed is None:
+            return self.impacts.where("lead").select(*names)
+        held = pc.unpacked(self.packed.where("bucket >= 0"), "doc_id long, term string, df long", lead=True)
+        held = held.withColumn("doc_id", F.col("doc_id").cast(self.doc_stats.schema["doc_id"].dataType))
+        return held if self.loose is None else held.unionByName(self.loose.where("lead").select(*names))
 
     def of(self, documents: DataFrame) -> LexicalIndex:
         """The same for the named documents only."""
@@ -136,7 +151,7 @@ def document_statistics(chunk_lengths: DataFrame, term_stats: DataFrame) -> Data
 
 
 def term_bucket(term: str = "term"):
-    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+    return F.pmod(F.crc32(F.col(term).cast("binary")), F.lit(TERM_BUCKETS)).cast("int")
 
 
 def counted_blocks(chunks: DataFrame) -> DataFrame:
@@ -176,6 +191,43 @@ def with_weights(blocks: DataFrame, doc_stats: DataFrame) -> DataFrame:
 
 def build_index(chunks: DataFrame) -> LexicalIndex:
     """Index of ``chunks``, written once to the shared folder."""
+    kinds = [chunks.schema[c].dataType for c in ("doc_id", "chunk_index")]
+    if not all(isinstance(kind, IntegralType) for kind in kinds):
+        return build_by_term(chunks)
+    far = chunks.where((F.col("chunk_index") < 0) | (F.col("chunk_index") >= SPAN)).select("doc_id").distinct()
+    some = not far.isEmpty()
+    near = join_checked(chunks, far, ["doc_id"], ["chunk_index"], "left_anti") if some else chunks
+    index = packed_index(near, *kinds)
+    if not some:
+        return index
+    rest = build_by_term(join_checked(chunks, far, ["doc_id"], ["chunk_index"], "left_semi"))
+    both = [getattr(index, name).unionByName(getattr(rest, name)) for name in ("impacts", "doc_stats", "segments")]
+    return LexicalIndex(*both, index.packed, rest.impacts)
+
+
+def packed_index(chunks: DataFrame, doc_kind, chunk_kind) -> LexicalIndex:
+    """Index of documents that fit a task: a chunk moves once, to its document, and then only packed pieces move."""
+    files = max(1, chunks.count() // FILE_CHUNKS)
+    held = pc.pieces(valid_chunks(chunks), SEGMENT, TERM_BUCKETS, K1, B, EPSILON)
+    path = f"{checkpoint_root(chunks.sparkSession)}/index-{uuid.uuid4().hex}"
+    laid = held.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(files)))
+    laid.write.partitionBy("bucket").option("compression", "uncompressed").parquet(path)
+    held = chunks.sparkSession.read.schema("doc_id long, piece binary, bucket int").parquet(path)
+    doc = F.col("doc_id").cast(doc_kind).alias("doc_id")
+    entries = F.col("entries").cast(f"array<struct<chunk_index:{chunk_kind.simpleString()},weight:double>>").alias("entries")
+    impacts = pc.unpacked(held.where("bucket >= 0"), pc.BLOCK).select(
+        "term", doc, "segment", "df", "lead", "top", "low", entries, term_bucket().alias("bucket")
+    )
+    stats = pc.unpacked(held.where(F.col("bucket") == pc.STATS), "doc_id long, n_chunks long, avg_tokens double, mean_idf double")
+    runs = pc.unpacked(held.where(F.col("bucket") == pc.RUNS), "doc_id long, segment long, n_segments long, members array<int>")
+    members = F.col("members").cast(f"array<{chunk_kind.simpleString()}>").alias("members")
+    return LexicalIndex(
+        impacts, stats.select(doc, "n_chunks", "avg_tokens", "mean_idf"), runs.select(doc, "segment", members, "n_segments"), held,
+    )
+
+
+def build_by_term(chunks: DataFrame) -> LexicalIndex:
+    """Index of documents of any size: their words are shuffled by document and term."""
     lengths = stored(valid_chunks(chunks).select("doc_id", "chunk_index", F.size(tx.words("text")).alias("n_tokens")), "lengths")
     blocks = stored(counted_blocks(chunks), "blocks")
     doc_stats = stored(document_statistics(lengths, blocks.where("lead").select("doc_id", "term", "df")), "doc-stats")
@@ -203,7 +255,16 @@ def wanted_blocks(index: LexicalIndex, terms: DataFrame) -> DataFrame:
     """The blocks of the wanted words; only partitions that hold one of them are read."""
     wanted = terms.select("term").distinct()
     buckets = [r[0] for r in wanted.select(term_bucket().alias("b")).distinct().limit(TERM_BUCKETS).collect()]
-    return join_checked(index.impacts.where(F.col("bucket").isin(buckets)).drop("bucket"), wanted, ["term"], ["doc_id", "segment"])
+
+    def loose(impacts: DataFrame) -> DataFrame:
+        return join_checked(impacts.where(F.col("bucket").isin(buckets)).drop("bucket"), wanted, ["term"], ["doc_id", "segment"])
+
+    if index.packed is None or not is_small(wanted):
+        return loose(index.impacts)
+    held = pc.unpacked(index.packed.where(F.col("bucket").isin(buckets)), pc.BLOCK, wanted=sorted(r[0] for r in wanted.collect()))
+    kinds = {f.name: f.dataType for f in index.impacts.schema}
+    held = held.select(*[F.col(c).cast(kinds[c]).alias(c) if c in ("doc_id", "entries") else c for c in held.columns])
+    return held if index.loose is None else held.unionByName(loose(index.loose))
 
 
 def term_weights(index: LexicalIndex, terms: DataFrame) -> DataFrame:
